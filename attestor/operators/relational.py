@@ -53,6 +53,19 @@ def in_validity(facts: DataFrame, spans: DataFrame, keys: list[str], at: str, st
     return facts.join(spans, keys).where(inside)
 
 
+def containing(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
+    """Pairs whose text contains the quote. The longest word inside the quote (not its first or last, which may be cut)
+    must be a word of the text; quotes of fewer than three words have none and are compared with every text, in blocks."""
+    words = F.split(F.col(quote), r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = quotes.withColumn("_w", F.when(F.size(words) > 2, anchor))
+    spread = texts.withColumn("_w", F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))))
+    hit = spread.join(keyed.where("_w is not null"), "_w").where(F.contains(text, quote))
+    short = texts.join(keyed.where("_w is null"), F.contains(text, quote))
+    return hit.drop("_w").unionByName(short.drop("_w"))
+
+
 def latest_overlay(cases: DataFrame, log: DataFrame, key: str, order: str, derived: str, final: str, decision: str) -> DataFrame:
     """Final value and review status of each case by the last log record of its key."""
     last = best_per_key(log, [key], [order]).select(key, F.col(final).alias("_f"), F.col(decision).alias("_d"))

@@ -108,16 +108,12 @@ def missing_sections(t):
     return got.select("o_custkey", F.array_join("m", ";").alias("missing"), (~S.overlaps(F.col("m"), F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))).alias("sufficient"))
 
 
-# An item's second to fifth words name its candidates: each run of four words of a document is an equi-key, and `contains` the residual.
+# A quote's longest inner word is whole in any text that holds the quote, so it is an equi-key with `contains` as the residual.
 @query("SELECT item_id, count(d.doc_id) AS documents, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def quote_resolution(t):
-    items = t("benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 4), " ").alias("key"))
-    words = F.split("text", r"\s+")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " ")))
-    docs = t("documents").select("doc_id", "text", F.explode(runs).alias("key"))
-    hit = docs.join(items, "key").where(F.contains("text", "quote")).select("item_id", "doc_id")
+    hit = R.containing(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("quote")), "text", "quote")
     found = hit.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
-    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
+    return t("benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
 
 
 _CENT, _STRUCT, _MAT = ["CORE", "CO_ESSENTIAL", "ENABLING", "PERIPHERAL", "UNKNOWN"], ["PURE_PLAY", "SOFTWARE_DOMINANT", "MIXED_SEPARABLE", "MIXED_NONSEPARABLE", "SOFTWARE_PERIPHERAL"], ["DOMINANT", "MATERIAL", "MINOR", "UNKNOWN"]
