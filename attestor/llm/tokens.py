@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
 
+#: A comma or full stop between a word's ASCII end and white space or the text's end.
+_AFTER_WORD = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \t\n\x0b\x0c\r]|\Z)")
+#: The signs for bytes that byte-level vocabularies use: printable Latin-1 stands for itself, the rest follow from 256 on.
+_ITSELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _ITSELF)}
 DEFAULT = "word_bpe_49k.json"
 _encoders: dict = {}
 
@@ -21,13 +29,18 @@ class ChunkEncoder:
 
     The vocabulary's pre-tokenizer never lets a token span white space, and its normalizer
     works character by character, so each chunk between ASCII white space encodes alone.
-    Chunks recur, so their ids are kept in one pool; the cache starts afresh at its limit.
+    So do a word that ends in an ASCII letter or digit and one comma or full stop after it, and A-Z are as a-z.
+    Chunks recur, so their ids are kept in one pool; the cache starts afresh at its limit. A lower-case word of
+    letters alone goes straight to the vocabulary's merges, as nothing would change or part it before them.
+    Only DEFAULT has these rules; with another file every text is encoded whole.
     """
 
-    def __init__(self, path: str | None = None, entries: int = 400_000, pool: int = 6_000_000):
+    def __init__(self, path: str | None = None, entries: int = 800_000, pool: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.by_chunk = path is None or os.path.basename(path) == DEFAULT
+        self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.entries, self.pool_limit = entries, pool
         self._clear()
 
@@ -40,7 +53,10 @@ class ChunkEncoder:
     def _add(self, chunks: list[bytes]) -> None:
         for k in range(0, len(chunks), 4096):
             part = chunks[k : k + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)]
+            found = [self._plain(c) for c in part]
+            hard = [i for i, f in enumerate(found) if f is None]
+            for i, e in zip(hard, self.tokenizer.encode_batch_fast([part[i].decode() for i in hard], add_special_tokens=False)):
+                found[i] = e.ids
             flat = np.fromiter(chain.from_iterable(found), np.uint32)
             at, n = len(self.index), len(part)
             while self.used + len(flat) > len(self.pool):
@@ -52,9 +68,31 @@ class ChunkEncoder:
             self.used += len(flat)
             self.index.update(zip(part, range(at, at + n)))
 
+    def _plain(self, chunk: bytes) -> list[int] | None:
+        """Ids of a lower-case word of letters; None for any other chunk."""
+        if not self.by_chunk:
+            return None
+        if chunk.isalpha() and chunk.islower():  # ASCII
+            word = chunk.decode()
+        else:
+            word = chunk.decode()
+            if not word.isalpha() or word.lower() != word or not unicodedata.is_normalized("NFC", word):
+                return None
+            word = chunk.decode("latin-1").translate(_BYTE_SIGNS)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _chunks(self, text: bytes | None) -> list[bytes]:
+        if not text:
+            return []
+        if not self.by_chunk:
+            return [text]
+        if not any(s in text for s in self.special):  # else A-Z could turn into a special token's letters
+            text = text.lower()
+        return _AFTER_WORD.sub(rb" \g<0>", text).split()
+
     def encode(self, texts: list[bytes | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offsets of each text (one more than texts); end is appended to each text."""
-        chunks = [t.split() if t else [] for t in texts]
+        chunks = [self._chunks(t) for t in texts]
         flat = list(chain.from_iterable(chunks))
         if len(self.index) > self.entries or self.used > self.pool_limit:
             self._clear()

@@ -30,7 +30,7 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    texts = ["", "A b", " x y it's <|endoftext|> 12 3!? é ́z Straße İstanbul ΑΣ", "\x1c\x1d a\x85b", "a" * 3000, "日本語 テキスト"]
+    texts = ["", "A b", " x y it's <|endoftext|> 12 3!? é ́z Straße İstanbul ΑΣ", "\x1c\x1d a\x85b", "a" * 3000, "日本語 テキスト", "Éa, a.b. x,. y., 1,2, 3. it's. <|ENDOFTEXT|>, AB", "naïve, ǅ ﬁ ª ſ e\u0301x, ño. ß", "x…, y,… <|startoftext|>. Q"]
     ids, bounds = ChunkEncoder(entries=3).encode([x.encode() for x in texts])
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
