@@ -29,7 +29,7 @@ def link_kinds(links: DataFrame, block: list[str], key: str, other: str) -> Data
     return both.withColumn("kind", kind)
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's folder; one is set only where none is."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -42,15 +42,15 @@ def alias_components(entities: DataFrame, key: str, names: list[str], most: int
     smallest key reachable. Null names link nothing. Each round takes minima by name (an aggregate: a common name is combined
     before the shuffle and no pairs are made), then follows labels once more, so rounds grow with the logarithm of a chain."""
     pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.col(n).cast("string").alias("v")) for i, n in enumerate(names)))
-    edges = _cut(entities.select(F.col(key).alias("node"), F.explode(pairs).alias("name")).where("name.v is not null").distinct())
-    labels = _cut(entities.select(F.col(key).alias("node")).distinct().withColumn("label", F.col("node")))
+    edges = checkpointed(entities.select(F.col(key).alias("node"), F.explode(pairs).alias("name")).where("name.v is not null").distinct())
+    labels = checkpointed(entities.select(F.col(key).alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(most):
         least = edges.join(labels, "node").groupBy("name").agg(F.min("label").alias("m"))
         seen = edges.join(least, "name").groupBy("node").agg(F.min("m").alias("m"))
         once = labels.join(seen, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("next"), "label")
-        once = _cut(once)
+        once = checkpointed(once)
         jump = once.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        new = _cut(once.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("further", "next")).alias("l")))
+        new = checkpointed(once.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("further", "next")).alias("l")))
         labels = new.select("node", F.col("l").alias("label"))
         if new.where("l <> label").isEmpty():
             return labels.select(F.col("node").alias(key), F.col("label").alias("component"))
