@@ -153,7 +153,7 @@ def run(spark: SparkSession, bundle: dict[str, DataFrame], cutoff: str, form_sco
     audited = b["audits"].select("cik").distinct()
     pending = sample.join(audited, "cik", "left_anti")
     tables = {
-        "filers": filers, "issuer_decisions": firms.select("cik", "company_id", "decision", "reason_codes").unionByName(twice.select("cik", "company_id", F.lit("exclude").alias("decision"), F.array(F.lit("DUPLICATE_SHARE_CLASS")).alias("reason_codes"))),
+        "filers": filers, "issuer_decisions": firms.select("cik", "company_id", "decision", "reason_codes").unionByName(twice.select("cik", "company_id", F.lit("exclude").alias("decision"), F.array(F.lit("DUPLICATE_ISSUER_RECORD")).alias("reason_codes"))),
         "packets": packets.where("packet_status = 'PACKET'"), "packet_failures": packets.where("packet_status <> 'PACKET'"), "screens": spine.where("screen_error is null and packet_status = 'PACKET'").select("cik", "screen_status", "screen_archetypes", "screen_confidence"),
         "screen_failures": spine.where("screen_error is not null").select("cik", "screen_error"), "classification_failures": spine.where("classification_error is not null").select("cik", "classification_error"),
         "tier_decisions": spine.select("cik", "company_id", "derived_tier", "provenance", "tier_reasons", "rule_trace"), "classifications": spine.where("is_classified").select("cik", "final_value", "review_status", *(c for c in b["classifications"].columns if c != "cik")),

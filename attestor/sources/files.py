@@ -18,9 +18,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_keyed_json(spark: SparkSession, path: str, element: str) -> DataFrame:
-    """An object of arrays as rows of (key, ord, value); ord is the place in the array."""
-    whole = spark.read.option("wholetext", True).text(path)
-    parsed = whole.select(F.from_json("value", f"map<string, array<{element}>>").alias("m"))
+    """An object of arrays as rows of (key, ord, value); ord is the place in the array. Malformed text fails."""
+    whole = spark.read.text(path, wholetext=True)
+    parsed = whole.select(F.from_json("value", f"map<string, array<{element}>>", {"mode": "FAILFAST"}).alias("m"))
     return parsed.select(F.explode("m").alias("key", "a")).select("key", F.posexplode("a").alias("ord", "value"))
 
 
