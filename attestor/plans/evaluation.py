@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import longitudinal as L
 from ..operators import metrics as M
+from ..operators import similarity
 from ..operators import validation as V
 from .catalogue import query
 
@@ -226,7 +227,16 @@ def firm_year_panel(t):
     return t("orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("period")).agg(F.min_by("o_orderkey", F.struct(rank, "o_orderkey")).alias("chosen"), F.count("*").alias("candidates"))
 
 
-@query("SELECT l_orderkey, round(sum(l_quantity / t), 6) AS total_weight, abs(sum(l_quantity / t) - 1) > 0.05 AS off FROM (SELECT l_orderkey, l_quantity, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE sum(l_quantity) OVER (PARTITION BY l_orderkey) END AS t FROM lineitem) GROUP BY 1")
+@query("SELECT l_orderkey, round(sum(l_quantity / t), 6) AS total_weight, round(abs(sum(l_quantity / t) - 1), 9) > 0.05 AS off FROM (SELECT l_orderkey, l_quantity, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE sum(l_quantity) OVER (PARTITION BY l_orderkey) END AS t FROM lineitem) GROUP BY 1")
 def weight_sums(t):
     q = t("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("t"), F.sum(F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity"))).alias("q"))
-    return q.select("l_orderkey", F.round(F.col("q") / F.col("t"), 6).alias("total_weight"), (F.abs(F.col("q") / F.col("t") - 1) > 0.05).alias("off"))
+    return q.select("l_orderkey", F.round(F.col("q") / F.col("t"), 6).alias("total_weight"), (F.round(F.abs(F.col("q") / F.col("t") - 1), 9) > 0.05).alias("off"))
+
+
+@query(
+    "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(array_to_string(w[i:i + 4], ' '))) END)) AS s FROM w), "
+    "c AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM s GROUP BY s), t AS (SELECT c, n, unnest(s) AS t FROM c), p AS (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.t = b.t AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))), l AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM p UNION ALL SELECT b FROM p) GROUP BY 1) "
+    "SELECT doc_id, c.c AS class_id, coalesce(links, 0) AS links FROM s JOIN c ON s.s = c.s LEFT JOIN l ON l.c = c.c"
+)
+def near_duplicates(t):
+    return similarity.similar_texts(t("documents"), "doc_id", "text")
