@@ -240,3 +240,45 @@ def weight_sums(t):
 )
 def near_duplicates(t):
     return similarity.similar_texts(t("documents"), "doc_id", "text")
+
+
+@query("SELECT user_id, max_by(event_type, event_id) AS state, count(*) FILTER (event_type = 'click') AS exposures, min(ts::DATE) AS since FROM events GROUP BY 1")
+def case_exposure(t):
+    last = F.max_by("event_type", "event_id").alias("state")
+    return t("events").groupBy("user_id").agg(last, F.count_if(F.col("event_type") == "click").alias("exposures"), F.min(F.col("ts").cast("date")).alias("since"))
+
+
+@query("SELECT c_custkey, y.y AS year, CASE WHEN n IS NULL AND first_year > y.y THEN 'not_yet_expected' WHEN n IS NULL AND last_year < y.y THEN 'no_longer_expected' WHEN n IS NULL THEN 'missing' WHEN done = 0 THEN 'unverified' WHEN n >= 3 THEN 'complete' ELSE 'partial' END AS completeness FROM customer JOIN (SELECT o_custkey, min(year(o_orderdate)) AS first_year, max(year(o_orderdate)) AS last_year FROM orders GROUP BY 1) s ON s.o_custkey = c_custkey CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y) y LEFT JOIN (SELECT o_custkey AS k, year(o_orderdate) AS t, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1, 2) g ON g.k = c_custkey AND g.t = y.y")
+def corpus_completeness(t):
+    year = F.year("o_orderdate").cast("long")
+    had = t("orders").groupBy("o_custkey", year.alias("year")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    span = had.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    grid = t("customer").select("c_custkey").join(span, "c_custkey").withColumn("year", F.explode(F.sequence(F.lit(1995).cast("long"), F.lit(2001).cast("long"))))
+    n, y = F.col("n"), F.col("year")
+    state = (
+        F.when(n.isNull() & (F.col("first_year") > y), "not_yet_expected").when(n.isNull() & (F.col("last_year") < y), "no_longer_expected").when(n.isNull(), "missing")
+        .when(F.col("done") == 0, "unverified").when(n >= 3, "complete").otherwise("partial")
+    )
+    return grid.join(had.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey", "year"], "left").select("c_custkey", "year", state.alias("completeness"))
+
+
+_ARMS = {"short": 400, "base": 800, "long": 1600}
+
+
+@query("WITH a AS (" + " UNION ALL ".join(f"SELECT '{k}' AS arm, {v} AS least" for k, v in _ARMS.items()) + "), s AS (SELECT arm, count(*) AS n, avg(((n_chars > least)::INT = quality)::INT) AS x FROM documents JOIN labels USING (doc_id), a GROUP BY 1) SELECT arm, n, round(x, 6) AS accuracy, round(x - (SELECT x FROM s WHERE arm = 'base'), 6) AS delta FROM s")
+def ablation_arms(t):
+    d = t("documents").select("doc_id", "n_chars").join(t("labels").select("doc_id", "quality"), "doc_id")
+    right = lambda least: F.avg(((F.col("n_chars") > least).cast("int") == F.col("quality")).cast("int"))
+    wide = d.agg(F.count("*").alias("n"), *(right(v).alias(k) for k, v in _ARMS.items()))
+    arms = F.array(*(F.struct(F.lit(k).alias("arm"), F.col(k).alias("x")) for k in _ARMS))
+    return wide.select("n", "base", F.explode(arms).alias("a")).select("a.arm", "n", F.round("a.x", 6).alias("accuracy"), F.round(F.col("a.x") - F.col("base"), 6).alias("delta"))
+
+
+_TAGS = {"late_close": "o_orderstatus = 'P'", "over_budget": "o_totalprice > 400000", "ignored": "o_orderpriority = '5-LOW'", "never_seen": "o_totalprice < 0"}
+
+
+@query("SELECT tag, coalesce(n, 0) AS n FROM (VALUES " + ", ".join(f"('{k}')" for k in _TAGS) + ") v(tag) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{k}' AS g, count(*) AS n FROM orders WHERE {v}" for k, v in _TAGS.items()) + ") ON g = tag")
+def failure_tags(t):
+    # One pass: tags are counted as columns, so those that never occur keep their row.
+    wide = t("orders").agg(*(F.count_if(F.expr(v)).alias(k) for k, v in _TAGS.items()))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("tag"), F.col(k).alias("n")) for k in _TAGS))).alias("s")).select("s.*")

@@ -256,3 +256,16 @@ def write(spark: SparkSession, u: Universe, base: str, run_id: str) -> str:
     manifest = {"run_id": run_id, "universe_version": u.version, "counts": u.counts, "reconciliation": u.reconciliation, "failed_gates": u.failed_gates, "blockers": u.blockers, "hard_gate_status": "pass" if not u.blockers else "fail", "output_hashes": hashes}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
     return path
+
+
+def load(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
+    """The frames of SCHEMAS from `<name>.jsonl`, and manifest.json. Missing files and manifest keys are named, all at once."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    paths = {n: f"{folder}/{n}.jsonl" for n in SCHEMAS}
+    lost = [p for p in [*paths.values(), f"{folder}/manifest.json"] if not hadoop(p).getFileSystem(conf).exists(hadoop(p))]
+    if lost:
+        raise FileNotFoundError(", ".join(lost))
+    manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+    if absent := [k for k in ("baseline_cutoff", "form_scope", "universe_version_on_freeze") if k not in manifest]:
+        raise ValueError(f"manifest lacks {absent}")
+    return {n: files.read_jsonl(spark, p, SCHEMAS[n]) for n, p in paths.items()}, manifest

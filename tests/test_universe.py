@@ -112,3 +112,16 @@ def test_written_once(spark, done, tmp_path):
     assert manifest["hard_gate_status"] == "pass" and set(manifest["output_hashes"]) == set(done.tables)
     with pytest.raises(FileExistsError):
         U.write(spark, done, str(tmp_path), "run-1")
+
+
+def test_load(spark, tmp_path):
+    for n, rows in bundle().items():
+        (tmp_path / f"{n}.jsonl").write_text("\n".join(json.dumps(r, default=str) for r in rows))
+    with pytest.raises(FileNotFoundError, match="manifest.json"):
+        U.load(spark, str(tmp_path))
+    (tmp_path / "manifest.json").write_text(json.dumps({"baseline_cutoff": "2022-12-31"}, indent=1))
+    with pytest.raises(ValueError, match="form_scope"):
+        U.load(spark, str(tmp_path))
+    (tmp_path / "manifest.json").write_text(json.dumps({"baseline_cutoff": "2022-12-31", "form_scope": ["10-K"], "universe_version_on_freeze": "v"}))
+    frames, manifest = U.load(spark, str(tmp_path))
+    assert manifest["form_scope"] == ["10-K"] and frames["filers"].count() == 15 and frames["classifications"].where("cik = '9'").first()["software_centrality"] == "CO_ESSENTIAL"
