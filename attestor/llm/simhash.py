@@ -11,16 +11,21 @@ shards come from alternating star contractions, each written to the shared folde
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like
 any other; equal rows fall into one component; rows with a null doc_id get a component like others, but
 a null is never a component's smallest id unless it has no other. Long texts are read whole.
+
+The pipeline's stage links by that rule and, beyond it, by an exact Jaccard similarity of five-word shingles
+(see similar_edges); rows that share a doc_id and a text leave one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, ready, rows_of, split_words, table
@@ -28,23 +33,33 @@ from .common import materialize, ready, rows_of, split_words, table
 BITS = 64
 SHARD = 512
 LEVELS = 5
-
-
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' XXH64 values, repeats included."""
-    words = split_words(text)
-    if not words:
-        return 0
+#: Of the wide search: shards are bands of minima, trees reach so many bits, candidates agree in so many of the minima.
+BANDS, ROWS, WIDE, AGREE = 12, 4, 18, 30
+#: A shard with more rows is dealt anew.
+CROWDED = 4096
+#: Rows that agree in so many minima are all but equal: a row meets one of them, and a tree of SHARD rows takes no more of
+#: them. Of the rest of each tree of pairs a row meets the likeliest, at most so many in a shard.
+SURE, TRIES = 46, 8
+_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, np.uint64)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingle_values(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle in order; fewer words are one shingle, none have none."""
     h = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return h(b" ".join(words), seed)
+        return np.array([h(b" ".join(words), seed)] if words else [], np.uint64)
     whole, ends = b" ".join(words), []
     at = -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[:-shingle])]
-    values = np.array([h(whole[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64)
+    return np.array([h(whole[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the values."""
     set_bits = np.zeros(BITS, np.int64)
     for k in range(0, len(values), 8192):
         part = values[k : k + 8192]
@@ -52,6 +67,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * set_bits > len(values), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """The majority of the shingles' XXH64 values, repeats included."""
+    return majority(shingle_values(split_words(text), shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, text_hash (of the text as it is), fp (the fingerprint as a signed long), written to the shared folder."""
     ready(docs.sparkSession)
@@ -184,7 +204,7 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of an edge; nodes are longs in columns a and b.
+    """(node, root): the smallest node reachable from each node of an edge; columns a and b hold nodes of one type.
 
     Large-star and small-star contractions alternate until nothing changes. Minima are aggregated and
     joined back, so a node with very many neighbours is never gathered in one task.
@@ -221,10 +241,168 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def minima(values: np.ndarray) -> np.ndarray:
+    """The least value under each of BANDS * ROWS hash functions."""
+    low = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(values), 4096):
+        v = (values[None, k : k + 4096] ^ _SEEDS[:, None]) * _ODD
+        v ^= v >> np.uint64(29)
+        v *= _ODD
+        np.minimum(low, v.min(axis=1), out=low)
+    return low
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """Of each row: doc_id, text_hash, node (a 128-bit hash of its words in order), fp (three-word fingerprint), and of
+    its `shingle`-word shingles the fingerprint (wide), the minima's low bytes (sig) and its shards (bands)."""
+    ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, c in rows_of(batches):
+            node, fp, wide, sig, bands = [], [], [], [], []
+            for t in c["t"]:
+                words = split_words(t)
+                node.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                fp.append(majority(shingle_values(words, 3)))
+                values = shingle_values(words, shingle)
+                wide.append(majority(values))
+                low = minima(values)
+                sig.append(low.astype(np.uint8).tobytes())
+                keys = [xxhash.xxh64_intdigest(low[j * ROWS : (j + 1) * ROWS].tobytes(), j) for j in range(BANDS if words else 0)]
+                bands.append(np.array(keys, np.uint64).view(np.int64).tolist())
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, wide)]
+            more = [pa.array(node, pa.binary()), *longs, pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["doc_id", "text_hash", "node", "fp", "wide", "sig", "bands"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("t"))
+    return materialize(source.mapInArrow(run, "doc_id long, text_hash long, node binary, fp long, wide long, sig binary, bands array<long>"), "sketches")
+
+
+def wide_forest(rows: Iterator[tuple[bytes, int, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of nodes of one shard that may be similar, enough to span what is: each (node, wide, sig) walks the shard's
+    BK-tree and meets rows of every tree of pairs that it agrees with, those that agree most first."""
+    tree, nodes, sigs = BKTree(), [], np.zeros((64, BANDS * ROWS), np.uint8)
+    loose: list[int] = []  # trees of all pairs
+    firm: list[int] = []  # trees of pairs that are all but equal, so that the exact check can't part them
+
+    def root(parent: list[int], i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for node, wide, sig in rows:
+        mine = np.frombuffer(sig, np.uint8)
+        at = np.array(tree.near(wide, WIDE), np.int64)
+        agree = (sigs[at] == mine).sum(axis=1)
+        order = np.argsort(-agree, kind="stable")
+        order = order[agree[order] >= AGREE]
+        tries: dict[int, int] = {}
+        one: set[int] = set()
+        for j, same in zip(at[order].tolist(), (agree[order] >= SURE).tolist()):
+            r, f = root(loose, j), root(firm, j)
+            if f not in one and tries.get(r, 0) < TRIES:
+                tries[r] = tries.get(r, 0) + 1
+                if same:
+                    one.add(f)
+                yield node, nodes[j]
+        new = len(nodes)
+        if new >= SHARD and len(order) and agree[order[0]] >= SURE:  # the row stays out of the tree; what it joins is one
+            for parent, joined in ((loose, tries), (firm, one)):
+                for r in joined:
+                    parent[r] = min(joined)
+            continue
+        if new == len(sigs):
+            sigs = np.concatenate([sigs, np.zeros_like(sigs)])
+        sigs[new] = mine
+        for parent, joined in ((loose, tries), (firm, one)):
+            parent.append(new)
+            for r in joined:
+                parent[r] = new
+        nodes.append(node)
+        tree.add(wide)
+
+
+def _dealt_anew(entries: DataFrame, key: Column, label: str) -> DataFrame:
+    """Entries whose shard is crowded get another key. The table of those shards is written, so its size is known
+    to the planner, which broadcasts it only under its threshold."""
+    crowded = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED), label)
+    if crowded.isEmpty():
+        return entries
+    out = entries.join(crowded, "key", "left")
+    return out.withColumn("key", F.when(F.col("n").isNotNull(), key).otherwise(F.col("key"))).drop("n")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): distinct pairs of nodes from the wide search. Crowded shards are dealt anew by the next band as well,
+    and what is still crowded at random; there the other bands' shards have to find what these part."""
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = nodes.select("node", "wide", "sig", "bands", F.posexplode("bands").alias("band", "key"))
+    entries = entries.select("node", "wide", "sig", "band", "key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
+    entries = _dealt_anew(entries, F.xxhash64("key", "next"), "crowded-1").drop("next")
+    entries = _dealt_anew(entries, F.xxhash64("key", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / CROWDED))), "crowded-2")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for _, c in rows_of(batches) for row in zip(c["key"], c["node"], c["wide"], c["sig"]))
+        a, b = [], []
+        for _, shard in groupby(every, itemgetter(0)):
+            for x, y in wide_forest((node, wide & 0xFFFFFFFFFFFFFFFF, sig) for _, node, wide, sig in shard):
+                a.append(min(x, y)), b.append(max(x, y))
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    dealt = entries.select("key", "node", "wide", "sig").repartition(n, "key").sortWithinPartitions("key", "node")
+    return materialize(dealt.mapInArrow(trees, "a binary, b binary").distinct(), "candidates")
+
+
+def similar_edges(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int = 5, level: float = 0.8) -> DataFrame:
+    """(a, b): candidates whose sets of shingles have an exact Jaccard similarity of `level` or more."""
+    pairs = candidates(nodes)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    one = materialize(one.select("node", F.col("r.doc_id").alias("d"), F.col("r.text_hash").alias("h")), "ends")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("t"))
+    found = texts.join(one, texts.doc_id.eqNullSafe(one.d) & (F.col("text_hash") == F.col("h"))).select("node", "t").dropDuplicates(["node"])
+    found = materialize(found, "texts")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(found.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for b, c in rows_of(batches):
+            keep = []
+            for node, x, y in zip(c["b"], c["ta"], c["tb"]):
+                if node != last:
+                    last, held = node, np.unique(shingle_values(split_words(y), shingle))
+                other = np.unique(shingle_values(split_words(x), shingle))
+                common = len(np.intersect1d(held, other, assume_unique=True))
+                keep.append(common >= level * (len(held) + len(other) - common) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary"), "similar")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and component_id of each row, linked by fingerprints (as in clusters) or by similarity."""
+    rows = sketches(docs)
+    once = [F.any_value(c).alias(c) for c in ("fp", "wide", "sig", "bands")]
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *once), "nodes")
+    by_fp = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct")
+    same = nodes.join(by_fp.where("n > 1"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    first = by_fp.select("fp", "first")
+    bits = links(by_fp.select("fp")).join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a")
+    bits = bits.join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(same.unionByName(bits).unionByName(similar_edges(docs, rows, nodes)))
+    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "text_hash", "node").join(placed.join(whole, "root").select("node", "component_id"), "node").drop("node")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (of rows that share it, one)."""
-    fps, found = clusters(docs.select("doc_id", "text"))
-    mine = fps.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each group: the one with the smallest doc_id (of rows that share it, one)."""
+    mine = groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = mine.groupBy("component_id").agg(F.min("text_hash").alias("_h")).select(F.col("component_id").alias("_id"), "_h")
     marked = docs.withColumn("_t", F.xxhash64("text"))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi")

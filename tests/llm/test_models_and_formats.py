@@ -138,13 +138,9 @@ def test_pipeline(spark, sf_more):
     got = corpus_pipeline.run(spark, sf_more).toPandas()
     clean = toxicity.flag(docs, labels).where("not toxicity.flagged").select(*docs.columns)
     good = quality.score(clean, labels).where("quality_score >= 0.7").select(*docs.columns).toPandas()
-    from test_counts_and_digests import brute_components, brute_fingerprint
+    from test_near_duplicates import brute_groups
 
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in good.itertuples()}
-    root, least = brute_components(fps.values()), {}
-    for d, f in sorted(fps.items(), reverse=True):
-        least[root[f]] = d
-    kept = good[good.doc_id.isin(least.values())]
+    kept = good[good.doc_id.isin(set(brute_groups(list(zip(good.doc_id, good.text))).values()))]
     judged = decontaminate.judged(spark.createDataFrame(kept), spark.read.parquet(f"{sf_more}/benchmark.parquet")).where("not contaminated")
     want = packing.pieces(judged).toPandas()
     assert sorted(zip(got.doc_id, got.piece, got.ids_crc32)) == sorted(zip(want.doc_id, want.piece, want.ids_crc32))
