@@ -13,14 +13,12 @@ any other; equal rows fall into one component; rows with a null doc_id get a com
 a null is never a component's smallest id unless it has no other. Long texts are read whole.
 
 The pipeline's stage links by that rule and, beyond it, by an exact Jaccard similarity of five-word shingles
-(see similar_edges); rows that share a doc_id and a text leave one row.
+(see similar and pairs); rows that share a doc_id and a text leave one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +31,12 @@ from .common import materialize, ready, rows_of, split_words, table
 BITS = 64
 SHARD = 512
 LEVELS = 5
-#: Of the wide search: shards are bands of minima, trees reach so many bits, candidates agree in so many of the minima.
-BANDS, ROWS, WIDE, AGREE = 12, 4, 18, 30
-#: A shard with more rows is dealt anew.
+#: Of the search for similar sets: bands of minima find most links cheaply, an exact join of prefixes finds the rest.
+BANDS, ROWS = 12, 4
+#: Bits of a set's parity, and counters of shingles.
+PARITY, COUNTERS = 1024, 1 << 20
+#: A shingle that more sets hold is compared block by block.
 CROWDED = 4096
-#: Rows that agree in so many minima are all but equal: a row meets one of them, and a tree of SHARD rows takes no more of
-#: them. Of the rest of each tree of pairs a row meets the likeliest, at most so many in a shard.
-SURE, TRIES = 46, 8
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, np.uint64)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -252,122 +249,152 @@ def minima(values: np.ndarray) -> np.ndarray:
     return low
 
 
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    return np.unique(shingle_values(split_words(text), shingle))
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """Longs of PARITY bits, each the parity of the values that fall on it: sets differ in at least as many members as bits."""
+    odd = np.bincount((values % PARITY).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Of each row: doc_id, text_hash, node (a 128-bit hash of its words in order), fp (three-word fingerprint), and of
-    its `shingle`-word shingles the fingerprint (wide), the minima's low bytes (sig) and its shards (bands)."""
+    """Of each row: doc_id, text_hash, node (a 128-bit hash of its words in order), fp (three-word fingerprint), and of its
+    set of `shingle`-word shingles a 128-bit hash (whole), the size n, the parity bits and the keys of bands of minima."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, c in rows_of(batches):
-            node, fp, wide, sig, bands = [], [], [], [], []
+            node, fp, whole, n, bits, bands = [], [], [], [], [], []
             for t in c["t"]:
                 words = split_words(t)
                 node.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fp.append(majority(shingle_values(words, 3)))
-                values = shingle_values(words, shingle)
-                wide.append(majority(values))
+                values = shingle_set(t, shingle)
+                whole.append(xxhash.xxh3_128_digest(values.tobytes()))
+                n.append(len(values))
+                bits.append(parity(values).tolist())
                 low = minima(values)
-                sig.append(low.astype(np.uint8).tobytes())
                 keys = [xxhash.xxh64_intdigest(low[j * ROWS : (j + 1) * ROWS].tobytes(), j) for j in range(BANDS if words else 0)]
                 bands.append(np.array(keys, np.uint64).view(np.int64).tolist())
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, wide)]
-            more = [pa.array(node, pa.binary()), *longs, pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["doc_id", "text_hash", "node", "fp", "wide", "sig", "bands"])
+            more = [pa.array(node, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(whole, pa.binary()), pa.array(n, pa.int32())]
+            more += [pa.array(x, pa.list_(pa.int64())) for x in (bits, bands)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], ["doc_id", "text_hash", "node", "fp", "whole", "n", "bits", "bands"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("t"))
-    return materialize(source.mapInArrow(run, "doc_id long, text_hash long, node binary, fp long, wide long, sig binary, bands array<long>"), "sketches")
+    out = "doc_id long, text_hash long, node binary, fp long, whole binary, n int, bits array<long>, bands array<long>"
+    return materialize(_keyed(docs).mapInArrow(run, out), "sketches")
 
 
-def wide_forest(rows: Iterator[tuple[bytes, int, bytes]]) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of nodes of one shard that may be similar, enough to span what is: each (node, wide, sig) walks the shard's
-    BK-tree and meets rows of every tree of pairs that it agrees with, those that agree most first."""
-    tree, nodes, sigs = BKTree(), [], np.zeros((64, BANDS * ROWS), np.uint8)
-    loose: list[int] = []  # trees of all pairs
-    firm: list[int] = []  # trees of pairs that are all but equal, so that the exact check can't part them
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("t"))
 
-    def root(parent: list[int], i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    for node, wide, sig in rows:
-        mine = np.frombuffer(sig, np.uint8)
-        at = np.array(tree.near(wide, WIDE), np.int64)
-        agree = (sigs[at] == mine).sum(axis=1)
-        order = np.argsort(-agree, kind="stable")
-        order = order[agree[order] >= AGREE]
-        tries: dict[int, int] = {}
-        one: set[int] = set()
-        for j, same in zip(at[order].tolist(), (agree[order] >= SURE).tolist()):
-            r, f = root(loose, j), root(firm, j)
-            if f not in one and tries.get(r, 0) < TRIES:
-                tries[r] = tries.get(r, 0) + 1
-                if same:
-                    one.add(f)
-                yield node, nodes[j]
-        new = len(nodes)
-        if new >= SHARD and len(order) and agree[order[0]] >= SURE:  # the row stays out of the tree; what it joins is one
-            for parent, joined in ((loose, tries), (firm, one)):
-                for r in joined:
-                    parent[r] = min(joined)
-            continue
-        if new == len(sigs):
-            sigs = np.concatenate([sigs, np.zeros_like(sigs)])
-        sigs[new] = mine
-        for parent, joined in ((loose, tries), (firm, one)):
-            parent.append(new)
-            for r in joined:
-                parent[r] = new
-        nodes.append(node)
-        tree.add(wide)
-
-
-def _dealt_anew(entries: DataFrame, key: Column, label: str) -> DataFrame:
-    """Entries whose shard is crowded get another key. The table of those shards is written, so its size is known
-    to the planner, which broadcasts it only under its threshold."""
-    crowded = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED), label)
-    if crowded.isEmpty():
-        return entries
-    out = entries.join(crowded, "key", "left")
-    return out.withColumn("key", F.when(F.col("n").isNotNull(), key).otherwise(F.col("key"))).drop("n")
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): distinct pairs of nodes from the wide search. Crowded shards are dealt anew by the next band as well,
-    and what is still crowded at random; there the other bands' shards have to find what these part."""
-    spark = nodes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = nodes.select("node", "wide", "sig", "bands", F.posexplode("bands").alias("band", "key"))
-    entries = entries.select("node", "wide", "sig", "band", "key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
-    entries = _dealt_anew(entries, F.xxhash64("key", "next"), "crowded-1").drop("next")
-    entries = _dealt_anew(entries, F.xxhash64("key", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / CROWDED))), "crowded-2")
+def frequencies(docs: DataFrame, shingle: int = 5) -> np.ndarray:
+    """COUNTERS sums of the rows' shingles by the shingle's leading bits: never less than the rows that hold a shingle.
+
+    They only order shingles (any order that all texts share gives the same links), so their number needn't grow."""
+    spark = ready(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for _, c in rows_of(batches):
+            seen += np.bincount(_counter(np.concatenate([shingle_set(t, shingle) for t in c["t"]])), minlength=COUNTERS)
+        parts = seen.reshape(-1, 4096)
+        used = np.flatnonzero(parts.any(axis=1))
+        for k in range(0, len(used), 64):
+            some = used[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "seen"])
+
+    def total(t: pa.Table) -> pa.Table:
+        seen = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("seen"))
+        return pa.table({"part": t.column("part")[:1], "seen": pa.array([seen.tobytes()], pa.binary())})
+
+    texts = docs.select(F.col("text").cast("binary").alias("t"))
+    sums = texts.mapInArrow(count, "part long, seen binary").groupBy("part").applyInArrow(total, "part long, seen binary")
+    out = np.zeros((COUNTERS // 4096, 4096), np.int64)
+    for r in materialize(sums, "frequencies").collect():
+        out[r.part] = np.frombuffer(r.seen, np.int64)
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def prefixes(docs: DataFrame, shingle: int = 5, level: float = 0.8) -> DataFrame:
+    """Of each set of shingles, by its hash (whole): the rarest n - ceil(level n) + 1 in the order of frequencies(), and how
+    many of them at most CROWDED rows hold for certain (cool; they come first)."""
+    seen = docs.sparkSession.sparkContext.broadcast(frequencies(docs, shingle))
+    crowded = CROWDED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c in rows_of(batches):
+            whole, prefix, cool = [], [], []
+            for t in c["t"]:
+                values = shingle_set(t, shingle)
+                often = seen.value[_counter(values)]
+                first = np.lexsort((values, often))[: len(values) - int(np.ceil(level * len(values) - 1e-9)) + 1]
+                whole.append(xxhash.xxh3_128_digest(values.tobytes()))
+                prefix.append(values[first].view(np.int64))
+                cool.append(int((often[first] <= crowded).sum()))
+            columns = [pa.array(whole, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cool, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["whole", "prefix", "cool"])
+
+    texts = docs.select(F.col("text").cast("binary").alias("t"))
+    return texts.mapInArrow(run, "whole binary, prefix array<long>, cool int").dropDuplicates(["whole"])
+
+
+def _may_reach(level: float) -> Column:
+    """Whether sets of na and nb members differ in so few parity bits that their similarity can be `level`."""
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return differ <= (F.col("na") + F.col("nb")) * F.lit((1 - level) / (1 + level)) + F.lit(1e-6)
+
+
+def _sides(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The sets' nodes, sizes and bits for either end of pairs (a, b) of `key`."""
+    return tuple(sets.select(F.col(key).alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+
+
+def likely(sets: DataFrame, level: float = 0.8) -> DataFrame:
+    """(a, b): each set's node with the smallest of each of its bands. Links among these spare `pairs` most of its work."""
+    entries = sets.select("node", F.explode("bands").alias("key"))
+    low = entries.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")
+    stars = entries.join(low, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    a, b = _sides(sets.withColumn("at", F.col("node")), "at")
+    return stars.join(a, "a").join(b, "b").where(_may_reach(level)).select("a", "b")
+
+
+def pairs(docs: DataFrame, sets: DataFrame, level: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(a, b): every pair of nodes of `sets` whose similarity is `level` or more and whose roots differ, and some others.
+
+    Such sets meet in the first shingle of the common order that both hold, and it is in both prefixes. There each has at
+    least the shingles in common left. Keys are 64-bit hashes; nodes of one key all go on to the exact check."""
+    keyed = sets.withColumn("id", F.xxhash64("node"))
+    held = keyed.select("whole", "id", F.xxhash64("root").alias("r"), "n").join(prefixes(docs, shingle, level), "whole").drop("whole")
+    held = materialize(held, "prefixes")
+    entries = _cells(held.select("id", "r", "n", "cool", F.posexplode("prefix").alias("p", "key")))
+    a, b = (entries.select("key", "cell", F.col("id").alias(x), F.col("r").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * F.lit(1 + level) >= (F.col("na") + F.col("nb")) * F.lit(level) - F.lit(1e-6)
+    met = materialize(a.join(b, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct(), "met")
+    a, b = _sides(keyed, "id")
+    return met.join(a, "a").join(b, "b").where(_may_reach(level)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (row for _, c in rows_of(batches) for row in zip(c["key"], c["node"], c["wide"], c["sig"]))
-        a, b = [], []
-        for _, shard in groupby(every, itemgetter(0)):
-            for x, y in wide_forest((node, wide & 0xFFFFFFFFFFFFFFFF, sig) for _, node, wide, sig in shard):
-                a.append(min(x, y)), b.append(max(x, y))
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    dealt = entries.select("key", "node", "wide", "sig").repartition(n, "key").sortWithinPartitions("key", "node")
-    return materialize(dealt.mapInArrow(trees, "a binary, b binary").distinct(), "candidates")
+def _cells(entries: DataFrame) -> DataFrame:
+    return entries.withColumn("cell", F.lit(0))
 
 
-def similar_edges(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int = 5, level: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: int = 5, level: float = 0.8) -> DataFrame:
     """(a, b): candidates whose sets of shingles have an exact Jaccard similarity of `level` or more."""
-    pairs = candidates(nodes)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    candidates = materialize(candidates, "candidates")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
     one = materialize(one.select("node", F.col("r.doc_id").alias("d"), F.col("r.text_hash").alias("h")), "ends")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("t"))
+    texts = _keyed(docs)
     found = texts.join(one, texts.doc_id.eqNullSafe(one.d) & (F.col("text_hash") == F.col("h"))).select("node", "t").dropDuplicates(["node"])
     found = materialize(found, "texts")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(found.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    both = candidates.join(found.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(found.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -375,11 +402,11 @@ def similar_edges(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: i
             keep = []
             for node, x, y in zip(c["b"], c["ta"], c["tb"]):
                 if node != last:
-                    last, held = node, np.unique(shingle_values(split_words(y), shingle))
-                other = np.unique(shingle_values(split_words(x), shingle))
+                    last, held = node, shingle_set(y, shingle)
+                other = shingle_set(x, shingle)
                 common = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(common >= level * (len(held) + len(other) - common) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary"), "similar")
 
@@ -387,15 +414,23 @@ def similar_edges(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: i
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and component_id of each row, linked by fingerprints (as in clusters) or by similarity."""
     rows = sketches(docs)
-    once = [F.any_value(c).alias(c) for c in ("fp", "wide", "sig", "bands")]
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *once), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("whole").alias("whole")), "nodes")
+    once = [F.any_value(c).alias(c) for c in ("n", "bits", "bands")]
+    sets = materialize(rows.where("n > 0").groupBy("whole").agg(F.min("node").alias("node"), *once), "sets")
+    equal = nodes.join(sets.select("whole", F.col("node").alias("b")), "whole").select(F.col("node").alias("a"), "b").where("a <> b")
     by_fp = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct")
     same = nodes.join(by_fp.where("n > 1"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     first = by_fp.select("fp", "first")
     bits = links(by_fp.select("fp")).join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a")
     bits = bits.join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(same.unionByName(bits).unionByName(similar_edges(docs, rows, nodes)))
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    edges = same.unionByName(bits).unionByName(equal).unionByName(similar(docs, rows, likely(sets)))
+    placed = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialize(placed, "placed")
+    rest = similar(docs, rows, pairs(docs, sets.join(placed.select("node", "root"), "node")))
+    a, b = (placed.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    rest = rest.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    last = components(rest).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    placed = placed.join(last, "root", "left").select("node", "least", F.coalesce("last", "root").alias("root"))
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "text_hash", "node").join(placed.join(whole, "root").select("node", "component_id"), "node").drop("node")
 
