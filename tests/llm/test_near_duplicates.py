@@ -112,3 +112,16 @@ def test_planted_pairs_in_a_template(spark):
     got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
     assert len(set(want.values())) > 200
+
+
+def test_copies_that_differ_in_repeats(spark):
+    """Sets of shingles that are (all but) equal, from texts that repeat a line twice or thirty times."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        base, line = ([f"{x}{k}w{rng.randrange(10**6)}" for _ in range(n)] for x, n in (("b", 600), ("l", 20)))
+        rows += [(2 * k, " ".join(base + line * 2)), (2 * k + 1, " ".join(base + line * 30))]
+    far = sum((simhash.majority(simhash.shingle_values(a.encode().split(), 5)) ^ simhash.majority(simhash.shingle_values(b.encode().split(), 5))).bit_count() > 18 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    assert far > 5
+    got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows) == {k: k - k % 2 for k in range(60)}
