@@ -382,7 +382,17 @@ def pairs(docs: DataFrame, sets: DataFrame, level: float = 0.8, shingle: int = 5
 
 
 def _cells(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("cell", F.lit(0))
+    """Each entry with its cell. A shingle of at most CROWDED entries is one cell; those of any other are dealt into b blocks,
+    and each block meets each other and itself in a cell of its own. The table of those is written, so its size is known to
+    the planner, which broadcasts it only under its threshold."""
+    n = entries.where(F.col("p") >= F.col("cool")).groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > CROWDED)
+    crowded = materialize(n.select("key", F.ceil(F.col("k") / CROWDED).cast("int").alias("b")), "crowded")
+    if crowded.isEmpty():
+        return entries.withColumn("cell", F.lit(0).cast("long"))
+    b = F.coalesce("b", F.lit(1))
+    own = F.pmod(F.xxhash64("id", "key"), b)
+    cells = F.transform(F.sequence(F.lit(0), b - 1), lambda j: F.least(own, j) * b + F.greatest(own, j))
+    return entries.join(crowded, "key", "left").withColumn("cell", F.explode(cells)).drop("b")
 
 
 def similar(docs: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: int = 5, level: float = 0.8) -> DataFrame:

@@ -125,3 +125,15 @@ def test_copies_that_differ_in_repeats(spark):
     assert far > 5
     got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_groups(rows) == {k: k - k % 2 for k in range(60)}
+
+
+def test_planted_pairs_in_a_crowd(spark, monkeypatch):
+    """Shingles that more texts hold than CROWDED are compared block by block, and no pair is parted."""
+    monkeypatch.setattr(simhash, "CROWDED", 50)
+    rows = family(random.Random(10), 300, 40)
+    cells = []
+    plain = simhash._cells
+    monkeypatch.setattr(simhash, "_cells", lambda e: cells.append(plain(e).agg({"cell": "max"}).first()[0]) or plain(e))
+    got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert cells[0] > 10
+    assert got == brute_groups(rows)
