@@ -422,7 +422,8 @@ def similar(docs: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: in
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and component_id of each row, linked by fingerprints (as in clusters) or by similarity."""
+    """doc_id, text_hash, component_id and root of each row, linked by fingerprints (as in clusters) or by similarity. The
+    root is the component's own; unrelated components may share a component_id, as rows may share a doc_id or have none."""
     rows = sketches(docs)
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("whole").alias("whole")), "nodes")
     once = [F.any_value(c).alias(c) for c in ("n", "bits", "bands")]
@@ -442,13 +443,14 @@ def groups(docs: DataFrame) -> DataFrame:
     last = components(rest).select(F.col("node").alias("root"), F.col("root").alias("last"))
     placed = placed.join(last, "root", "left").select("node", "least", F.coalesce("last", "root").alias("root"))
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "text_hash", "node").join(placed.join(whole, "root").select("node", "component_id"), "node").drop("node")
+    return rows.select("doc_id", "text_hash", "node").join(placed.join(whole, "root").select("node", "component_id", "root"), "node").drop("node")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (of rows that share it, one)."""
-    mine = groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = mine.groupBy("component_id").agg(F.min("text_hash").alias("_h")).select(F.col("component_id").alias("_id"), "_h")
+    """One document of each group: the one with the smallest doc_id, then text hash; a null doc_id comes last."""
+    mine = groups(docs.select("doc_id", "text"))
+    first = mine.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"))
+    keep = first.select(F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_h"))
     marked = docs.withColumn("_t", F.xxhash64("text"))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)

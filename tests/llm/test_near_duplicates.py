@@ -137,3 +137,12 @@ def test_planted_pairs_in_a_crowd(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert cells[0] > 10
     assert got == brute_groups(rows)
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    """A component is known by its root: unrelated texts stay, whether their ids are null or equal."""
+    rng = random.Random(11)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (5, d), (5, e), (6, d), (7, e), (5, e), (8, f)]
+    kept = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (1, c), (5, d), (5, e), (8, f)])
