@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 
-#: A comma or full stop between a word's ASCII end and white space or the text's end.
-_AFTER_WORD = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \t\n\x0b\x0c\r]|\Z)")
+#: ASCII that is neither letter, digit nor white space.
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Of each byte: 0 for white space, 1 for an ASCII letter or digit, 2 for an ASCII sign, 3 for any other.
+_KIND = np.array([0 if b in b" \t\n\x0b\x0c\r" else 1 if chr(b).isalnum() and b < 128 else 2 if b in _SIGNS else 3 for b in range(256)], np.uint8)
+#: The longest chunk whose bytes and length make two integers.
+SHORT = 15
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)], np.uint64)
+_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)], np.uint64)
 #: The signs for bytes that byte-level vocabularies use: printable Latin-1 stands for itself, the rest follow from 256 on.
 _ITSELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _ITSELF)}
@@ -24,85 +29,207 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT)
 
 
+def _pairs(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers that hold the bytes (at most SHORT) at starts, and their number."""
+    words = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    return words[starts] & _LOW[length], words[starts + 8] & _HIGH[length] | (length << 56).astype(np.uint64)
+
+
+def _spread(at: np.ndarray, more: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at) + len(more), np.int64)
+    out[at], out[more] = a, b
+    return out
+
+
+class ShortTable:
+    """Pairs of integers -> index, by open addressing over arrays, so that many are looked up at once."""
+
+    def __init__(self, entries: int):
+        self.bits = max(10, (2 * entries).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.low, self.high, self.index = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = (low ^ (low >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The index of each pair, or -1."""
+        slot = self._slots(low, high)
+        out = self.index[slot]
+        todo = np.flatnonzero((out >= 0) & ((self.low[slot] != low) | (self.high[slot] != high)))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & (len(self.index) - 1)
+            out[todo] = self.index[slot]
+            other = (out[todo] >= 0) & ((self.low[slot] != low[todo]) | (self.high[slot] != high[todo]))
+            todo, slot = todo[other], slot[other]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, index: np.ndarray) -> None:
+        """Distinct pairs that aren't in the table yet, with distinct indexes."""
+        slot, todo = self._slots(low, high), np.arange(len(low))
+        while len(todo):
+            free = self.index[slot] < 0
+            self.index[slot[free]] = index[todo[free]]  # of those that meet in a slot one stays
+            mine = self.index[slot] == index[todo]
+            self.low[slot[mine]], self.high[slot[mine]] = low[todo[mine]], high[todo[mine]]
+            todo, slot = todo[~mine], (slot[~mine] + 1) & (len(self.index) - 1)
+
+
 class ChunkEncoder:
     """encode(texts) equals Tokenizer.encode(text, add_special_tokens=False).ids for each text.
 
     The vocabulary's pre-tokenizer never lets a token span white space, and its normalizer
-    works character by character, so each chunk between ASCII white space encodes alone.
-    So do a word that ends in an ASCII letter or digit and one comma or full stop after it, and A-Z are as a-z.
+    works character by character, so each chunk between ASCII white space encodes alone, and A-Z are as a-z.
+    So do a chunk's ASCII signs at its end and what stands before them, if that ends in a letter or digit.
     Chunks recur, so their ids are kept in one pool; the cache starts afresh at its limit. A lower-case word of
     letters alone goes straight to the vocabulary's merges, as nothing would change or part it before them.
     Only DEFAULT has these rules; with another file every text is encoded whole.
     """
 
-    def __init__(self, path: str | None = None, entries: int = 800_000, pool: int = 8_000_000):
+    def __init__(self, path: str | None = None, entries: int = 1_000_000, pool: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.by_chunk = path is None or os.path.basename(path) == DEFAULT
         self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.entries, self.pool_limit = entries, pool
+        self.short = ShortTable(entries + (1 << 18))
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.pool = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i]..ends[i + 1] is chunk i
-        self.used = 0
+        self.used = self.count = 0
+        self.short.clear()
 
     def _add(self, chunks: list[bytes]) -> None:
-        for k in range(0, len(chunks), 4096):
-            part = chunks[k : k + 4096]
+        """Index new chunks: those that end in signs from their two parts, the others by the tokenizer."""
+        whole, parted = {}, []
+        for c in chunks:
+            base = c.rstrip(_SIGNS)
+            if len(base) == len(c) or not self._parts(c, base):
+                whole[c] = None
+            else:
+                parted.append((c, base, c[len(base) :]))
+        whole.update((x, None) for _, *both in parted for x in both)
+        fresh = [c for c in whole if c not in self.index]
+        for k in range(0, len(fresh), 4096):
+            part = fresh[k : k + 4096]
             found = [self._plain(c) for c in part]
             hard = [i for i, f in enumerate(found) if f is None]
             for i, e in zip(hard, self.tokenizer.encode_batch_fast([part[i].decode() for i in hard], add_special_tokens=False)):
                 found[i] = e.ids
-            flat = np.fromiter(chain.from_iterable(found), np.uint32)
-            at, n = len(self.index), len(part)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while at + n + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.ends[at + 1 : at + n + 1] = self.used + np.cumsum([len(f) for f in found])
-            self.used += len(flat)
-            self.index.update(zip(part, range(at, at + n)))
+            self._keep(part, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(part)))
+        if parted:
+            at = np.fromiter((self.index[x] for _, *both in parted for x in both), np.int64, 2 * len(parted))
+            ids, lengths = self._gather(at)
+            self._keep([c for c, *_ in parted], ids, lengths.reshape(-1, 2).sum(axis=1))
+
+    def _parts(self, chunk: bytes, base: bytes) -> bool:
+        """Whether the signs after base are tokens of their own."""
+        if not self.by_chunk or not base or any(s in chunk for s in self.special):
+            return False
+        if base.isascii():
+            return base[-1:].isalnum()
+        word = base.decode()
+        return word[-1].isalnum() and word.lower() == word and unicodedata.is_normalized("NFC", word)
+
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, n = self.count, len(chunks)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while at + n + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.ends[at + 1 : at + n + 1] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+        self.count += n
+        self.index.update(zip(chunks, range(at, at + n)))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the indexed chunks in order, and how many each has."""
+        starts = self.ends[at]
+        lengths = self.ends[at + 1] - starts
+        stops = np.cumsum(lengths)
+        return self.pool[np.repeat(starts - stops + lengths, lengths) + np.arange(int(stops[-1]) if len(stops) else 0)], lengths
 
     def _plain(self, chunk: bytes) -> list[int] | None:
         """Ids of a lower-case word of letters; None for any other chunk."""
         if not self.by_chunk:
             return None
-        if chunk.isalpha() and chunk.islower():  # ASCII
-            word = chunk.decode()
-        else:
-            word = chunk.decode()
+        word = chunk.decode()
+        if not (chunk.isalpha() and chunk.islower()):  # ASCII
             if not word.isalpha() or word.lower() != word or not unicodedata.is_normalized("NFC", word):
                 return None
             word = chunk.decode("latin-1").translate(_BYTE_SIGNS)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
-    def _chunks(self, text: bytes | None) -> list[bytes]:
-        if not text:
-            return []
-        if not self.by_chunk:
-            return [text]
-        if not any(s in text for s in self.special):  # else A-Z could turn into a special token's letters
-            text = text.lower()
-        return _AFTER_WORD.sub(rb" \g<0>", text).split()
+    def _split(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The index of each chunk of texts without special tokens, and how many chunks each text has."""
+        sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
+        joined = b" ".join([b"", *(t or b"" for t in texts), b" " * (SHORT + 1)]).lower()
+        raw = np.frombuffer(joined, np.uint8)
+        kind = _KIND[raw]
+        edges = np.flatnonzero((kind[1:] != 0) != (kind[:-1] != 0)) + 1
+        starts, stops = edges[::2], edges[1::2]
+        sign = stops.copy()  # where the signs at a chunk's end begin, if there are a few of them
+        for _ in range(4):
+            sign -= (kind[sign - 1] == 2) & (sign > starts)
+        cut = (sign < stops) & (kind[sign - 1] == 1)
+        if cut.any():
+            at = np.arange(len(starts)) + np.cumsum(cut) - cut
+            more = at[cut] + 1
+            starts, stops = _spread(at, more, starts, sign[cut]), _spread(at, more, np.where(cut, sign, stops), stops[cut])
+        per_text = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes + 1) + 1])))
+        length = stops - starts
+        brief = np.flatnonzero(length <= SHORT)
+        low, high = _pairs(raw, starts[brief], length[brief])
+        out = np.empty(len(starts), np.int64)
+        out[brief] = self.short.find(low, high)
+        long = np.flatnonzero(length > SHORT)
+        names = [joined[a:z] for a, z in zip(starts[long].tolist(), stops[long].tolist())]
+        out[long] = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(long))
+        if len(missing := np.flatnonzero(out < 0)):
+            names = [joined[a:z] for a, z in zip(starts[missing].tolist(), stops[missing].tolist())]
+            fresh = sorted(set(names))
+            before = self.count
+            self._add(fresh)
+            self._index_short(before)
+            out[missing] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        return out, per_text
+
+    def _index_short(self, before: int) -> None:
+        """Move the brief ones of the chunks from number `before` on to the table of integers."""
+        names = list(islice(reversed(self.index), self.count - before))[::-1]
+        length = np.fromiter(map(len, names), np.int64, len(names))
+        raw = np.frombuffer(b"".join(names) + b" " * (SHORT + 1), np.uint8)
+        brief = np.flatnonzero(length <= SHORT)
+        low, high = _pairs(raw, (np.cumsum(length) - length)[brief], length[brief])
+        self.short.add(low, high, (before + brief).astype(np.int32))
+
+    def _whole(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As _split, for texts that may hold special tokens (A-Z could turn into their letters) or another file's rules."""
+        chunks = [[] if not t else t.split() if self.by_chunk else [t] for t in texts]
+        flat = list(chain.from_iterable(chunks))
+        if fresh := sorted(set(flat).difference(self.index)):
+            before = self.count
+            self._add(fresh)
+            self._index_short(before)
+        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, chunks), np.int64, len(chunks))
 
     def encode(self, texts: list[bytes | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offsets of each text (one more than texts); end is appended to each text."""
-        chunks = [self._chunks(t) for t in texts]
-        flat = list(chain.from_iterable(chunks))
-        if len(self.index) > self.entries or self.used > self.pool_limit:
+        if self.count > self.entries or self.used > self.pool_limit:
             self._clear()
-        if new := set(flat).difference(self.index):
-            self._add(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        first = np.cumsum(lengths) - lengths
-        ids = self.pool[np.repeat(starts - first, lengths) + np.arange(int(lengths.sum()))]
-        per_text = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        plain = self.by_chunk and not any(s in t for t in texts if t for s in self.special)
+        at, per_text = (self._split if plain else self._whole)(texts)
+        ids, lengths = self._gather(at)
         bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per_text)])]
         if end is None:
             return ids, bounds
