@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,12 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready(spark: SparkSession, batch_rows: int = 512) -> SparkSession:
-    """Small Arrow batches (texts may be long), and the package on every worker's path.
-
-    Workers that inherit a PYTHONPATH with this repository need no copy; others get a zip.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+def ready(spark: SparkSession) -> SparkSession:
+    """The package on every worker's path. Workers that inherit a PYTHONPATH with this repository need no copy; others get
+    a zip. No session setting is touched."""
     sc = spark.sparkContext
     inherited = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) not in inherited and _state.get("shipped") != sc.applicationId:
@@ -42,11 +40,14 @@ def ready(spark: SparkSession, batch_rows: int = 512) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests) a folder made here."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder made
+    here; a cluster's executors couldn't see one, so there it is an error."""
     sc = spark.sparkContext
     if given := sc.getConf().get("spark.checkpoint.dir"):
         return given.rstrip("/")
     if _state.get("app") != sc.applicationId:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = os.path.realpath(tempfile.mkdtemp(prefix="checkpoint-"))
         sc.setCheckpointDir(made)
         _state.update(app=sc.applicationId, dir=made)
@@ -86,13 +87,25 @@ def remainder(key: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % m
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
-    """Each Arrow batch with its columns as Python lists."""
-    for b in batches:
-        if b.num_rows:
+def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Batches of at most `rows` rows, as Arrow and with their columns as Python lists."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, rows):
+            b = whole.slice(k, rows)
             yield b, {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
 
 
+def fresh_names(columns: list[str], *wanted: str) -> list[str]:
+    """A name for each of the wanted ones that no column has, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """A-Z in lower case, words of [^\\x20\\x09-\\x0D]+ (bytes.lower and bytes.split are ASCII only)."""
     return text.lower().split() if text else []

@@ -93,7 +93,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES, threshold: float = 0.5) -> DataFrame:
     """pages with host, path, rule, block_probability and verdict. labelled: url, label (1: block)."""
-    ready(pages.sparkSession, 4096)
+    ready(pages.sparkSession)
     w, b = train(labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label"))
 
     @F.pandas_udf("double")

@@ -110,7 +110,7 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, ranges: int | None = None) -> DataFrame:
     """OUT for every document."""
-    spark = ready(docs.sparkSession, 256)
+    spark = ready(docs.sparkSession)
     n = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(_FIRST))
@@ -130,7 +130,7 @@ def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, ranges: int | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for _, c in rows_of(batches):
+        for _, c in rows_of(batches, 256):
             rows = []
             for d, text, g in zip(c["doc_id"], c["text"], c["g"]):
                 if g and held is None:

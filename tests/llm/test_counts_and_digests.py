@@ -35,6 +35,21 @@ def test_encoder_equals_the_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_equals_the_tokenizer_on_mixtures():
+    """Signs, marks, controls, special tokens and letters of many kinds, side by side."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(default_path()), np.random.default_rng(1)
+    parts = [*"abAB19 .,#$*&'_<|>-\n\t\u0301\u0307éÉßİſǅﬁªΩК漢…“क़\x00\x1c\x85\xa0²½٣Ⅷ  ", "<|endoftext|>", "word", "the", "'s", "x" * 16]
+    encoders = [ChunkEncoder(), ChunkEncoder(entries=20)]
+    for k in range(120):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(20)]
+        texts = [x.replace("<|", "") for x in texts] if k % 2 else texts
+        for e in encoders:
+            ids, bounds = e.encode([x.encode() for x in texts])
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_base_scores_and_held_out_gain(spark, sf, documents):
     got = lm_scoring.query(spark, sf).toPandas().set_index("doc_id").sort_index()
     words = {d: [*SPACE.findall(lower(t)), ""] for d, t in zip(documents.doc_id, documents.text)}
@@ -138,7 +153,32 @@ def test_grammar_round_trip_and_random_access(ids):
     for a in range(0, len(ids), max(1, len(ids) // 17)):
         assert (s.ids(a, a + 13) == ids[a : a + 13]).all()
     if len(ids) > 1000 and ids.max() < 9:
-        assert len(s.symbols) < len(ids)
+        assert s.n < len(ids)
+
+
+def test_grammar_is_exhausted():
+    """No pair that comes `least` times is left, beyond overlaps in runs of one symbol."""
+    ids = np.random.default_rng(4).zipf(1.3, 60000) % 500
+    rules, lengths, symbols = repair.compress(ids, 500)
+    key = (symbols[:-1] << 32) | symbols[1:]
+    pairs, times = np.unique(key[symbols[:-1] != symbols[1:]], return_counts=True)
+    assert times.max() < 12 and len(rules) == len(lengths) > 100
+
+
+def test_a_range_reads_only_its_blocks(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 70000, 50000).astype(np.uint32)
+    s = repair.Shard(repair.write_shard(ids, [len(ids)]))
+    read, plain = [], repair._from_planes
+    monkeypatch.setattr(repair, "_from_planes", lambda data, n, width, a, b: read.append(b - a) or plain(data, n, width, a, b))
+    assert (s.ids(20000, 20010) == ids[20000:20010]).all() and sum(read) <= 2 * repair.STEP
+
+
+def test_no_session_setting_changes(spark, odd):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    repair.read_files(repair.write_files(odd)).count()
+    weighted_sampling.fingerprint_edits(odd).count()
+    assert spark.conf.get(key) == before
 
 
 def test_decontamination_brute_force(spark, sf, documents):
@@ -180,7 +220,7 @@ def test_decontamination_small_items(spark, odd, block_bytes):
     found = decontaminate.judged(d, b, block_bytes=block_bytes)
     from pyspark.sql import functions as F
 
-    got = found.select("doc_id", "n_words", "n_hit", F.size("hit_items").alias("n_items"), F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), "contaminated").toPandas()
+    got = found.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").alias("n_items"), F.sha2(F.concat_ws(",", "hits.items"), 256).alias("items_sha256"), "hits.contaminated").toPandas()
     compare_hits(got, docs, items)
     assert decontaminate.judged(odd, b).count() == 11
     cut = decontaminate.remove_spans(d, b, block_bytes=block_bytes).toPandas()
