@@ -72,12 +72,26 @@ def loss_spans(sizes: str) -> Column:
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns, as an array of (role, text), of one formatted conversation."""
+    """The turns, as an array of (role, text), of one formatted conversation. Each run is parted once, so the work grows with
+    the text, however many turns a run has."""
     runs = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda r: r != "")
-    body = lambda r: F.substring(r, F.lit(len(START) + 1), F.length(r))
-    role = lambda r: unescape_role(F.substring_index(body(r), "\n", 1))
-    text = lambda r: F.substring(body(r), F.length(F.substring_index(body(r), "\n", 1)) + 2, F.length(r))
-    return F.flatten(F.transform(runs, lambda r: F.transform(F.split(text(r), r"<\|im_next\|>"), lambda x: F.struct(role(r).alias("role"), unescape(x).alias("text")))))
+    headed = F.transform(runs, lambda r: F.struct(r.alias("r"), F.substring_index(F.substring(r, F.lit(len(START) + 1), F.length(r)), "\n", 1).alias("head")))
+    parted = F.transform(headed, lambda h: F.struct(unescape_role(h["head"]).alias("role"), F.split(F.substring(h["r"], F.length(h["head"]) + len(START) + 2, F.length(h["r"])), r"<\|im_next\|>").alias("texts")))
+    return F.flatten(F.transform(parted, lambda p: F.transform(p["texts"], lambda x: F.struct(p["role"].alias("role"), unescape(x).alias("text")))))
+
+
+def cut_spans(formatted: Column, spans: Column) -> Column:
+    """The texts of spans (start, length in code points). A code point of UTF-8 text is found by counting from the text's
+    beginning, so the text is cut into blocks first, and each span counts from its first block's beginning."""
+    with_size = F.struct(formatted.alias("t"), F.greatest(F.lit(4096), F.ceil(F.length(formatted) / 512).cast("int")).alias("size"), F.length(formatted).alias("n"))
+    in_blocks = F.transform(F.array(with_size), lambda w: F.struct(w["size"].alias("size"), F.transform(F.sequence(F.lit(0), (w["n"] / w["size"]).cast("int")), lambda i: F.substring(w["t"], i * w["size"] + 1, w["size"])).alias("blocks")))
+
+    def one(c: Column, s: Column) -> Column:
+        first = (s["start"] / c["size"]).cast("int")
+        last = ((s["start"] + s["length"]) / c["size"]).cast("int")
+        return F.substring(F.array_join(F.slice(c["blocks"], first + 1, last - first + 1), ""), (s["start"] - first * c["size"] + 1).cast("int"), s["length"].cast("int"))
+
+    return F.flatten(F.transform(in_blocks, lambda c: F.transform(spans, lambda s: one(c, s))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +100,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
     out = format_conversations(given.unionByName(more))
     turns = read_back(F.col("formatted"))
-    cut = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    read = out.select("conv_id", "formatted", turns.alias("turns"), unescape(F.array_join(cut, "")).alias("loss"))
+    read = out.select("conv_id", "formatted", turns.alias("turns"), unescape(F.array_join(cut_spans(F.col("formatted"), F.col("loss_spans")), "")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
