@@ -2,27 +2,34 @@
 
 Training words stream through the automaton, which tracks the longest item passage that ends at each
 word; passages of at least `window` words (or a whole shorter item) are hits. Words that no item has reset
-it, so only runs of item words are walked. Items are read in blocks of at most BLOCK_BYTES of text, one
-automaton each, and documents are scanned against each block; a block is what gets broadcast.
+it, so only runs of item words are walked. Items are read in blocks of at most about BLOCK_BYTES of text, one
+automaton each; a block is what gets broadcast. Documents are scanned against one block after another, and a
+worker holds one automaton at a time (about 60 bytes for each item word and 120 for each distinct one), built once a block.
+
+The pipeline's stage drops contaminated documents (the coverage limit) and cuts passages of `window` words or more (the
+length limit) out of the others; texts without such a passage stay as they are.
 
 Defined results: a null or empty text has no words and is clean; an item without words has no window; a
 null item text counts as empty; a null item_id is written as empty text; items that repeat count once by
-id; repeated documents each get their row. Long texts are read whole.
+id; repeated documents each get their row; a column of the documents that has the name of the result is an error.
+Long texts are read whole.
 """
 
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import fresh_names, materialize, ready, table
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: A-Z in lower case; what isn't 0-9, a-z or beyond ASCII parts words.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 _built: dict = {}
@@ -33,59 +40,78 @@ def item_words(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """States of a suffix automaton of several word sequences; each knows the items it occurs in."""
+    """States of a suffix automaton of several word sequences; each knows the items it occurs in.
+
+    Most states have one move and one owner, which stand in arrays; further ones are in dictionaries."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window, self.vocabulary = window, {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        self.owners: list[set[str]] = [set()]
-        self.short: list[list[tuple[int, str]]] = [[]]
-        ends = []
-        for name, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
+        sequences = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words] for _, words in items]
+        self.names = [name for name, _ in items]
+        self.link, self.len, self.word, self.move = array("i", [-1]), array("i", [0]), array("i", [-1]), array("i", [-1])
+        self.moves: dict[int, dict[int, int]] = {}
+        for ids in sequences:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-            ends.append((name, ids))
-        for name, ids in ends:  # every prefix's state and its suffix links occur in the item
+        none = array("i", [-1])
+        self.owner, self.owners, seen = none * len(self.len), {}, none * len(self.len)
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for item, ids in enumerate(sequences):  # every prefix's state and its suffix links occur in the item
             at = 0
             for c in ids:
-                at = self.next[at][c]
-                up = at
-                while up > 0 and name not in self.owners[up]:
-                    self.owners[up].add(name)
+                at = up = self._step(at, c)
+                while up > 0 and seen[up] != item:
+                    seen[up] = item
+                    if self.owner[up] < 0:
+                        self.owner[up] = item
+                    else:
+                        self.owners.setdefault(up, []).append(item)
                     up = self.link[up]
             if 0 < len(ids) < window:
-                self.short[at].append((len(ids), name))
-        self.least = min([window, *(len(ids) for _, ids in ends if ids)])
-        order = sorted(range(len(self.len)), key=self.len.__getitem__)
-        self.above = [-1] * len(self.len)  # the nearest state, itself or above, that ends a short item
-        for s in order[1:]:
-            self.above[s] = s if self.short[s] else self.above[self.link[s]]
-
-    def _new(self, length: int, moves: dict[int, int], link: int) -> int:
-        self.next.append(moves), self.len.append(length), self.link.append(link), self.owners.append(set()), self.short.append([])
+                self.short.setdefault(at, []).append((len(ids), item))
+        self.least = min([window, *(len(ids) for ids in sequences if ids)])
+        self.above = none * len(self.len)  # the nearest state, itself or above, that ends a short item
+        if self.short:
+            for s in np.argsort(np.frombuffer(self.len, np.int32), kind="stable")[1:].tolist():
+                self.above[s] = s if s in self.short else self.above[self.link[s]]
+
+    def _step(self, state: int, c: int) -> int:
+        """The state after word c, or -1."""
+        if self.word[state] == c:
+            return self.move[state]
+        more = self.moves.get(state)
+        return -1 if more is None else more.get(c, -1)
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        if self.word[state] == c or self.word[state] < 0:
+            self.word[state], self.move[state] = c, to
+        else:
+            self.moves.setdefault(state, {})[c] = to
+
+    def _new(self, length: int, link: int) -> int:
+        self.link.append(link), self.len.append(length), self.word.append(-1), self.move.append(-1)
         return len(self.len) - 1
 
     def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
-            q = self.next[last][c]
+        if (q := self._step(last, c)) >= 0:
             return q if self.len[q] == self.len[last] + 1 else self._clone(last, c, q)
-        cur, p = self._new(self.len[last] + 1, {}, 0), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = cur
+        cur, p = self._new(self.len[last] + 1, 0), last
+        while p >= 0 and (q := self._step(p, c)) < 0:
+            self._set(p, c, cur)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
             self.link[cur] = q if self.len[q] == self.len[p] + 1 else self._clone(p, c, q)
         return cur
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        copy = self._new(self.len[p] + 1, dict(self.next[q]), self.link[q])
+        copy = self._new(self.len[p] + 1, self.link[q])
+        self.word[copy], self.move[copy] = self.word[q], self.move[q]
+        if q in self.moves:
+            self.moves[copy] = dict(self.moves[q])
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p >= 0 and self._step(p, c) == q:
+            self._set(p, c, copy)
             p = self.link[p]
         return copy
 
@@ -95,34 +121,35 @@ class Automaton:
         inside = np.concatenate([[0], known >= 0, [0]])
         edge = np.flatnonzero(np.diff(inside))
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[int] = set()
         for a, b in zip(edge[::2], edge[1::2]):
             if b - a >= self.least:
                 self._walk(known[a:b].tolist(), int(a), spans, items)
-        return spans, items
+        return spans, {self.names[i] for i in items}
 
     def _walk(self, ids: list[int], at: int, spans: list, items: set) -> None:
         state = length = 0
-        moves, link, lens, window = self.next, self.link, self.len, self.window
+        step, link, lens, window = self._step, self.link, self.len, self.window
         for i, c in enumerate(ids, at + 1):
-            while state and c not in moves[state]:
+            while (to := step(state, c)) < 0 and state:
                 state = link[state]
                 length = lens[state]
-            if c not in moves[state]:
+            if to < 0:
                 continue
-            state, length = moves[state][c], length + 1
+            state, length = to, length + 1
             reach = 0
             if length >= window:
                 up = state
                 while lens[link[up]] >= window:
                     up = link[up]
-                items |= self.owners[up]
+                items.add(self.owner[up])
+                items.update(self.owners.get(up, ()))
                 reach = length
             up = self.above[state]
             while up > 0:
-                for n, name in self.short[up]:
+                for n, item in self.short[up]:
                     if n <= length:
-                        items.add(name)
+                        items.add(item)
                         reach = max(reach, n)
                 up = self.above[link[up]]
             if reach:
@@ -143,31 +170,39 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield [(r.i, bytes(r.t)) for r in part.toLocalIterator()]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with `n_words`, `hit_spans` (array of start, end in words) and `hit_items` (array of ids, sorted)."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, name: str = "hits") -> DataFrame:
+    """docs with the struct column `name`: n_words, spans (array of start, end in words) and items (array of ids, sorted)."""
     spark = ready(docs.sparkSession)
-    out, held = docs, []
-    for k, items in enumerate(item_blocks(benchmark, block_bytes)):
-        scan = _scanner(spark.sparkContext.broadcast(items), window)
-        out = out.withColumn(f"_scan{k}", scan(F.col("text").cast("binary")))
-        held.append(f"_scan{k}")
-    if len(held) == 1:
-        spans = F.arrays_zip(F.col(f"{held[0]}.starts").alias("start"), F.col(f"{held[0]}.ends").alias("end"))
-        items = F.col(f"{held[0]}.items")
-    else:
-        spans = _merger()(F.concat(*(F.col(f"{h}.starts") for h in held)), F.concat(*(F.col(f"{h}.ends") for h in held)))
-        items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{h}.items") for h in held))))
-    return out.withColumns({"n_words": F.col(f"{held[0]}.n_words"), "hit_spans": spans, "hit_items": items}).drop(*held)
+    if fresh_names(docs.columns, name) != [name]:
+        raise ValueError(f"docs has a column {name} already")
+    blocks = item_blocks(benchmark, block_bytes)
+    first = next(blocks)
+    scan = lambda items: _scanner(spark.sparkContext.broadcast(items), window)(F.col("text").cast("binary"))
+    if (second := next(blocks, None)) is None:
+        scanned = docs.withColumn(name, scan(first))
+        return scanned.withColumn(name, F.struct(F.col(f"{name}.n_words"), F.arrays_zip(F.col(f"{name}.starts").alias("start"), F.col(f"{name}.ends").alias("end")).alias("spans"), F.col(f"{name}.items")))
+    (row,) = fresh_names([*docs.columns, name], "row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    texts = keyed.select(row, "text")
+    found = []
+    for k, items in enumerate(chain([first, second], blocks)):  # a job for each, so that a worker needs one automaton at a time
+        some = texts.select(row, scan(items).alias("s")).select(row, "s.*")
+        found.append(materialize(some if k == 0 else some.where(F.size("items") > 0), f"block-{k}"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    flat = lambda c: F.flatten(F.collect_list(c))
+    whole = every.groupBy(row).agg(F.max("n_words").alias("n_words"), _merger()(flat("starts"), flat("ends")).alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    return keyed.join(whole.select(row, F.struct("n_words", "spans", "items").alias(name)), row).drop(row)
 
 
 def _scanner(shared, window: int):
-    """A pandas function text -> n_words, starts, ends, items of the shared block; a worker builds its automaton once."""
+    """A pandas function text -> n_words, starts, ends, items of the shared block. A worker keeps the last block's automaton."""
     token = uuid.uuid4().hex
 
     def scan(texts: pd.Series) -> pd.DataFrame:
         if token not in _built:
-            while len(_built) > 3:
-                _built.pop(next(iter(_built)))
+            _built.clear()
             _built[token] = Automaton([(i, item_words(t)) for i, t in shared.value], window)
         rows = []
         for t in texts:
@@ -197,16 +232,19 @@ def _merger():
     return F.pandas_udf(merge, "array<struct<start: long, end: long>>")
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, **args) -> DataFrame:
-    """hits() with `n_hit` and `contaminated`: any hit, and at least one word of `share` hit."""
-    found = hits(docs, benchmark, window, **args)
-    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, name: str = "hits", **args) -> DataFrame:
+    """hits() with n_hit and contaminated in its struct: any hit, and at least one word of `share` hit."""
+    found = hits(docs, benchmark, window, name=name, **args)
+    n_hit = F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = found.withColumn(name, F.col(name).withField("n_hit", n_hit))
+    n_hit = F.col(f"{name}.n_hit")
+    return found.withColumn(name, F.col(name).withField("contaminated", (n_hit > 0) & (n_hit * share >= F.col(f"{name}.n_words"))))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, longest: int = 0, share: int = 20, **args) -> DataFrame:
-    """docs whose text lacks the hit spans of over `longest` words; a document over the coverage limit (one word
-    of `share`) loses all its spans. Words of a removed span go together with what parts them."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, longest: int = 0, share: int = 20, drop: bool = False, **args) -> DataFrame:
+    """docs whose text lacks the hit spans of over `longest` words. A document over the coverage limit (one word of `share`)
+    loses all its spans or, with `drop`, goes. Words of a removed span go together with what parts them. Where docs has a
+    column n_chars, it is the new text's length in code points."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series, every: pd.Series) -> pd.Series:
@@ -216,8 +254,17 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, longes
             out.append(without(t, gone) if gone else t)
         return pd.Series(out, dtype=object)
 
-    found = judged(docs, benchmark, window, share, **args)
-    return found.withColumn("text", cut("text", "hit_spans", "contaminated")).select(*docs.columns)
+    name, whole = fresh_names(docs.columns, "hits", "whole")
+    found = judged(docs, benchmark, window, share, name, **args)
+    if drop:
+        found = found.where(~F.col(f"{name}.contaminated"))
+    worth = F.exists(f"{name}.spans", lambda s: (s["end"] - s["start"] > longest) | F.col(f"{name}.contaminated"))
+    # Texts without a span to cut don't go through Python again.
+    shown = F.when(worth, F.col("text"))
+    found = found.withColumns({whole: F.col("text"), "text": cut(shown, F.when(worth, F.col(f"{name}.spans")).otherwise(F.array().cast("array<struct<start:long,end:long>>")), f"{name}.contaminated")})
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(worth, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.withColumn("text", F.when(worth, F.col("text")).otherwise(F.col(whole))).select(*docs.columns)
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> str:
@@ -239,16 +286,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = judged(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit",
-        F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"),
-        "contaminated",
+        "doc_id", "hits.n_words", "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "hits.items"), 256).alias("items_sha256"),
+        "hits.contaminated",
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns."""
-    return judged(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that aren't contaminated, without the item passages of 13 words or more that they hold."""
+    return remove_spans(docs, table(spark, sf_dir, "benchmark"), longest=12, drop=True)
 
 
 #: Windows of 13 item words (or whole shorter items) against every window of the documents.
