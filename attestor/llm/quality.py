@@ -18,16 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready, remainder, table
+from .common import fresh_names, ready, remainder, table
 from .linear import logistic, sigmoid
 
 STATS = (
     "chars", "words", "mean_word", "upper", "symbol", "bang", "pipe", "digit",
-    "distinct_words", "repeated_word", "repeated_line", "stop_marks", "top_word", "symbol_words",
+    "distinct_words", "repeated_word", "repeated_line", "stop_marks", "top_word", "sign_runs",
 )
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
 _SYMBOL = b"#$%&*@^~=<>{}[]\\/_+`"
+_IS_SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _SEED = 20
 
 
@@ -46,10 +47,17 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
         (size - len(text.translate(None, _UPPER))) / size, (size - gone) / size, text.count(b"!") / n, text.count(b"|") / n,
         (size - len(text.translate(None, _DIGIT))) / size, len(count) / n, sum(map(operator.eq, words, words[1:])) / n,
         1 - len(set(lines)) / len(lines), (text.count(b".") + text.count(b",")) / n, max(count.values()) / n,
-        sum(map(text.count, (b"###", b"$$$", b"%%%", b"&&&", b"***"))) / n,
+        sign_runs(text) / n,
     )
 
 
+def sign_runs(text: bytes) -> int:
+    """Runs of three or more equal ASCII signs."""
+    raw = np.frombuffer(text, np.uint8)
+    third = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & _IS_SIGN[raw[2:]]
+    return int(third.sum() - (third[1:] & third[:-1]).sum())
+
+
 @F.pandas_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
 def text_statistics(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS), dtype="float64")
@@ -129,17 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, held_remainder: int = 2, sample_ro
     """Learns from at most sample_rows labelled documents outside the held-out remainder, chosen by a hash of the id."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != held_remainder))
     picked = usable.groupBy("doc_id").agg(F.min("quality").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
     got = rows.select("doc_id", "_y", text_statistics(F.col("text").cast("binary")).alias("s")).select("doc_id", "_y", "s.*").toPandas().sort_values("doc_id")
     return fit(got[list(STATS)].to_numpy(float), got["_y"].to_numpy(float))
 
 
-def score(docs: DataFrame, labels: DataFrame, **train_args) -> DataFrame:
-    """docs with `quality_stats` and `quality_score` (0 to 1)."""
+def score(docs: DataFrame, labels: DataFrame, name: str = "quality_score", **train_args) -> DataFrame:
+    """docs with the column `name` (0 to 1), which docs must not have; its own columns stay as they are."""
     ready(docs.sparkSession)
+    if fresh_names(docs.columns, name) != [name]:
+        raise ValueError(f"docs has a column {name} already")
+    (stats,) = fresh_names([*docs.columns, name], "quality_stats")
     model = train(docs, labels, **train_args)
-    stats = docs.withColumn("quality_stats", text_statistics(F.col("text").cast("binary")))
-    return stats.withColumn("quality_score", compile_rules(*model, "quality_stats"))
+    with_stats = docs.withColumn(stats, text_statistics(F.col("text").cast("binary")))
+    return with_stats.withColumn(name, compile_rules(*model, stats)).drop(stats)
 
 
 THRESHOLD = 0.7
@@ -157,6 +168,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents scored at THRESHOLD or more, with their own columns."""
-    out = score(docs, table(spark, sf_dir, "labels"))
-    return out.where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    """The documents scored at THRESHOLD or more, with their own columns, whatever these are called."""
+    (name,) = fresh_names(docs.columns, "quality_score")
+    out = score(docs, table(spark, sf_dir, "labels"), name)
+    return out.where(F.col(name) >= THRESHOLD).select(*docs.columns)
