@@ -156,7 +156,8 @@ def pack(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None =
     shared = spark.sparkContext.broadcast(rows)  # some rows for each length and pattern, however many pieces there are
     before = F.sum("n").over(W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
     bases = counts.select("chunk", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["chunk", "length"]).select(*cut.columns, (F.col("base") + F.col("nth")).alias("rank"))
+    # The bases grow with the corpus, so they are merged, never broadcast.
+    ranked = cut.join(bases.hint("merge"), ["chunk", "length"]).select(*cut.columns, (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
