@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,21 @@ def fresh_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def sum_vectors(sent: DataFrame, parts: int, kind: type, fan: int = 64) -> DataFrame:
+    """(block, v): the sums of the vectors v (bytes of numbers of `kind`) of each block. sent: part (0 to parts - 1), block, v.
+    Parts are summed `fan` at a time, again and again, so no task gets more than `fan` vectors of a block."""
+
+    def add(key, rows):
+        total = np.sum([np.frombuffer(v, kind) for v in rows["v"].to_pylist()], axis=0, dtype=kind)
+        return pa.table({"part": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    while True:
+        sent = sent.withColumn("part", F.floor(F.col("part") / fan)).groupBy("block", "part").applyInArrow(add, "part long, block int, v binary")
+        parts = -(-parts // fan)
+        if parts <= 1:
+            return sent.select("block", "v")
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """A-Z in lower case, words of [^\\x20\\x09-\\x0D]+ (bytes.lower and bytes.split are ASCII only)."""
     return text.lower().split() if text else []

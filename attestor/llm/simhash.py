@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ready, rows_of, split_words, table
+from .common import fresh_names, materialize, ready, rows_of, split_words, sum_vectors, table
 
 BITS = 64
 SHARD = 512
@@ -294,28 +295,26 @@ def frequencies(docs: DataFrame, shingle: int = 5) -> np.ndarray:
     """COUNTERS sums of the rows' shingles by the shingle's leading bits: never less than the rows that hold a shingle.
 
     They only order shingles (any order that all texts share gives the same links), so their number needn't grow."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
+    block = 4096
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.int64)
         for _, c in rows_of(batches):
             seen += np.bincount(_counter(np.concatenate([shingle_set(t, shingle) for t in c["t"]])), minlength=COUNTERS)
-        parts = seen.reshape(-1, 4096)
-        used = np.flatnonzero(parts.any(axis=1))
+        seen = seen.astype(np.float32).reshape(-1, block)  # exact below 2^24, and larger counts stay large
+        used = np.flatnonzero(seen.any(axis=1))
+        part = TaskContext.get().partitionId()
         for k in range(0, len(used), 64):
             some = used[k : k + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "seen"])
-
-    def total(t: pa.Table) -> pa.Table:
-        seen = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("seen"))
-        return pa.table({"part": t.column("part")[:1], "seen": pa.array([seen.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([seen[i].tobytes() for i in some], pa.binary())], ["part", "block", "v"])
 
     texts = docs.select(F.col("text").cast("binary").alias("t"))
-    sums = texts.mapInArrow(count, "part long, seen binary").groupBy("part").applyInArrow(total, "part long, seen binary")
-    out = np.zeros((COUNTERS // 4096, 4096), np.int64)
-    for r in materialize(sums, "frequencies").collect():
-        out[r.part] = np.frombuffer(r.seen, np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+    sent = texts.mapInArrow(count, "part long, block int, v binary")
+    out = np.zeros((COUNTERS // block, block), np.float32)
+    for r in materialize(sum_vectors(sent.select("part", "block", "v"), texts.rdd.getNumPartitions(), np.float32), "frequencies").collect():
+        out[r.block] = np.frombuffer(r.v, np.float32)
+    return out.ravel()
 
 
 def _counter(values: np.ndarray) -> np.ndarray:
@@ -421,9 +420,9 @@ def similar(docs: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: in
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary"), "similar")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, component_id and root of each row, linked by fingerprints (as in clusters) or by similarity. The
-    root is the component's own; unrelated components may share a component_id, as rows may share a doc_id or have none."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and (node, least, root) of each node, linked by fingerprints (as in clusters) or by similarity;
+    least is the node's smallest doc_id. The root is the component's own."""
     rows = sketches(docs)
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("whole").alias("whole")), "nodes")
     once = [F.any_value(c).alias(c) for c in ("n", "bits", "bands")]
@@ -442,15 +441,26 @@ def groups(docs: DataFrame) -> DataFrame:
     rest = rest.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     last = components(rest).select(F.col("node").alias("root"), F.col("root").alias("last"))
     placed = placed.join(last, "root", "left").select("node", "least", F.coalesce("last", "root").alias("root"))
+    return rows, placed
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, component_id and root of each row. Unrelated components may share a component_id, as rows may share
+    a doc_id or have none."""
+    rows, placed = grouped(docs)
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "text_hash", "node").join(placed.join(whole, "root").select("node", "component_id", "root"), "node").drop("node")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, then text hash; a null doc_id comes last."""
-    mine = groups(docs.select("doc_id", "text"))
-    first = mine.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"))
-    keep = first.select(F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_h"))
-    marked = docs.withColumn("_t", F.xxhash64("text"))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    """One document of each group, with its own columns, whatever these are called: the one with the smallest doc_id, then
+    text hash; a null doc_id comes last. Each node's copies are reduced to one before any join, so copies never meet in a
+    task; documents move once, by a key of their id and text."""
+    rows, placed = grouped(docs.select("doc_id", "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = rows.groupBy("node").agg(F.min(order).alias("r")).join(placed.select("node", "root"), "node").groupBy("root").agg(F.min("r").alias("r"))
+    i, h = fresh_names(docs.columns, "id_key", "text_key")
+    text_key = lambda t, d: F.xxhash64(t, d.isNull())
+    keep = first.select(F.coalesce("r.doc_id", F.lit(0)).alias(i), text_key(F.col("r.text_hash"), F.col("r.doc_id")).alias(h))
+    marked = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), h: text_key(F.xxhash64("text"), F.col("doc_id"))})
+    return marked.join(keep, [i, h], "left_semi").dropDuplicates([i, h]).select(*docs.columns)
