@@ -227,6 +227,37 @@ def test_decontamination_small_items(spark, odd, block_bytes):
     assert all(len(t) <= len(dict(docs)[k]) for k, t in zip(cut.doc_id, cut.text))
 
 
+def test_a_worker_builds_each_block_once(spark, monkeypatch):
+    """Twenty blocks over ten batches take twenty automata, one held at a time, as each block is a job of its own."""
+    import pandas as pd
+
+    built = []
+    plain = decontaminate.Automaton
+    monkeypatch.setattr(decontaminate, "Automaton", lambda items, window: built.append(len(items)) or plain(items, window))
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    for k in range(20):
+        scan = decontaminate._scanner(Shared([(str(k), b"a b c d")]), 13).func
+        for _ in range(10):
+            scan(pd.Series([b"x a b c d y", None]))
+        assert len(decontaminate._built) == 1
+    assert len(built) == 20
+
+
+def test_the_stage_cuts_passages(spark, sf, tmp_path):
+    """A passage of 13 words goes from a document under the coverage limit, one over it goes whole, others stay as they are."""
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(1, "Start, " + item.upper() + "; " + "x " * 900, 7), (2, item, 8), (3, "a  clean\ttext q1 q2", 9), (4, "q30 " + "y " * 100, 3)]
+    spark.createDataFrame([(1, item), (2, "q30")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.stage(spark, docs, str(tmp_path)).collect()}
+    cut = "Start, ; " + "x " * 900
+    assert got == {1: (cut, len(cut)), 3: (rows[2][1], 9), 4: (rows[3][1], 3)}
+
+
 def test_spans_are_cut_out():
     assert decontaminate.without("Keep THIS, cut-that one; end.", [(2, 4)]) == "Keep THIS,  one; end."
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attestor.llm import chat, decontaminate, packing, quality, registry, toxicity, urls
@@ -62,6 +63,76 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.flag(empty, none).count() == 0
 
 
+def test_toxicity_with_hardly_any_labels(spark, odd):
+    """No labels, one, three of either class, and one class alone: nothing crashes, and one class flags nothing."""
+    for marks in ([], [(1, 1)], [(1, 1), (7, 1), (9, 1)], [(1, 0), (7, 0), (9, 0)], [(1, 1), (7, 0), (9, 0)], [(1, None), (None, 1)]):
+        labels = spark.createDataFrame([(d, 1, t) for d, t in marks], "doc_id long, quality int, toxic int")
+        got = toxicity.flag(odd, labels).select("toxicity.*").toPandas()
+        assert len(got) == 11 and not got.flagged.any() and (got.drop(columns="flagged") == 0.5).all().all()
+
+
+def invented(spark, seed, bad, toxic, kinds=("a", "b"), n=400):
+    """Texts of invented words; toxic ones hold some of their kind's own words."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        words = [f"w{i}" for i in rng.integers(0, 3000, 60)]
+        if mark := int(rng.random() < toxic):
+            own = bad[kinds[k % len(kinds)]]
+            for i in rng.integers(0, 60, 3):
+                words[i] = own[int(rng.integers(0, len(own)))]
+        rows.append((k, " ".join(words), mark, int(mark and k % 2 == 0)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int, hot int")
+
+
+def test_toxicity_learns_any_words(spark):
+    """Nothing is built in: words of no list are learned from labels, and kinds part by their own words."""
+    bad = {"a": "zorp blick mave".split(), "b": "quun trell ossic".split()}
+    seen, fresh = invented(spark, 1, bad, 0.4), invented(spark, 2, bad, 0.4)
+    chain = toxicity.train(seen, seen)
+    assert chain.names == ("kind_1", "kind_2", "toxic") and len(chain.links[2]) == 2
+    got = fresh.select("doc_id", "toxic", toxicity.probabilities(chain, F.col("text")).alias("p")).select("doc_id", "toxic", "p.*").toPandas()
+    assert ((got.p_toxic > 0.5) == (got.toxic == 1)).mean() > 0.97
+    kind = got[got.toxic == 1]
+    own = (kind.p_kind_1 > kind.p_kind_2) == (kind.doc_id % 2 == 0)
+    assert max(own.mean(), 1 - own.mean()) > 0.9
+    two = toxicity.train(seen, seen, columns=("hot", "toxic"), kinds=0)
+    assert two.names == ("hot", "toxic")
+    p = fresh.select("hot", toxicity.probabilities(two, F.col("text")).alias("p")).toPandas()
+    assert ((p.p.map(lambda x: x["p_hot"]) > 0.5) == (p.hot == 1)).mean() > 0.95
+
+
+def test_folds_choose_their_own_features():
+    """A feature that only held-out rows hold isn't chosen for their fold."""
+    y = np.tile([0.0, 1.0], 30)[:, None]
+    owner = np.concatenate([np.arange(60), np.arange(1, 20, 2)])
+    flat = np.concatenate([np.zeros(60, int) + 5, np.zeros(10, int) + 9])
+    sample = toxicity.Sample(y, flat, owner)
+    assert 9 in sample.choose(np.ones(60, bool), 10) and 9 not in sample.choose(np.arange(60) >= 20, 10)
+
+
+CLASHES = "n_words contaminated hit_items hits quality_score quality_stats toxicity _t _h _id _scan0 row whole id_key text_key fp key n node root b h rest length chunk".split()
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_keep_the_columns(spark, sf_more, odd, name, stage):
+    """Nulls, empty and very long texts, repeats, empty tables, and columns with the names that stages use inside."""
+    docs = odd.select("doc_id", "text", "lang", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHES))
+    out = stage(spark, docs, sf_more)
+    got, none = out.toPandas(), stage(spark, docs.limit(0), sf_more)
+    assert none.count() == 0 and none.columns == out.columns
+    if name == "best_fit_packing":
+        assert len(got) >= 11
+        return
+    assert out.columns == docs.columns
+    for c in CLASHES:
+        assert all(v == c + ("?" if np.isnan(d) else str(int(d))) for d, v in zip(got.doc_id.astype(float), got[c]))
+
+
+def test_statistics_count_runs_of_signs():
+    assert [quality.sign_runs(t) for t in (b"", b"##", b"a### b$$$$$ c--", b"###***", "…… !!!".encode())] == [0, 0, 2, 2, 1]
+
+
 def test_chat(spark, sf):
     got = chat.query(spark, sf).toPandas().set_index("conv_id")
     turns = spark.read.parquet(f"{sf}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
@@ -92,6 +163,21 @@ def test_chat_escapes_and_merges(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """The read-back grows with the text: 16,000 turns of two roles, and of one."""
+    import time
+
+    for roles in (2, 1):
+        role = F.when(F.col("id") % roles == 0, "assistant").otherwise("user")
+        turns = spark.range(16000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é <| "), F.col("id").cast("string"), F.repeat(F.lit(" word"), 9)).alias("text"))
+        out = chat.format_conversations(turns)
+        began = time.time()
+        got = out.select(F.sha2(chat.unescape(F.array_join(chat.cut_spans(F.col("formatted"), F.col("loss_spans")), "")), 256).alias("loss"), F.size(chat.read_back(F.col("formatted"))).alias("n")).first()
+        assert time.time() - began < 20  # some minutes when quadratic
+        want = "".join(f"é <| {k}{' word' * 9}" for k in range(0, 16000, roles))
+        assert (got.loss, got.n) == (hashlib.sha256(want.encode()).hexdigest(), 16000)
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
@@ -141,8 +227,8 @@ def test_pipeline(spark, sf_more):
     from test_near_duplicates import brute_groups
 
     kept = good[good.doc_id.isin(set(brute_groups(list(zip(good.doc_id, good.text))).values()))]
-    judged = decontaminate.judged(spark.createDataFrame(kept), spark.read.parquet(f"{sf_more}/benchmark.parquet")).where("not contaminated")
-    want = packing.pieces(judged).toPandas()
+    cleaned = decontaminate.remove_spans(spark.createDataFrame(kept), spark.read.parquet(f"{sf_more}/benchmark.parquet"), longest=12, drop=True)
+    want = packing.pieces(cleaned).toPandas()
     assert sorted(zip(got.doc_id, got.piece, got.ids_crc32)) == sorted(zip(want.doc_id, want.piece, want.ids_crc32))
 
 
