@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +60,64 @@ def _found(pairs: list[tuple[Column, str]]) -> Column:
     return F.filter(F.array(*(F.when(test, text) for test, text in pairs)), lambda x: x.isNotNull())
 
 
+_KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+
+
+def _is_kind(value, kind: str) -> bool:
+    return isinstance(value, _KINDS[kind]) and not (kind in ("integer", "number") and isinstance(value, bool))
+
+
+def document_errors(schema: dict, value, at: str = "$", root: dict | None = None) -> list[str]:
+    """The errors, by path, of one document (a driver's value, not a column) against a JSON Schema: type, enum, const,
+    required, properties, additionalProperties, items, minItems, uniqueItems, minimum, maximum, minLength, maxLength,
+    pattern, format (date, date-time) and $ref to the schema's own parts."""
+    root = schema if root is None else root
+    if "$ref" in schema:
+        part = root
+        for key in schema["$ref"].removeprefix("#/").split("/"):
+            part = part[key]
+        return document_errors(part, value, at, root)
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is_kind(value, k) for k in kinds):
+        return [f"{at}: not of type {' or '.join(kinds)}"]
+    out = []
+    if "enum" in schema and value not in schema["enum"]:
+        out.append(f"{at}: not in enum")
+    if "const" in schema and value != schema["const"]:
+        out.append(f"{at}: not the constant")
+    if isinstance(value, str):
+        out += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", len(value)))
+        out += [f"{at}: does not match"] * ("pattern" in schema and not re.search(schema["pattern"], value)) + [f"{at}: not a {schema.get('format')}"] * (not _has_format(value, schema.get("format")))
+    if _is_kind(value, "number"):
+        out += [f"{at}: below minimum"] * (value < schema.get("minimum", value)) + [f"{at}: above maximum"] * (value > schema.get("maximum", value))
+    if isinstance(value, list):
+        out += [f"{at}: too few items"] * (len(value) < schema.get("minItems", 0))
+        out += [f"{at}: repeated items"] * (bool(schema.get("uniqueItems")) and len({json.dumps(v, sort_keys=True) for v in value}) < len(value))
+        for k, v in enumerate(value):
+            out += document_errors(schema.get("items", {}), v, f"{at}[{k}]", root)
+    if isinstance(value, dict):
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        out += [f"{at}.{k}: required" for k in schema.get("required", []) if k not in value]
+        for k, v in value.items():
+            if k in known:
+                out += document_errors(known[k], v, f"{at}.{k}", root)
+            elif more is False:
+                out.append(f"{at}.{k}: not allowed")
+            elif isinstance(more, dict):
+                out += document_errors(more, v, f"{at}.{k}", root)
+    return sorted(out)
+
+
+def _has_format(value: str, kind: str | None) -> bool:
+    try:
+        if kind == "date":
+            return len(value) == 10 and bool(datetime.date.fromisoformat(value))
+        return kind != "date-time" or bool(datetime.datetime.fromisoformat(value))
+    except ValueError:
+        return False
+
+
 def markers_in(text: Column, markers: list[str]) -> Column:
     """The markers that the text holds, in their order; none for null text."""
     return _found([(F.contains(text, F.lit(m)), m) for m in markers])

@@ -117,7 +117,7 @@ def quote_resolution(t):
 
 
 _CENT, _STRUCT, _MAT = ["CORE", "CO_ESSENTIAL", "ENABLING", "PERIPHERAL", "UNKNOWN"], ["PURE_PLAY", "SOFTWARE_DOMINANT", "MIXED_SEPARABLE", "MIXED_NONSEPARABLE", "SOFTWARE_PERIPHERAL"], ["DOMINANT", "MATERIAL", "MINOR", "UNKNOWN"]
-_TYPES = [*rules.RULES["tier_b_extension"]["candidate_archetypes"], *rules.RULES["tier_c_boundary"]["default_archetypes"], "OTHER"]
+_TYPES = [*rules.DEFAULTS["tier_b_extension"]["candidate_archetypes"], *rules.DEFAULTS["tier_c_boundary"]["default_archetypes"], "OTHER"]
 
 
 def classified(part: DataFrame) -> DataFrame:
@@ -137,16 +137,21 @@ def classified(part: DataFrame) -> DataFrame:
     )
 
 
-_TIER_SQL = (
-    f"WITH x AS (SELECT p_partkey AS k, CASE WHEN k % 23 <> 0 THEN k % 19 <> 0 END AS prod, CASE WHEN k % 29 <> 0 THEN k % 7 <> 0 END AS op, {_CENT}[k % 5 + 1] AS cent, {_STRUCT}[k // 5 % 5 + 1] AS st, {_MAT}[k // 25 % 4 + 1] AS mat, "
-    f"CASE WHEN k % 3 = 0 THEN [{_TYPES}[k % 13 + 1], {_TYPES}[(k + 4) % 13 + 1]] ELSE [{_TYPES}[k % 13 + 1]] END AS ty FROM part), "
-    "y AS (SELECT *, "
-    f"coalesce(op, false) AND k % 37 <> 0 AND list_has_any(ty, {rules.RULES['tier_a_core']['allowed_archetypes']}) AND cent IN ('CORE', 'CO_ESSENTIAL') AND st IN ('PURE_PLAY', 'SOFTWARE_DOMINANT') AND mat IN ('DOMINANT', 'MATERIAL') AS a, "
-    f"list_has_any(ty, {rules.RULES['tier_b_extension']['candidate_archetypes']}) AND st IN ('MIXED_SEPARABLE', 'SOFTWARE_DOMINANT', 'PURE_PLAY') AND cent <> 'PERIPHERAL' AS b, "
-    f"list_has_any(ty, {rules.RULES['tier_c_boundary']['default_archetypes']}) OR cent IN ('ENABLING', 'PERIPHERAL') OR st IN ('SOFTWARE_PERIPHERAL', 'MIXED_NONSEPARABLE') AS c, "
-    "prod IS NULL OR op IS NULL OR k % 31 = 0 OR mat = 'UNKNOWN' OR cent = 'UNKNOWN' AS u FROM x), "
-    "z AS (SELECT *, CASE WHEN prod IS NOT DISTINCT FROM false THEN 'EXCLUDED' WHEN u THEN 'UNCERTAIN' WHEN a THEN 'TIER_A_CORE' WHEN b THEN 'TIER_B_EXTENSION' WHEN c THEN 'TIER_C_BOUNDARY' ELSE 'UNCERTAIN' END AS tier FROM y) "
-)
+def TIER_SQL(source: str, dated: str) -> str:  # noqa: N802
+    """CTEs x, y and z: the axes of classified() over source (column p_partkey), the tiers' tests, and the tier of each key."""
+    return (
+        f"WITH x AS (SELECT p_partkey AS k, CASE WHEN k % 23 <> 0 THEN k % 19 <> 0 END AS prod, CASE WHEN k % 29 <> 0 THEN k % 7 <> 0 END AS op, {_CENT}[k % 5 + 1] AS cent, {_STRUCT}[k // 5 % 5 + 1] AS st, {_MAT}[k // 25 % 4 + 1] AS mat, "
+        f"CASE WHEN k % 3 = 0 THEN [{_TYPES}[k % 13 + 1], {_TYPES}[(k + 4) % 13 + 1]] ELSE [{_TYPES}[k % 13 + 1]] END AS ty FROM {source}), "
+        "y AS (SELECT *, "
+        f"coalesce(op, false) AND {dated} AND list_has_any(ty, {rules.DEFAULTS['tier_a_core']['allowed_archetypes']}) AND cent IN ('CORE', 'CO_ESSENTIAL') AND st IN ('PURE_PLAY', 'SOFTWARE_DOMINANT') AND mat IN ('DOMINANT', 'MATERIAL') AS a, "
+        f"list_has_any(ty, {rules.DEFAULTS['tier_b_extension']['candidate_archetypes']}) AND st IN ('MIXED_SEPARABLE', 'SOFTWARE_DOMINANT', 'PURE_PLAY') AND cent <> 'PERIPHERAL' AS b, "
+        f"list_has_any(ty, {rules.DEFAULTS['tier_c_boundary']['default_archetypes']}) OR cent IN ('ENABLING', 'PERIPHERAL') OR st IN ('SOFTWARE_PERIPHERAL', 'MIXED_NONSEPARABLE') AS c, "
+        "prod IS NULL OR op IS NULL OR k % 31 = 0 OR mat = 'UNKNOWN' OR cent = 'UNKNOWN' AS u FROM x), "
+        "z AS (SELECT *, CASE WHEN prod IS NOT DISTINCT FROM false THEN 'EXCLUDED' WHEN u THEN 'UNCERTAIN' WHEN a THEN 'TIER_A_CORE' WHEN b THEN 'TIER_B_EXTENSION' WHEN c THEN 'TIER_C_BOUNDARY' ELSE 'UNCERTAIN' END AS tier FROM y) "
+    )
+
+
+_TIER_SQL = TIER_SQL("part", "k % 37 <> 0")
 
 
 @query(
@@ -166,6 +171,30 @@ def tier_trace_counts(t):
     return out.groupBy("tier").agg(F.count("*").alias("firms"), F.sum("n").alias("trace_entries"))
 
 
+# Each rule's results over all firms, with the details that passed or failed it.
+_A = [("operating_company_required", "coalesce(op, false)", "'operating_company=' || CASE WHEN op THEN 'True' WHEN NOT op THEN 'False' ELSE 'None' END"), ("baseline_annual_filing_required", "k % 37 <> 0", "'baseline_filing_date=' || CASE WHEN k % 37 <> 0 THEN '2022-09-15' ELSE 'None' END"),
+      ("customer_facing_functional_product_required", "true", "'customer_facing_functional_product=True'"), ("allowed_archetypes", f"list_has_any(ty, {rules.DEFAULTS['tier_a_core']['allowed_archetypes']})", "arch"),
+      ("allowed_software_centrality", "cent IN ('CORE', 'CO_ESSENTIAL')", "'software_centrality=' || cent"), ("allowed_firm_structure", "st IN ('PURE_PLAY', 'SOFTWARE_DOMINANT')", "'firm_structure=' || st"), ("allowed_materiality", "mat IN ('DOMINANT', 'MATERIAL')", "'commercial_materiality=' || mat")]
+_REVIEW = [("software_centrality_is_CO_ESSENTIAL", "cent = 'CO_ESSENTIAL'"), ("multiple_material_archetypes", "len(list_distinct(ty)) > 1"), ("contradictory_materiality_evidence", "k % 31 = 0"), ("boundary_flag_present", "k % 4 = 0")]
+_ALSO = [("default_archetypes", f"list_has_any(ty, {rules.DEFAULTS['tier_c_boundary']['default_archetypes']})"), ("also_include_if.software_centrality_is_ENABLING", "cent = 'ENABLING'"), ("also_include_if.software_centrality_is_PERIPHERAL", "cent = 'PERIPHERAL'"),
+         ("also_include_if.firm_structure_is_SOFTWARE_PERIPHERAL", "st = 'SOFTWARE_PERIPHERAL'"), ("also_include_if.mixed_nonseparable_without_clean_outcome_mapping", "st = 'MIXED_NONSEPARABLE'")]
+_said = lambda rule, test, miss, detail="": f"'{rule}:' || CASE WHEN {test} THEN 'pass' ELSE '{miss}' END || ':' || {detail or repr('')}"
+
+
+@query(
+    _TIER_SQL + ", w AS (SELECT *, 'archetypes=[' || array_to_string(list_transform(list_sort(list_distinct(ty)), lambda t: chr(39) || t || chr(39)), ', ') || ']' AS arch, array_to_string(list_filter([CASE WHEN prod IS NULL OR cent = 'UNKNOWN' THEN 1 END, CASE WHEN op IS NULL THEN 2 END], lambda i: i IS NOT NULL), '') AS none_ FROM z), "
+    "t AS (SELECT *, [" + ", ".join(_said(f"tier_a_core.{n}", test, "fail", d) for n, test, d in _A) + "] AS ta, [" + ", ".join(_said(f"tier_a_core.manual_review_if.{n}", test, "not_applicable") for n, test in _REVIEW) + "] AS tr, "
+    "['tier_b_extension.candidate_match:' || CASE WHEN b THEN 'pass' ELSE 'fail' END || ':' || arch || ' structure=' || st || ' centrality=' || cent] AS tb, [" + ", ".join(_said(f"tier_c_boundary.{n}", test, "not_applicable") for n, test in _ALSO) + "] AS tc, "
+    "list_filter([CASE WHEN prod IS NULL THEN 'uncertain.insufficient_baseline_evidence:pass:' END, CASE WHEN op IS NULL THEN 'uncertain.unresolved_operating_status:pass:' END, CASE WHEN k % 31 = 0 THEN 'uncertain.contradictory_axis_classification:pass:' END, CASE WHEN mat = 'UNKNOWN' THEN 'uncertain.unresolved_materiality:pass:' END, CASE WHEN cent = 'UNKNOWN' AND prod IS NOT NULL THEN 'uncertain.insufficient_baseline_evidence:pass:' END], lambda i: i IS NOT NULL) AS tu FROM w) "
+    "SELECT k AS p_partkey, array_to_string(CASE WHEN tier = 'EXCLUDED' THEN ['excluded.no_customer_facing_digital_product:pass:Classification found no customer-facing digital product.', 'excluded.deterministic_reason_codes:pass:reason_codes=[''NO_CUSTOMER_FACING_DIGITAL_PRODUCT'']'] WHEN u THEN tu WHEN a THEN list_concat(ta, tr) WHEN b THEN list_concat(ta, tb) WHEN c THEN list_concat(list_concat(ta, tb), tc) "
+    "ELSE list_concat(list_concat(list_concat(ta, tb), tc), ['uncertain.contradictory_axis_classification:pass:No tier rule matched the stored axes; routing to review.']) END, chr(10)) AS trace FROM t"
+)
+def tier_trace(t):
+    out = rules.derive_tier(classified(t("part")))
+    said = F.transform("tier.trace", lambda e: F.concat(e["rule_id"], F.lit(":"), e["result"], F.lit(":"), F.coalesce(e["detail"], F.lit(""))))
+    return out.select("p_partkey", F.array_join(said, "\n").alias("trace"))
+
+
 _DEC = ["CONFIRM_RULE_TIER", "OVERRIDE_RULE_TIER", "REMAIN_UNCERTAIN", "ONTOLOGY_CHANGE_REQUIRED"]
 
 

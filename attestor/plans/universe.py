@@ -6,6 +6,7 @@ Every step is a join or an aggregate keyed by the firm; only one-row counts and
 
 from __future__ import annotations
 
+import datetime
 import json
 from dataclasses import dataclass, field
 
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import relational as R
-from ..operators import rules
+from ..operators import rules, validation
 from ..operators.longitudinal import checkpointed
 from ..sources import files
 
 # Fixed values.
+SECTIONS = ["COVER_PAGE", "ITEM1_OVERVIEW", "PRODUCTS_SERVICES", "CUSTOMERS", "SEGMENTS_MATERIALITY", "TECHNOLOGY_DELIVERY"]
+NEEDED_SECTIONS = ["ITEM1_OVERVIEW", "PRODUCTS_SERVICES"]
+PROVENANCES = ["deterministic", "screen_derived", "economic_classification"]
 SCREEN_STATUSES = ["LIKELY_ELIGIBLE", "LIKELY_INELIGIBLE", "BOUNDARY_OR_UNCERTAIN"]
 INCLUDED = ["TIER_A_CORE", "TIER_B_EXTENSION", "TIER_C_BOUNDARY"]
 NO_FORM = "NO_ELIGIBLE_ANNUAL_OPERATING_FILING"
@@ -28,7 +32,7 @@ _SCREENED = "array<struct<source_id:string,passage_id:string,quote:string,suppor
 SCHEMAS = {
     "filers": "cik string, canonical_name string, accession_number string, filing_date date, form string, sic string, exchange string, ticker string, source_ids array<string>, "
     "issuer_status_flags struct<investment_company:boolean,asset_backed_issuer:boolean,non_operating_trust:boolean,shell_company:boolean,blank_check_precombination:boolean>",
-    "passages": "cik string, passage_id string, source_id string, section string, publication_date date, text string",
+    "passages": "cik string, passage_id string, source_id string, section string, publication_date date, text string, ord int",
     "screens": f"cik string, screen_status string, candidate_customer_value_archetypes array<string>, positive_evidence {_SCREENED}, negative_or_boundary_evidence {_SCREENED}, confidence string",
     "classifications": "cik string, baseline_cutoff date, baseline_filing_date date, customer_facing_functional_product boolean, operating_company boolean, customer_value_archetypes array<string>, software_centrality string, "
     f"firm_structure string, commercial_materiality string, contradictions array<string>, boundary_flags array<string>, exclusion_reason_codes array<string>, candidate_tier string, evidence {_EVIDENCE}",
@@ -47,6 +51,10 @@ class Universe:
     failed_gates: dict[str, int]
     blockers: list[str] = field(default_factory=list)
     version: str = "unreleased"
+    cutoff: str = ""
+    form_scope: list[str] = field(default_factory=list)
+    seed: int | None = None
+    rules: rules.Rules = rules.RULES
 
     @property
     def frozen(self) -> bool:
@@ -76,6 +84,39 @@ def issuer_decisions(filers: DataFrame, cutoff: Column, form_scope: list[str]) -
     return firms, R.superseded(base, ["cik"], order), filers.where("cohort <> 'baseline'")
 
 
+def packets(firms: DataFrame, passages: DataFrame, cutoff: Column) -> DataFrame:
+    """A packet or a failure of each firm: packet_status (PACKET, or why there is none), detail, the passages in their order,
+    the sections that are missing, and whether these leave the evidence insufficient. One bad passage fails the whole packet."""
+    one = F.struct("ord", "passage_id", "source_id", "section", "publication_date", "text")
+    gathered = passages.groupBy("cik").agg(F.sort_array(F.collect_list(one)).alias("passages"))
+    both = firms.join(gathered, "cik", "left").withColumn("passages", F.coalesce("passages", F.array().cast(dict(gathered.dtypes)["passages"])))
+    broken = F.filter("passages", lambda p: p["publication_date"].isNull() | p["text"].isNull() | p["passage_id"].isNull() | ~F.coalesce(p["section"].isin(SECTIONS), F.lit(False)))
+    late = F.filter("passages", lambda p: p["publication_date"] > cutoff)
+    both = both.withColumns({"_broken": broken, "_late": late})
+    named = lambda ps, text: F.array_join(F.transform(ps, text), "; ")
+    status = F.when(F.size("passages") == 0, "NO_PASSAGES").when(F.size("_broken") > 0, "INVALID_PASSAGE").when(F.size("_late") > 0, "TEMPORAL_LEAKAGE").otherwise("PACKET")
+    detail = (
+        F.when(F.size("passages") == 0, "No baseline passages supplied for this candidate.")
+        .when(F.size("_broken") > 0, named(F.col("_broken"), lambda p: F.concat(F.lit("Passage "), F.coalesce(p["passage_id"], F.lit("?")), F.lit(" lacks a field or has an unknown section."))))
+        .when(F.size("_late") > 0, named(F.col("_late"), lambda p: F.concat(F.lit("Passage "), p["passage_id"], F.lit(" dated "), p["publication_date"].cast("string"), F.lit(" is after baseline cutoff "), cutoff.cast("string"), F.lit("."))))
+    )
+    missing = S.missing_sections(F.transform("passages", lambda p: p["section"]), SECTIONS)
+    short = S.overlaps(missing, F.array(*map(F.lit, NEEDED_SECTIONS)))
+    return both.select(
+        "cik", status.alias("packet_status"), detail.alias("packet_detail"), F.concat(F.lit("packet-"), "cik").alias("packet_id"), "company_id", cutoff.alias("baseline_cutoff"),
+        F.col("accession_number").alias("baseline_accession"), F.col("filing_date").alias("baseline_filing_date"), "passages", missing.alias("missing_sections"), short.alias("insufficient_evidence"),
+    )
+
+
+def prompts(firms: DataFrame, built: DataFrame, template: str) -> DataFrame:
+    """(cik, prompt) of each packet: the template with the cutoff, the firm's metadata and its passages filled in."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit("None")))
+    about = F.concat_ws("\n", line("cik", "cik"), line("name", "canonical_name"), line("form", "form"), line("filing_date", "filing_date"), line("sic", "sic"))
+    one = lambda p: F.concat(F.lit("[source_id="), p["source_id"], F.lit(" passage_id="), p["passage_id"], F.lit(" section="), p["section"], F.lit(" date="), p["publication_date"].cast("string"), F.lit("]\n"), p["text"])
+    filled = S.render_prompt(template, {"baseline_cutoff": F.col("baseline_cutoff").cast("string"), "company_metadata": about, "passages_with_source_and_passage_ids": F.array_join(F.transform("passages", one), "\n\n")})
+    return firms.select("cik", "canonical_name", "form", "filing_date", "sic").join(built.where("packet_status = 'PACKET'").select("cik", "baseline_cutoff", "passages"), "cik").select("cik", filled.alias("prompt"))
+
+
 def screened(firms: DataFrame, passages: DataFrame, screens: DataFrame) -> DataFrame:
     """firms with screen_status, archetypes, confidence and screen_error (null: valid) for those that have a packet."""
     said = screens.select("cik", F.explode(F.concat(*(F.coalesce(F.col(c), F.array().cast(dict(screens.dtypes)[c])) for c in ("positive_evidence", "negative_or_boundary_evidence"))).getField("quote")).alias("quote"))
@@ -105,70 +146,108 @@ def classified(firms: DataFrame, passages: DataFrame, rows: DataFrame, cutoff: C
     return out.withColumn("classification_error", F.when(F.col("_due"), error)).withColumn("is_classified", F.col("_due") & F.col("classification_error").isNull()).drop("_due", "_has", "_loose")
 
 
-def decided(firms: DataFrame) -> DataFrame:
-    """One derived tier a firm with provenance, reasons and review triggers, by the first stage that settles it."""
-    out = rules.derive_tier(firms, "exclusion_reason_codes")
+def decided(firms: DataFrame, config: rules.Rules = rules.RULES) -> DataFrame:
+    """One derived tier a firm with provenance, reasons, trace and review triggers, by the first stage that settles it."""
+    out = rules.derive_tier(firms, "exclusion_reason_codes", config)
+    thin = rules.uncertainty(F.array(F.lit("insufficient_baseline_evidence")), config)
     settled = [
-        (F.col("decision") == "exclude", "EXCLUDED", "deterministic", F.col("reason_codes")),
-        (F.col("decision") == "unknown", "UNCERTAIN", None, F.array(F.lit("unresolved_operating_status"))),
-        (F.col("packet_status") != "PACKET", "UNCERTAIN", None, F.array(F.lit("insufficient_baseline_evidence"))),
-        (F.col("screen_error").isNotNull(), "UNCERTAIN", None, F.array(F.lit("insufficient_baseline_evidence"))),
-        (F.col("screen_status") == "LIKELY_INELIGIBLE", "EXCLUDED", "screen_derived", F.array(F.lit("NO_CUSTOMER_FACING_DIGITAL_PRODUCT"))),
-        (~F.col("is_classified"), "UNCERTAIN", None, F.array(F.lit("insufficient_baseline_evidence"))),
+        (F.col("decision") == "exclude", rules.exclusion(F.col("reason_codes"), config, "issuer_filters", "deterministic")),
+        (F.col("decision") == "unknown", rules.uncertainty(F.array(F.lit("unresolved_operating_status")), config)),
+        (F.col("packet_status") != "PACKET", thin), (F.col("screen_error").isNotNull(), thin),
+        (F.col("screen_status") == "LIKELY_INELIGIBLE", rules.exclusion(F.array(F.lit(rules.NO_PRODUCT)), config, "screen.likely_ineligible_pending_negative_audit", "screen_derived")),
+        (~F.col("is_classified"), thin),
     ]
-    tier, by, why, early = F.col("tier.derived_tier"), F.when(F.col("tier.derived_tier") == "EXCLUDED", "economic_classification"), F.col("tier.reasons"), F.lit(False)
-    for test, name, provenance, reasons in reversed(settled):
-        tier, by, why = F.when(test, name).otherwise(tier), F.when(test, F.lit(provenance)).otherwise(by), F.when(test, reasons).otherwise(why)
-        early = early | test
+    tier = F.col("tier")
+    for test, decision in reversed(settled):
+        tier = F.when(test, decision).otherwise(tier)
+    out = out.withColumn("tier", tier)
     none = F.array().cast("array<string>")
-    asked = F.when(early, none).otherwise(F.col("tier.review_reasons"))
-    advisory = F.when(F.col("candidate_tier").isNotNull() & (F.col("candidate_tier") != tier), F.array(F.lit("advisory_tier_conflicts_with_rule_tier"))).otherwise(none)
+    conflict = F.when(F.col("is_classified") & ~F.col("candidate_tier").eqNullSafe(F.col("tier.derived_tier")), F.array(F.lit("advisory_tier_conflicts_with_rule_tier"))).otherwise(none)
     return out.withColumns({
-        "derived_tier": tier, "provenance": by, "tier_reasons": why, "rule_trace": F.when(~early, F.col("tier.trace")),
-        "triggers": F.when(F.size(asked) > 0, F.array_sort(F.array_distinct(F.concat(asked, advisory)))).otherwise(none), "case_id": F.concat(F.lit("case-"), F.col("cik")),
+        "derived_tier": F.col("tier.derived_tier"), "provenance": F.col("tier.exclusion_provenance"), "tier_reasons": F.col("tier.reasons"), "rule_trace": F.col("tier.trace"),
+        "rules_version": F.col("tier.rules_version"), "rules_hash": F.col("tier.rules_hash"),
+        "triggers": F.when(F.col("tier.needs_manual_review"), F.array_sort(F.array_distinct(F.concat("tier.review_reasons", conflict)))).otherwise(none), "case_id": F.concat(F.lit("case-"), F.col("cik")),
     }).drop("tier")
 
 
-def run(spark: SparkSession, bundle: dict[str, DataFrame], cutoff: str, form_scope: list[str], seed: int, per_stratum: int = 1, version: str = "1") -> Universe:
-    """bundle: a frame for each of SCHEMAS. Keys are normalised here; a record whose key is no identifier blocks the freeze."""
+def review_cases(spine: DataFrame) -> DataFrame:
+    """A case of each firm with triggers, with the classifier's summary, the evidence, its passages and the question."""
+    said = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    summary = F.concat(rules.listed_text("archetypes", F.col("customer_value_archetypes")), F.lit(" centrality="), said("software_centrality"), F.lit(" structure="), said("firm_structure"), F.lit(" materiality="), said("commercial_materiality"), F.lit(" advisory_tier="), said("candidate_tier"))
+    return spine.where(F.size("triggers") > 0).select(
+        "case_id", "cik", "company_id", "derived_tier", "triggers", F.when(F.col("is_classified"), summary).alias("classifier_summary"), F.col("evidence").alias("conflicting_evidence"), F.array_sort(F.array_distinct("evidence.passage_id")).alias("passage_ids"),
+        F.when(F.col("review_status") == "unreviewed", "open").otherwise("resolved").alias("state"),
+        F.format_string("Confirm or override the rule-derived tier %s for %s; triggers: %s.", "derived_tier", "company_id", F.array_join("triggers", ", ")).alias("question"),
+    )
+
+
+def build(spark: SparkSession, bundle: dict[str, DataFrame], cutoff: str, form_scope: list[str], seed: int, per_stratum: int = 1, config: rules.Rules = rules.RULES, template: str | None = None) -> dict[str, DataFrame]:
+    """The run's tables. bundle: a frame for each of SCHEMAS. Keys are normalised here; a record whose key is no identifier is
+    in the gate's findings."""
     at = F.lit(cutoff).cast("date")
     b = {n: d.withColumn("cik", S.normalize_cik(F.col("cik"))) if "cik" in d.columns else d for n, d in bundle.items()}
-    filers = b["filers"].withColumns({"company_id": S.company_id(F.col("cik")), "cohort": S.cohort(F.col("filing_date"), at)})
-    invalid, filers = filers.where("cik is null"), filers.where("cik is not null")
+    every = checkpointed(b["filers"].withColumns({"company_id": S.company_id(F.col("cik")), "cohort": S.cohort(F.col("filing_date"), at)}))
+    invalid, filers = every.where("cik is null"), every.where("cik is not null")
     firms, twice, entrants = issuer_decisions(filers, at, form_scope)
     passages = b["passages"]
-    packets = R.leak_status(firms.where("decision = 'include'").select("cik"), passages, "cik", "publication_date", at).select("cik", F.col("status").alias("packet_status"), "passages")
-    spine = screened(firms.join(packets, "cik", "left"), passages, b["screens"])
-    spine = decided(classified(spine, passages, b["classifications"], at))
+    built = packets(firms.where("decision = 'include'").select("cik", "company_id", "accession_number", "filing_date"), passages, at)
+    spine = screened(firms.join(built.select("cik", "packet_status", "packet_detail", "missing_sections", "insufficient_evidence", F.size("passages").alias("passages")), "cik", "left"), passages, b["screens"])
+    spine = decided(classified(spine, passages, b["classifications"], at), config)
     log = b["adjudications"].withColumn("_o", F.struct("recorded_at", "adjudication_id"))
     spine = checkpointed(_overlay(spine, log))
 
-    cases = spine.where(F.size("triggers") > 0).select("case_id", "cik", "company_id", "derived_tier", "triggers", F.array_sort(F.array_distinct("evidence.passage_id")).alias("passage_ids"), F.when(F.col("review_status") == "unreviewed", "open").otherwise("resolved").alias("state"),
-        F.format_string("Confirm or override the tier %s of %s; triggers: %s.", "derived_tier", "company_id", F.array_join("triggers", ", ")).alias("question"))
-    reason = F.when(F.col("provenance") == "deterministic", F.coalesce(F.get("reason_codes", F.lit(0)), F.lit("unknown"))).otherwise("screen_likely_ineligible")
-    sure = F.when(F.col("provenance") == "deterministic", "high").otherwise(F.col("screen_confidence"))
-    signal = F.when(F.col("provenance") == "deterministic", F.array().cast("array<string>")).otherwise(F.col("screen_archetypes"))
+    cases = review_cases(spine)
+    by_issuer = F.col("provenance") == "deterministic"
+    reason = F.when(by_issuer, F.coalesce(F.get("reason_codes", F.lit(0)), F.lit("unknown"))).otherwise("screen_likely_ineligible")
+    sure = F.when(by_issuer, "high").otherwise(F.col("screen_confidence"))
+    signal = F.when(by_issuer, F.array().cast("array<string>")).otherwise(F.col("screen_archetypes"))
     pool = spine.where("provenance in ('deterministic', 'screen_derived')").select("cik", F.col("provenance").alias("excluded_by"), S.stratum(F.col("sic"), F.lit(None).cast("string"), signal, reason, sure).alias("stratum"))
     sample = R.stratified_sample(pool, ["stratum"], "cik", per_stratum, seed)
-    audited = b["audits"].select("cik").distinct()
-    pending = sample.join(audited, "cik", "left_anti")
-    tables = {
-        "filers": filers, "issuer_decisions": firms.select("cik", "company_id", "decision", "reason_codes").unionByName(twice.select("cik", "company_id", F.lit("exclude").alias("decision"), F.array(F.lit("DUPLICATE_ISSUER_RECORD")).alias("reason_codes"))),
-        "packets": packets.where("packet_status = 'PACKET'"), "packet_failures": packets.where("packet_status <> 'PACKET'"), "screens": spine.where("screen_error is null and packet_status = 'PACKET'").select("cik", "screen_status", "screen_archetypes", "screen_confidence"),
-        "screen_failures": spine.where("screen_error is not null").select("cik", "screen_error"), "classification_failures": spine.where("classification_error is not null").select("cik", "classification_error"),
-        "tier_decisions": spine.select("cik", "company_id", "derived_tier", "provenance", "tier_reasons", "rule_trace"), "classifications": spine.where("is_classified").select("cik", "final_value", "review_status", *(c for c in b["classifications"].columns if c != "cik")),
+    screens = spine.where("screen_error is null and packet_status = 'PACKET'").select("cik", "screen_status", "screen_archetypes", "screen_confidence")
+    if template is not None:
+        screens = screens.join(prompts(firms, built, template), "cik").withColumn("prompt_hash", F.sha2("prompt", 256)).drop("prompt")
+    cover = F.struct(
+        F.concat_ws(" ", F.lit("Issuer record:"), F.array_join("reason_codes", ", ")).alias("claim"), F.coalesce(F.get("source_ids", F.lit(0)), F.concat(F.lit("fixture:"), "cik")).alias("source_id"),
+        F.concat("cik", F.lit("-cover")).alias("passage_id"), F.concat_ws(" ", F.lit("Issuer record:"), F.array_join("reason_codes", ", ")).alias("quote"),
+    )
+    return {
+        "filers": filers, "invalid_filers": invalid, "duplicates": twice, "entrants": entrants, "spine": spine, "audit_pool": pool, "audit_pending": sample.join(b["audits"].select("cik").distinct(), "cik", "left_anti"),
+        "issuer_decisions": firms.select("cik", "company_id", "decision", "reason_codes", F.when(F.col("decision") == "exclude", cover).alias("evidence")).unionByName(
+            twice.withColumn("reason_codes", F.array(F.lit("DUPLICATE_ISSUER_RECORD"))).select("cik", "company_id", F.lit("exclude").alias("decision"), "reason_codes", cover.alias("evidence"))),
+        "packets": built.where("packet_status = 'PACKET'").drop("packet_detail"), "packet_failures": built.where("packet_status <> 'PACKET'").select("cik", "company_id", F.col("packet_status").alias("reason_code"), F.col("packet_detail").alias("detail"), "packet_status"),
+        "screens": screens, "screen_failures": spine.where("screen_error is not null").select("cik", "screen_error"), "classification_failures": spine.where("classification_error is not null").select("cik", "classification_error"),
+        "raw_classifications": b["classifications"], "tier_decisions": spine.select("cik", "company_id", "derived_tier", "provenance", "tier_reasons", "rule_trace", "triggers", "rules_version", "rules_hash"),
+        "classifications": spine.where("is_classified").select("cik", "final_value", "review_status", "rule_trace", "rules_version", *(c for c in b["classifications"].columns if c != "cik")),
         "review_queue": cases, "audit_sample": sample.drop("draw", "place").withColumn("seed", F.lit(seed)), "audit_results": b["audits"].join(sample.select("cik"), "cik", "left_semi"),
         "firm_years": firm_years(spine, entrants, b["events"], at), "lineage": b["lineage"], "companies": identities(filers, spine, at), "adjudications": b["adjudications"],
+        "gate_findings": gate_findings(spine, cases, invalid, b["classifications"]), "errors": error_table(built, spine),
     }
-    gates = gate_findings(spine, cases, invalid)
-    tables["gate_findings"] = gates
-    failed = {r["gate"]: r["n"] for r in gates.groupBy("gate").agg(F.count("*").alias("n")).collect()}  # a row a gate
-    counts, identity = _counts(filers, spine, twice, entrants, cases, pool, sample, pending)
+
+
+#: Tables that a run's folder holds; the others of build() serve counts and gates.
+OUTPUTS = "filers issuer_decisions packets packet_failures screens screen_failures raw_classifications classification_failures tier_decisions classifications review_queue audit_sample audit_results firm_years lineage companies adjudications gate_findings errors".split()
+
+
+def error_table(built: DataFrame, spine: DataFrame) -> DataFrame:
+    """(stage, subject, code, detail): what failed in each stage."""
+    of = lambda d, stage, code, detail: d.select(F.lit(stage).alias("stage"), F.col("cik").alias("subject"), F.col(code).alias("code"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    out = of(built.where("packet_status <> 'PACKET'"), "packet", "packet_status", F.col("packet_detail"))
+    out = out.unionByName(of(spine.where("screen_error is not null"), "screen", "screen_error", none))
+    return out.unionByName(of(spine.where("classification_error is not null"), "classification", "classification_error", none))
+
+
+def run(spark: SparkSession, bundle: dict[str, DataFrame], cutoff: str, form_scope: list[str], seed: int, per_stratum: int = 1, version: str = "1", config: rules.Rules = rules.RULES, template: str | None = None) -> Universe:
+    """build(), then gates, counts and the freeze decision; only one-row counts and the gates' names reach the driver."""
+    t = build(spark, bundle, cutoff, form_scope, seed, per_stratum, config, template)
+    failed = {r["gate"]: r["n"] for r in t["gate_findings"].groupBy("gate").agg(F.count("*").alias("n")).collect()}  # a row a gate
+    counts = counts_row(t).first().asDict()
+    identity = reconciliation(counts)
     blockers = [f"hard gate {g}: {n}" for g, n in sorted(failed.items())]
     blockers += [f"count identity fails: {k}" for k, ok in identity.items() if not ok]
     if counts["negative_audit_pending"]:
         blockers.append(f"negative audit: {counts['negative_audit_pending']} pending")
-    return Universe(tables, counts, identity, failed, blockers, "unreleased" if blockers else version)
+    return Universe({n: t[n] for n in OUTPUTS}, counts, identity, failed, blockers, "unreleased" if blockers else version, cutoff, list(form_scope), seed, config)
 
 
 def _overlay(spine: DataFrame, log: DataFrame) -> DataFrame:
@@ -203,11 +282,12 @@ def identities(filers: DataFrame, spine: DataFrame, cutoff: Column) -> DataFrame
     return first.join(spine.select("cik", "final_value"), "cik", "left").select("company_id", F.col("canonical_name").alias("company_name"), "cik", "ticker", F.coalesce("filing_date", cutoff).alias("observation_start"), cutoff.alias("observation_end"), status.alias("inclusion_status"), why.alias("inclusion_reason"))
 
 
-def gate_findings(spine: DataFrame, cases: DataFrame, invalid: DataFrame) -> DataFrame:
+def gate_findings(spine: DataFrame, cases: DataFrame, invalid: DataFrame, raw: DataFrame) -> DataFrame:
+    """What blocks a freeze. Leakage is looked for in the classifications as they came, as validation keeps such rows out."""
     done = spine.where("is_classified")
     empty = done.where(F.exists("evidence", lambda e: F.trim(F.coalesce(e["quote"], F.lit(""))) == ""))
     found = [
-        R.findings("empty_quote", empty, "cik"), R.findings("temporal_leakage", done.where("baseline_filing_date > baseline_cutoff"), "cik"),
+        R.findings("empty_quote", empty, "cik"), R.findings("temporal_leakage", raw.where("baseline_filing_date > baseline_cutoff"), "cik"),
         R.findings("inclusion_without_evidence", done.where(F.col("derived_tier").isin(INCLUDED) & (F.coalesce(F.size("evidence"), F.lit(0)) == 0)), "cik"),
         R.findings("excluded_issuer_in_core", spine.where("decision = 'exclude' and derived_tier = 'TIER_A_CORE'"), "cik"), R.findings("repeated_firm", R.repeated(spine, ["cik"]), "cik"),
         R.findings("open_review_case", cases.where("state = 'open'"), "case_id"), R.findings("invalid_identifier", invalid, "canonical_name"),
@@ -218,43 +298,83 @@ def gate_findings(spine: DataFrame, cases: DataFrame, invalid: DataFrame) -> Dat
     return out
 
 
-def _counts(filers, spine, twice, entrants, cases, pool, sample, pending) -> tuple[dict[str, int], dict[str, bool]]:
+def counts_row(t: dict[str, DataFrame]) -> DataFrame:
+    """One row of all counts: an aggregate a frame, beside each other."""
     is_ = lambda c, v: F.count_if(F.col(c) == v)
-    frames = [
-        filers.agg(F.count("*").alias("filer_records"), F.count_distinct("cik").alias("unique_firms")), twice.agg(F.count("*").alias("baseline_duplicates")),
-        entrants.agg(F.count("*").alias("entrant_records")), entrants.join(spine.select("cik"), "cik", "left_anti").agg(F.count_distinct("cik").alias("post_baseline_entrants")),
-        spine.agg(
-            F.count("*").alias("baseline_firms"), is_("decision", "exclude").alias("issuer_excluded"), is_("decision", "unknown").alias("issuer_unknown"), is_("packet_status", "PACKET").alias("packets_built"),
-            F.count_if(F.col("packet_status") != "PACKET").alias("packet_failures"), F.count("screen_error").alias("screen_failures"), F.count_if(F.col("is_classified")).alias("classified"), F.count("classification_error").alias("classification_failures"),
-            *(F.count_if((F.col("screen_status") == s) & F.col("screen_error").isNull() & (F.col("packet_status") == "PACKET")).alias(s.lower()) for s in SCREEN_STATUSES),
-            *(is_("final_value", v).alias(n) for n, v in (("tier_a", INCLUDED[0]), ("tier_b", INCLUDED[1]), ("tier_c", INCLUDED[2]), ("excluded", "EXCLUDED"), ("uncertain", "UNCERTAIN"))),
-            *(is_("provenance", p).alias(f"excluded_{p}") for p in ("deterministic", "screen_derived", "economic_classification")),
+    good = F.col("screen_error").isNull() & (F.col("packet_status") == "PACKET")
+    n = lambda name: F.count("*").alias(name)
+    rows = [
+        t["filers"].agg(n("filer_records"), F.count_distinct("cik").alias("unique_firms"), F.count_if(F.col("cohort") == "baseline").alias("baseline_candidate_records")),
+        t["duplicates"].agg(n("baseline_duplicates")), t["entrants"].agg(n("entrant_records")),
+        t["entrants"].join(t["spine"].select("cik"), "cik", "left_anti").agg(F.count_distinct("cik").alias("post_baseline_entrants")),
+        t["spine"].agg(
+            n("baseline_firms"), is_("decision", "exclude").alias("issuer_excluded"), is_("decision", "unknown").alias("issuer_unknown"), is_("packet_status", "PACKET").alias("packets_built"),
+            F.count_if(F.col("packet_status") != "PACKET").alias("packet_failures"), F.count_if(good).alias("screened"), F.count("screen_error").alias("screen_failures"), F.count_if(F.col("is_classified")).alias("classified"), F.count("classification_error").alias("classification_failures"),
+            *(F.count_if((F.col("screen_status") == s) & good).alias(s.lower()) for s in SCREEN_STATUSES),
+            *(is_("final_value", v).alias(k) for k, v in (("tier_a", INCLUDED[0]), ("tier_b", INCLUDED[1]), ("tier_c", INCLUDED[2]), ("excluded", "EXCLUDED"), ("uncertain", "UNCERTAIN"))),
+            *(is_("provenance", p).alias(f"excluded_{p}") for p in PROVENANCES),
             F.count_if((F.col("final_value") == "EXCLUDED") & F.col("provenance").isNull()).alias("excluded_by_review"), F.count_if((F.col("final_value") != "EXCLUDED") & F.col("provenance").isNotNull()).alias("readmitted_by_review"),
         ),
-        cases.agg(F.count("*").alias("review_cases"), is_("state", "resolved").alias("review_cases_resolved"), is_("state", "open").alias("review_cases_open")),
-        pool.agg(F.count("*").alias("negative_audit_pool")), sample.agg(F.count("*").alias("negative_audit_sampled")), pending.agg(F.count("*").alias("negative_audit_pending")),
+        t["review_queue"].agg(n("review_cases"), is_("state", "resolved").alias("review_cases_resolved"), is_("state", "open").alias("review_cases_open")),
+        t["audit_pool"].agg(n("negative_audit_pool")), t["audit_sample"].agg(n("negative_audit_sampled")), t["audit_pending"].agg(n("negative_audit_pending")),
     ]
-    n = {k: v for f in frames for k, v in f.first().asDict().items()}
-    n["duplicate_records"] = n["filer_records"] - n["unique_firms"]
-    n["negative_audit_completed"] = n["negative_audit_sampled"] - n["negative_audit_pending"]
-    return n, {
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.crossJoin(r)  # one row each
+    return out.withColumns({"duplicate_records": F.col("filer_records") - F.col("unique_firms"), "negative_audit_completed": F.col("negative_audit_sampled") - F.col("negative_audit_pending")})
+
+
+def reconciliation(n: dict[str, int]) -> dict[str, bool]:
+    return {
         "unique_firms = baseline_firms + post_baseline_entrants": n["unique_firms"] == n["baseline_firms"] + n["post_baseline_entrants"],
         "filer_records = baseline_firms + baseline_duplicates + entrant_records": n["filer_records"] == n["baseline_firms"] + n["baseline_duplicates"] + n["entrant_records"],
         "baseline_firms = tiers + excluded + uncertain": n["baseline_firms"] == sum(n[k] for k in ("tier_a", "tier_b", "tier_c", "excluded", "uncertain")),
-        "excluded = by provenance + by review - readmitted": n["excluded"] == n["excluded_deterministic"] + n["excluded_screen_derived"] + n["excluded_economic_classification"] + n["excluded_by_review"] - n["readmitted_by_review"],
+        "excluded = by provenance + by review - readmitted": n["excluded"] == sum(n[f"excluded_{p}"] for p in PROVENANCES) + n["excluded_by_review"] - n["readmitted_by_review"],
     }
 
 
-def write(spark: SparkSession, u: Universe, base: str, run_id: str) -> str:
-    """Write each table once to a new run folder as JSON lines, then the manifest with each table's content hash and the counts."""
+#: The manifest's shape.
+MANIFEST = {
+    "type": "object", "additionalProperties": False,
+    "required": ["run_id", "universe_version", "baseline_cutoff", "form_scope", "candidate_frame_hash", "taxonomy_version", "sample_rules_version", "schema_versions", "run_timestamp", "counts", "hard_gate_status", "output_hashes"],
+    "properties": {
+        **{k: {"type": "string"} for k in ("run_id", "universe_version", "candidate_frame_hash", "taxonomy_version", "sample_rules_version", "sample_rules_hash")},
+        **{k: {"type": ["string", "null"]} for k in ("source_manifest_hash", "code_revision", "packet_builder_version", "screen_prompt_hash", "classification_prompt_hash")},
+        **{k: {"type": "array", "items": {"type": "string"}} for k in ("form_scope", "model_routes", "eval_report_ids", "limitations", "blockers")},
+        **{k: {"type": "object", "additionalProperties": {"type": "string"}} for k in ("schema_versions", "output_hashes")},
+        **{k: {"type": "object", "additionalProperties": {"type": "integer", "minimum": 0}} for k in ("counts", "failed_gates")},
+        "reconciliation": {"type": "object", "additionalProperties": {"type": "boolean"}}, "baseline_cutoff": {"type": "string", "format": "date"}, "run_timestamp": {"type": "string", "format": "date-time"},
+        "negative_audit_seed": {"type": ["integer", "null"]}, "manual_review_complete": {"type": "boolean"}, "hard_gate_status": {"enum": ["pass", "fail", "not_run"]},
+    },
+}
+
+
+def manifest(u: Universe, run_id: str, output_hashes: dict[str, str], **more) -> dict:
+    """The run's manifest, checked against MANIFEST. more: versions, revisions, prompt hashes, routes, limitations."""
+    out = {
+        "run_id": run_id, "universe_version": u.version, "baseline_cutoff": u.cutoff, "form_scope": u.form_scope, "candidate_frame_hash": output_hashes["filers"], "source_manifest_hash": None, "code_revision": None,
+        "packet_builder_version": None, "screen_prompt_hash": None, "classification_prompt_hash": None, "model_routes": ["replay"], "taxonomy_version": "unversioned", "sample_rules_version": u.rules.version, "sample_rules_hash": u.rules.digest,
+        "schema_versions": {}, "negative_audit_seed": u.seed, "eval_report_ids": [], "manual_review_complete": not u.counts["review_cases_open"], "run_timestamp": datetime.datetime.now(datetime.UTC).isoformat(), "counts": u.counts,
+        "reconciliation": u.reconciliation, "failed_gates": u.failed_gates, "blockers": u.blockers, "hard_gate_status": "pass" if not u.failed_gates and not u.counts["negative_audit_pending"] else "fail", "limitations": [], "output_hashes": output_hashes,
+    } | more
+    if errors := validation.document_errors(MANIFEST, out):
+        raise ValueError(f"manifest: {'; '.join(errors[:5])}")
+    return out
+
+
+#: What each table is sorted by where it is written.
+_SORTED = {"review_queue": "case_id", "lineage": "lineage_id", "adjudications": "adjudication_id", "gate_findings": "gate", "errors": "stage"}
+
+
+def write(spark: SparkSession, u: Universe, base: str, run_id: str, **more) -> str:
+    """Write each table once to a new run folder, sorted, as JSON lines; then the manifest with each table's content hash, the
+    counts and what else is given (see manifest)."""
     path = files.run_directory(spark, base, run_id)
     hashes = {}
     for name, df in u.tables.items():
-        files.write_jsonl(df, f"{path}/{name}")
-        one = files.file_hashes(spark, f"{path}/{name}/*.json").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("h"))  # a hash a file
-        hashes[name] = one.first()["h"]
-    manifest = {"run_id": run_id, "universe_version": u.version, "counts": u.counts, "reconciliation": u.reconciliation, "failed_gates": u.failed_gates, "blockers": u.blockers, "hard_gate_status": "pass" if not u.blockers else "fail", "output_hashes": hashes}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+        files.write_jsonl(df.orderBy(_SORTED.get(name, "cik") if _SORTED.get(name, "cik") in df.columns else df.columns[0]), f"{path}/{name}")
+        hashes[name] = files.content_hash(spark.read.text(f"{path}/{name}/*.json"))
+    files.write_json(spark, manifest(u, run_id, hashes, **more), f"{path}/manifest")
     return path
 
 

@@ -41,7 +41,7 @@ def bundle():
     by[3]["issuer_status_flags"] |= {"investment_company": None}
     filers[1].pop("flags_")
     passages = [dict(cik=str(n), passage_id=f"p{n}", source_id="s", section="ITEM1_OVERVIEW", publication_date=DAY, text=TEXT) for n in ids if n != 4]
-    passages += [dict(cik="5", passage_id="late", source_id="s", section="RISK", publication_date=datetime.date(2023, 1, 1), text=TEXT)]
+    passages += [dict(cik="5", passage_id="late", source_id="s", section="CUSTOMERS", publication_date=datetime.date(2023, 1, 1), text=TEXT)]
     screens = [screen(n) for n in (1, 7, 8, 9, 10, 11, 14)] + [screen(6, "LIKELY_INELIGIBLE", None)]
     screens[1]["positive_evidence"][0]["quote"] = "a sentence that is nowhere"
     rows = [axes(1), axes(9, software_centrality="CO_ESSENTIAL"), axes(10, customer_facing_functional_product=False), axes(11, quote=None), axes(14, customer_value_archetypes=["ECOMMERCE_RETAIL"], firm_structure="MIXED_NONSEPARABLE", candidate_tier="TIER_C_BOUNDARY")]
