@@ -72,3 +72,36 @@ def decompose(panel: DataFrame, unit: str, period: str, value: str, weight: str)
         (F.sum(F.coalesce(w1 * x1, F.lit(0.0))) - F.sum(F.coalesce(w0 * x0, F.lit(0.0)))).alias("change"), F.count("x0").alias("had"), F.count("x1").alias("has"),
     )
     return out.where("had > 0 and has > 0").drop("had", "has")
+
+
+def decompose_roles(panel: DataFrame, unit: str, role: str, period: str, value: str, weight: str) -> DataFrame:
+    """As decompose, over units with roles: within a unit's roles, the shift between its roles (role), the shift between units
+    (mix), entry and exit of units, and coverage (units that are there in both periods but measured in one). A null value isn't
+    measured and has no weight. The parts add up to the change."""
+    there = panel.select(unit, period).distinct()
+    known = panel.where(F.col(value).isNotNull())
+    total = known.groupBy(period).agg(F.sum(weight).alias("_total"))
+    own = known.groupBy(unit, period).agg(F.sum(weight).alias("_own"))
+    cells = known.join(own, [unit, period]).join(total, period).select(
+        unit, role, F.col(period).alias("period"), F.col(value).alias("x"), (F.col("_own") / F.col("_total")).alias("s"), (F.col(weight) / F.col("_own")).alias("rho")
+    )
+    by_unit = cells.groupBy(unit, "period").agg(F.max("s").alias("s"), F.sum(F.col("rho") * F.col("x")).alias("x"))
+    shifted = lambda d, names: d.select(unit, *[c for c in d.columns if c in (role,)], (F.col("period") + 1).alias("period"), *(F.col(a).alias(b) for a, b in names))
+    units = by_unit.select(unit, "period", F.col("s").alias("s1"), F.col("x").alias("X1")).join(shifted(by_unit, (("s", "s0"), ("x", "X0"))), [unit, "period"], "full_outer")
+    now, old = there.select(unit, F.col(period).alias("period"), F.lit(True).alias("here")), there.select(unit, (F.col(period) + 1).alias("period"), F.lit(True).alias("before"))
+    units = units.join(now, [unit, "period"], "left").join(old, [unit, "period"], "left")
+    s0, s1, stays = F.col("s0"), F.col("s1"), F.col("s0").isNotNull() & F.col("s1").isNotNull()
+    add = lambda test, e: F.sum(F.when(test, e).otherwise(0.0))
+    gained, lost = s1 * F.col("X1"), s0 * F.col("X0")
+    outer = units.groupBy("period").agg(
+        add(stays, (s1 - s0) * F.col("X1")).alias("mix"), add(s0.isNull() & F.col("before").isNull(), gained).alias("entry"), add(s1.isNull() & F.col("here").isNull(), -lost).alias("exit"),
+        (add(s0.isNull() & F.col("before").isNotNull(), gained) + add(s1.isNull() & F.col("here").isNotNull(), -lost)).alias("coverage"),
+        (F.sum(F.coalesce(gained, F.lit(0.0))) - F.sum(F.coalesce(lost, F.lit(0.0)))).alias("change"), F.count("s0").alias("had"), F.count("s1").alias("has"),
+    )
+    roles = cells.select(unit, role, "period", F.col("x").alias("x1"), F.col("rho").alias("r1")).join(shifted(cells, (("x", "x0"), ("rho", "r0"))), [unit, role, "period"], "full_outer")
+    roles = roles.join(units.where(stays).select(unit, "period", "s0"), [unit, "period"])
+    both = F.col("x1").isNotNull() & F.col("x0").isNotNull()
+    moved = F.col("r0") * (F.col("x1") - F.col("x0"))
+    whole = F.coalesce(F.col("r1") * F.col("x1"), F.lit(0.0)) - F.coalesce(F.col("r0") * F.col("x0"), F.lit(0.0))
+    inner = roles.groupBy("period").agg(add(both, s0 * moved).alias("within"), F.sum(s0 * (whole - F.when(both, moved).otherwise(0.0))).alias("role"))
+    return outer.where("had > 0 and has > 0").drop("had", "has").join(inner, "period")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from attestor.plans import evaluation, universe_queries  # noqa: F401  (add their queries)
+from attestor.plans import evaluation, measures, universe_queries  # noqa: F401  (add their queries)
 from attestor.plans.catalogue import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
