@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +14,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "_ra
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[str], latest: bool = True) -> DataFrame:
-    """One row per key: the greatest (or least) of `order` columns. An aggregate, so a hot key is combined before the
-    shuffle; nulls lose. Columns keep their order."""
-    best = (F.max_by if latest else F.min_by)(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_r")).select("_r.*")
+    """One row per key: the greatest (or least) of `order` columns; nulls lose. The planner limits each key to one row before
+    the shuffle (a partial group limit), so a hot key costs one row a task. Columns keep their order."""
+    by = [F.col(o).desc_nulls_last() if latest else F.col(o).asc_nulls_last() for o in order]
+    return ranked(df, keys, by, "_place").where("_place = 1").drop("_place")
 
 
 def superseded(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -37,14 +39,24 @@ def leak_status(records: DataFrame, evidence: DataFrame, key: str, date: str, cu
     return records.join(seen, key, "left").withColumn("status", status).drop("undated", "latest")
 
 
-def as_of(facts: DataFrame, registry: DataFrame, keys: list[str], at: str, since: str, value: str) -> DataFrame:
+def as_of(facts: DataFrame, registry: DataFrame, keys: list[str], at: str, since: str, value: str, bucket: str = "day") -> DataFrame:
     """facts with the registry's latest `value` on or before `at`: both sides are one ordered stream per key, so
-    there is no range join. Registry rows come before facts of the same instant; of two on one date the greater value wins."""
+    there is no range join. Registry rows come before facts of the same instant; of two on one date the greater value wins.
+    Streams are cut into buckets of time, so that a key with very many rows is many windows; each bucket begins with the last
+    value of the buckets before it, of which there is one row each."""
     right = registry.select(*keys, F.col(since).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
     left = facts.withColumns({"_t": F.col(at), "_v": F.lit(None).cast(dict(registry.dtypes)[value]), "_side": F.lit(1)})
-    order = W.partitionBy(*keys).orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(order)).where("_side = 1").drop("_t", "_v", "_side")
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, "_t"))
+    inside = W.partitionBy(*keys, "_b").orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    known = F.when((F.col("_side") == 0) & F.col("_v").isNotNull(), F.struct("_t", "_v"))
+    ends = both.groupBy(*keys, "_b").agg(F.max(known)["_v"].alias("_end"))
+    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    names = {k: f"_k{i}" for i, k in enumerate((*keys, "_b"))}
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    joined = both.join(carried.withColumnsRenamed(names), reduce(lambda x, y: x & y, same), "left").drop(*names.values())
+    found = joined.withColumn(value, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carried")))
+    return found.where("_side = 1").drop("_t", "_v", "_side", "_b", "_carried")
 
 
 def in_validity(facts: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
@@ -53,17 +65,31 @@ def in_validity(facts: DataFrame, spans: DataFrame, keys: list[str], at: str, st
     return facts.join(spans, keys).where(inside)
 
 
-def containing(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
+def containing(texts: DataFrame, quotes: DataFrame, text: str, quote: str, text_key: str, quote_key: str) -> DataFrame:
     """Pairs whose text contains the quote. The longest word inside the quote (not its first or last, which may be cut)
-    must be a word of the text; quotes of fewer than three words have none and are compared with every text, in blocks."""
+    must be a word of the text: words meet by their text's key alone, and a text is fetched for its distinct candidates only.
+    Quotes of fewer than three words have no such word and are compared with every text. Both keys are unique."""
     words = F.split(F.col(quote), r"\s+")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = quotes.withColumn("_w", F.when(F.size(words) > 2, anchor))
-    spread = texts.withColumn("_w", F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))))
-    hit = spread.join(keyed.where("_w is not null"), "_w").where(F.contains(text, quote))
-    short = texts.join(keyed.where("_w is null"), F.contains(text, quote))
-    return hit.drop("_w").unionByName(short.drop("_w"))
+    spread = texts.select(text_key, F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("_w"))
+    met = spread.join(keyed.where("_w is not null").select(quote_key, "_w"), "_w").select(text_key, quote_key)
+    hit = met.join(keyed.drop("_w"), quote_key).join(texts, text_key).where(F.contains(text, quote))
+    short = texts.join(keyed.where("_w is null").drop("_w"), F.contains(text, quote))
+    return hit.unionByName(short)
+
+
+def line_starts(lines: Column) -> Column:
+    """Of an array of texts that one character parts, where each begins. Sums go by blocks of the square root of their number,
+    inside the row: no shuffle or sort, and no array is copied for each line."""
+    lengths = F.transform(lines, lambda x: (F.length(x) + 1).cast("long"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    sized = F.array(F.struct(lengths.alias("n"), F.greatest(F.ceil(F.sqrt(F.size(lines))).cast("int"), F.lit(1)).alias("b")))
+    cut = F.transform(sized, lambda z: F.transform(F.sequence(F.lit(0), F.greatest((F.size(z["n"]) - 1) / z["b"], F.lit(0)).cast("int")), lambda i: F.slice(z["n"], i * z["b"] + 1, z["b"])))
+    summed = F.transform(cut, lambda blocks: F.struct(blocks.alias("blocks"), F.transform(blocks, total).alias("sums")))
+    based = F.transform(summed, lambda z: F.transform(z["blocks"], lambda block, i: F.struct(block.alias("block"), total(F.slice(z["sums"], 1, i)).alias("base"))))
+    return F.flatten(F.transform(F.flatten(based), lambda z: F.transform(z["block"], lambda _, j: z["base"] + total(F.slice(z["block"], 1, j)))))
 
 
 def latest_overlay(cases: DataFrame, log: DataFrame, key: str, order: str, derived: str, final: str, decision: str) -> DataFrame:

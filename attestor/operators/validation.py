@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .relational import best_per_key
 
@@ -15,23 +16,59 @@ from .relational import best_per_key
 MOJIBAKE = ["Ã©", "Ã¨", "â€™", "â€œ", "Â ", "�"]
 
 
-def schema_errors(schema: dict, at: str = "$", of: Column | None = None, first: int = 5) -> Column:
+_TYPES = {"string": ("string", "date", "timestamp"), "integer": ("tinyint", "smallint", "int", "bigint"), "number": ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"), "boolean": ("boolean",), "array": ("array",), "object": ("struct", "map")}
+
+
+def schema_errors(schema: dict, at: str = "$", of: Column | None = None, first: int = 5, frame: T.StructType | None = None) -> Column:
     """The first errors, by path, of the row (or of struct `of`) against a JSON Schema: required, enum, const, minimum,
-    maximum, minLength, pattern, minItems, nested objects and arrays' items. Types are the frame's; a null is an absent value."""
-    return F.slice(F.array_sort(_errors(schema, at, of)), 1, first)
+    maximum, minLength, maxLength, pattern, format (date, date-time), minItems, uniqueItems, nested objects, arrays' items and
+    $ref to the schema's own parts. A null is an absent value. With the frame's own schema given, type and
+    additionalProperties are looked at too; as these are the same for all rows, so are their errors."""
+    fixed = sorted(_type_errors(schema, frame, at, schema)) if frame is not None else []
+    found = F.concat(_errors(schema, at, of, schema), F.array(*map(F.lit, fixed)) if fixed else F.array().cast("array<string>"))
+    return F.slice(F.array_sort(found), 1, first)
+
+
+def _resolved(schema: dict, root: dict) -> dict:
+    while "$ref" in schema:
+        part = root
+        for key in schema["$ref"].removeprefix("#/").split("/"):
+            part = part[key]
+        schema = part
+    return schema
 
 
-def _errors(schema: dict, at: str, of: Column | None) -> Column:
+def _type_errors(schema: dict, kind: T.DataType, at: str, root: dict) -> list[str]:
+    schema = _resolved(schema, root)
+    allowed = schema.get("type", [])
+    allowed = [k for k in ([allowed] if isinstance(allowed, str) else allowed) if k != "null"]
+    name = kind.simpleString().split("<")[0].split("(")[0]
+    if allowed and not any(name in _TYPES[k] for k in allowed):
+        return [f"{at}: not of type {' or '.join(allowed)}"]
+    out = []
+    if isinstance(kind, T.StructType):
+        known = schema.get("properties", {})
+        for f in kind.fields:
+            if f.name in known:
+                out += _type_errors(known[f.name], f.dataType, f"{at}.{f.name}", root)
+            elif schema.get("additionalProperties") is False:
+                out.append(f"{at}.{f.name}: not allowed")
+    if isinstance(kind, T.ArrayType) and "items" in schema:
+        out += _type_errors(schema["items"], kind.elementType, f"{at}[]", root)
+    return out
+
+
+def _errors(schema: dict, at: str, of: Column | None, root: dict) -> Column:
     parts = []
     for name in schema.get("required", []):
         c = F.col(name) if of is None else of[name]
         parts.append(_found([(c.isNull(), f"{at}.{name}: required")]))
     for name, sub in schema.get("properties", {}).items():
-        parts.append(_value_errors(sub, f"{at}.{name}", F.col(name) if of is None else of[name]))
+        parts.append(_value_errors(_resolved(sub, root), f"{at}.{name}", F.col(name) if of is None else of[name], root))
     return F.concat(*parts) if parts else F.array().cast("array<string>")
 
 
-def _value_errors(s: dict, at: str, c: Column) -> Column:
+def _value_errors(s: dict, at: str, c: Column, root: dict) -> Column:
     tests = []
     if "enum" in s:
         tests.append((~c.isin([v for v in s["enum"] if v is not None]), "not in enum"))
@@ -43,16 +80,23 @@ def _value_errors(s: dict, at: str, c: Column) -> Column:
         tests.append((c > s["maximum"], "above maximum"))
     if "minLength" in s:
         tests.append((F.length(c) < s["minLength"], "too short"))
+    if "maxLength" in s:
+        tests.append((F.length(c) > s["maxLength"], "too long"))
     if "pattern" in s:
         tests.append((~c.rlike(s["pattern"]), "does not match"))
+    if s.get("format") in ("date", "date-time"):
+        shape, kind = (r"^\d{4}-\d{2}-\d{2}$", "date") if s["format"] == "date" else (r"^\d{4}-\d{2}-\d{2}[T ]", "timestamp")
+        tests.append((c.isNotNull() & (~c.cast("string").rlike(shape) | c.cast("string").try_cast(kind).isNull()), f"not a {s['format']}"))
     if "minItems" in s:
         tests.append((F.size(c) < s["minItems"], "too few items"))
+    if s.get("uniqueItems"):
+        tests.append((F.size(F.array_distinct(c)) < F.size(c), "repeated items"))
     out = [_found([(t, f"{at}: {what}") for t, what in tests])] if tests else []
     none = F.array().cast("array<string>")
     if s.get("properties") or s.get("required"):
-        out.append(F.when(c.isNotNull(), _errors(s, at, c)).otherwise(none))
+        out.append(F.when(c.isNotNull(), _errors(s, at, c, root)).otherwise(none))
     if "items" in s:
-        out.append(F.coalesce(F.flatten(F.transform(c, lambda e: _value_errors(s["items"], f"{at}[]", e))), none))
+        out.append(F.coalesce(F.flatten(F.transform(c, lambda e: _value_errors(_resolved(s["items"], root), f"{at}[]", e, root))), none))
     return F.concat(*out) if out else none
 
 
@@ -148,3 +192,28 @@ def verdict(executed: Column, critical: Column, failed_gates: Column, open_revie
         F.when(~F.coalesce(executed, F.lit(False)), "not_executed").when(critical > 0, "rejected_critical")
         .when(failed_gates > 0, "rejected_gate").when(open_reviews > 0, "pending_review").otherwise("accepted")
     )
+
+
+def prohibited_keys(df: DataFrame, document: str, names: list[str]) -> DataFrame:
+    """df with `prohibited`: the forbidden keys that its JSON text holds, sorted."""
+    held = F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
+    return df.withColumn("prohibited", F.array_sort(F.array_intersect(held, F.array(*map(F.lit, names)))))
+
+
+def roadmap_only(entities: DataFrame, evidence: DataFrame, key: str, state: str, planned: list[str]) -> DataFrame:
+    """Entities that have evidence, all of which speaks of plans."""
+    seen = evidence.groupBy(key).agg(F.bool_and(F.coalesce(F.col(state).isin(planned), F.lit(False))).alias("_planned"))
+    return entities.join(seen.where("_planned").select(key), key, "left_semi")
+
+
+def changed_raw(raw: DataFrame, now: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, what): raw records that are gone or whose text is no longer what it was. Only hashes move."""
+    old = raw.select(key, F.sha2(text, 256).alias("_old"))
+    new = now.select(key, F.sha2(text, 256).alias("_new"), F.lit(True).alias("_there"))
+    both = old.join(new, key, "left")
+    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(key, F.when(F.col("_there").isNull(), "gone").otherwise("changed").alias("what"))
+
+
+def outcomes_in(df: DataFrame, outcomes: list[str]) -> Column:
+    """The outcome columns that a row of inputs has a value in; columns that the frame lacks don't count."""
+    return _found([(F.col(c).isNotNull(), c) for c in outcomes if c in df.columns])

@@ -111,7 +111,7 @@ def missing_sections(t):
 # A quote's longest inner word is whole in any text that holds the quote, so it is an equi-key with `contains` as the residual.
 @query("SELECT item_id, count(d.doc_id) AS documents, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def quote_resolution(t):
-    hit = R.containing(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("quote")), "text", "quote")
+    hit = R.containing(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("quote")), "text", "quote", "doc_id", "item_id")
     found = hit.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
     return t("benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
 
@@ -199,12 +199,12 @@ _DEC = ["CONFIRM_RULE_TIER", "OVERRIDE_RULE_TIER", "REMAIN_UNCERTAIN", "ONTOLOGY
 
 
 @query(
-    f"WITH l AS (SELECT user_id, {_DEC}[event_id % 4 + 1] AS d, event_type AS f FROM events WHERE event_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), c AS (SELECT DISTINCT user_id, 'click' AS derived FROM events) "
+    f"WITH l AS (SELECT user_id, {_DEC}[event_id % 4 + 1] AS d, event_type AS f FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), c AS (SELECT DISTINCT user_id, 'click' AS derived FROM events) "
     "SELECT user_id, CASE WHEN d IS NULL OR d = 'ONTOLOGY_CHANGE_REQUIRED' THEN derived WHEN d = 'REMAIN_UNCERTAIN' THEN 'UNCERTAIN' ELSE f END AS final_value, CASE WHEN d IS NULL THEN 'unreviewed' WHEN d = 'ONTOLOGY_CHANGE_REQUIRED' THEN 'ontology_question' WHEN d = 'REMAIN_UNCERTAIN' THEN 'ambiguous' WHEN f <> derived THEN 'overridden' ELSE 'approved' END AS review_status FROM c LEFT JOIN l USING (user_id)"
 )
 def review_overlay(t):
     e = t("events")
-    log = e.where("event_id % 5 = 0").select("user_id", "event_id", "event_type", F.get(F.array(*map(F.lit, _DEC)), (F.col("event_id") % 4).cast("int")).alias("decision"))
+    log = e.where("event_type = 'purchase'").select("user_id", "event_id", "event_type", F.get(F.array(*map(F.lit, _DEC)), (F.col("event_id") % 4).cast("int")).alias("decision"))
     cases = e.select("user_id").distinct().withColumn("derived", F.lit("click"))
     return R.latest_overlay(cases, log, "user_id", "event_id", "derived", "event_type", "decision").select("user_id", "final_value", "review_status")
 
@@ -331,9 +331,10 @@ def canonical_source(t):
     "SELECT doc_id, place, sha256(s) AS passage_hash, CAST(coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents)"
 )
 def segment_passages(t):
-    parts = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "s"))
-    start = F.sum(F.length("s") + 1).over(W.partitionBy("doc_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
-    return parts.select("doc_id", F.col("place").cast("long").alias("place"), F.sha2("s", 256).alias("passage_hash"), F.coalesce(start, F.lit(0)).cast("long").alias("start"))
+    lines = t("documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    placed = lines.select("doc_id", "lines", R.line_starts(F.col("lines")).alias("starts"))
+    parts = placed.select("doc_id", F.posexplode(F.arrays_zip("lines", "starts")).alias("place", "p"))
+    return parts.select("doc_id", F.col("place").cast("long").alias("place"), F.sha2("p.lines", 256).alias("passage_hash"), F.col("p.starts").alias("start"))
 
 
 @query(
@@ -377,11 +378,12 @@ def unsafe_rate(t):
 
 
 @query(
-    "SELECT CASE WHEN b IS NULL OR c IS NULL THEN 'noncomparable' WHEN b AND c THEN 'still_satisfied' WHEN b THEN 'newly_unsatisfied' WHEN c THEN 'newly_satisfied' ELSE 'still_unsatisfied' END AS transition, count(*) AS n FROM (SELECT x.b, y.c FROM (SELECT doc_id, quality = 1 AS b FROM labels WHERE doc_id % 7 <> 0) x FULL JOIN (SELECT doc_id, toxic = 0 AS c FROM labels WHERE doc_id % 5 <> 0) y USING (doc_id)) GROUP BY 1"
+    "SELECT CASE WHEN b IS NULL OR c IS NULL THEN 'noncomparable' WHEN b AND c THEN 'still_satisfied' WHEN b THEN 'newly_unsatisfied' WHEN c THEN 'newly_satisfied' ELSE 'still_unsatisfied' END AS transition, count(*) AS n FROM (SELECT x.b, y.c FROM (SELECT doc_id, CASE WHEN lang <> 'fr' THEN n_chars > 800 END AS b FROM documents) x FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN quality = 1 END AS c FROM labels) y USING (doc_id)) GROUP BY 1"
 )
 def run_ledger(t):
-    l = t("labels")  # noqa: E741
-    old, new = l.where("doc_id % 7 <> 0").select("doc_id", (F.col("quality") == 1).alias("b")), l.where("doc_id % 5 <> 0").select("doc_id", (F.col("toxic") == 0).alias("c"))
+    # Assertions that one run lacks, or leaves open, aren't comparable.
+    old = t("documents").select("doc_id", F.when(F.col("lang") != "fr", F.col("n_chars") > 800).alias("b"))
+    new = t("labels").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("quality") == 1).alias("c"))
     b, c = F.col("b"), F.col("c")
     move = F.when(b.isNull() | c.isNull(), "noncomparable").when(b & c, "still_satisfied").when(b, "newly_unsatisfied").when(c, "newly_satisfied").otherwise("still_unsatisfied")
     return old.join(new, "doc_id", "full_outer").groupBy(move.alias("transition")).agg(F.count("*").alias("n"))

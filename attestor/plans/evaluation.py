@@ -93,14 +93,14 @@ def alias_matching(t):
     return gold.join(of_pred, "n_regionkey", "left").select("n_regionkey", "gold", zero("found"), zero("predicted"), zero("matched"))
 
 
-@query("SELECT CASE WHEN o_orderkey IS NULL THEN 'order' WHEN c_custkey IS NULL THEN 'customer' WHEN n_nationkey IS NULL THEN 'nation' WHEN r_regionkey IS NULL THEN 'region' ELSE 'resolved' END AS first_missing, count(*) AS n FROM lineitem LEFT JOIN (FROM orders WHERE o_orderkey % 11 <> 0) ON l_orderkey = o_orderkey LEFT JOIN (FROM customer WHERE c_custkey % 9 <> 0) ON o_custkey = c_custkey LEFT JOIN (FROM nation WHERE n_nationkey <> 3) ON c_nationkey = n_nationkey LEFT JOIN (FROM region WHERE r_regionkey <> 1) ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT CASE WHEN o_orderkey IS NULL THEN 'order' WHEN c_custkey IS NULL THEN 'customer' WHEN n_nationkey IS NULL THEN 'nation' WHEN r_regionkey IS NULL THEN 'region' ELSE 'resolved' END AS first_missing, count(*) AS n FROM lineitem LEFT JOIN (FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey LEFT JOIN (FROM customer WHERE c_acctbal >= -500) ON o_custkey = c_custkey LEFT JOIN (FROM nation WHERE n_name <> 'CANADA') ON c_nationkey = n_nationkey LEFT JOIN (FROM region WHERE r_name <> 'AMERICA') ON n_regionkey = r_regionkey GROUP BY 1")
 def provenance_chain(t):
-    # Parents with some rows taken out, so that each link of the chain can fail; lines are counted by order before they join.
+    # Parents of some states only, so that each link of the chain can fail; lines are counted by order before they join.
     lines = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    o = t("orders").where("o_orderkey % 11 <> 0").select("o_orderkey", "o_custkey")
-    c = t("customer").where("c_custkey % 9 <> 0").select("c_custkey", "c_nationkey")
+    o = t("orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    c = t("customer").where("c_acctbal >= -500").select("c_custkey", "c_nationkey")
     chain = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
-    chain = chain.join(t("nation").where("n_nationkey <> 3"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region").where("r_regionkey <> 1"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    chain = chain.join(t("nation").where("n_name <> 'CANADA'"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region").where("r_name <> 'AMERICA'"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     at = F.when(F.col("o_orderkey").isNull(), "order").when(F.col("c_custkey").isNull(), "customer").when(F.col("n_nationkey").isNull(), "nation").when(F.col("r_regionkey").isNull(), "region").otherwise("resolved")
     return chain.groupBy(at.alias("first_missing")).agg(F.sum("n").alias("n"))
 
@@ -173,11 +173,11 @@ def current_records(t):
     return V.current_records(e, "event_id", "replaces_id").groupBy("event_type").agg(F.count("*").alias("current"))
 
 
-@query("WITH l AS (SELECT o_custkey AS k, max_by(CASE o_orderkey % 3 WHEN 0 THEN 'accepted_risk' WHEN 1 THEN 'fixed' ELSE 'open' END, o_orderkey) AS d FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) SELECT coalesce(d, 'open') AS disposition, count(*) AS findings FROM orders LEFT JOIN l ON k = o_custkey WHERE o_totalprice > 200000 GROUP BY 1")
+@query("WITH l AS (SELECT o_custkey AS k, max_by(CASE o_orderkey % 3 WHEN 0 THEN 'accepted_risk' WHEN 1 THEN 'fixed' ELSE 'open' END, o_orderkey) AS d FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT coalesce(d, 'open') AS disposition, count(*) AS findings FROM orders LEFT JOIN l ON k = o_custkey WHERE o_totalprice > 200000 GROUP BY 1")
 def finding_dispositions(t):
     o = t("orders")
     k = F.col("o_orderkey")
-    log = o.where(k % 5 == 0).select("o_custkey", "o_orderkey", F.when(k % 3 == 0, "accepted_risk").when(k % 3 == 1, "fixed").otherwise("open").alias("d"))
+    log = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", F.when(k % 3 == 0, "accepted_risk").when(k % 3 == 1, "fixed").otherwise("open").alias("d"))
     return V.with_disposition(o.where("o_totalprice > 200000").select("o_custkey"), log, "o_custkey", "o_orderkey", "d").groupBy("disposition").agg(F.count("*").alias("findings"))
 
 
@@ -206,6 +206,23 @@ def quotes_in_cited_passage(t):
     return V.cited_quotes(quotes, d, "doc_id", "q", "text").select(F.col("quoting").alias("doc_id"), "resolves")
 
 
+_WIDE = {
+    "type": "object", "additionalProperties": False, "required": ["o_orderkey"], "definitions": {"day": {"type": "string", "format": "date"}},
+    "properties": {"o_orderkey": {"type": "integer"}, "o_totalprice": {"type": "string"}, "day": {"$ref": "#/definitions/day"}, "o_orderpriority": {"type": "string", "maxLength": 8}, "twice": {"type": "array", "uniqueItems": True, "items": {"type": "integer", "maximum": 9}}},
+}
+
+
+@query(
+    "SELECT o_orderkey, array_to_string(list_sort(list_filter(['$.o_orderstatus: not allowed', '$.o_totalprice: not of type string', CASE WHEN o_orderkey % 3 = 0 THEN '$.day: not a date' END, CASE WHEN length(o_orderpriority) > 8 THEN '$.o_orderpriority: too long' END, CASE WHEN o_custkey % 12 = o_orderkey % 12 THEN '$.twice: repeated items' END, CASE WHEN o_custkey % 12 > 9 OR o_orderkey % 12 > 9 THEN '$.twice[]: above maximum' END], lambda x: x IS NOT NULL)), '; ') AS errors FROM (SELECT * FROM orders) "
+)
+def schema_types(t):
+    day = F.when(F.col("o_orderkey") % 3 == 0, "2022-02-30").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    twice = F.array(F.col("o_custkey") % 12, F.col("o_orderkey") % 12)
+    d = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", day.alias("day"), "o_orderpriority", twice.alias("twice"))
+    errors = V.schema_errors(_WIDE, frame=d.schema, first=20)
+    return d.select("o_orderkey", F.array_join(F.array_distinct(errors), "; ").alias("errors"))
+
+
 _MARKERS = ["password", "confidential", "lorem ipsum", "license"]
 
 

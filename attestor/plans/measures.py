@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import longitudinal as L
 from ..operators import measures as M
 from ..operators import relational as R
+from ..operators import validation as V
 from .catalogue import query
 from .evaluation import _SCALE
 
@@ -123,7 +124,7 @@ def role_decomposition(t):
 _CAND = (
     "WITH v AS (SELECT vec_id AS k, vec_id // 50 AS firm, label, embedding::DOUBLE[] AS e, list_filter(list_transform(range(8), lambda i: CASE WHEN embedding[i + 1] > 0 THEN i END), lambda x: x IS NOT NULL) AS c FROM embeddings), "
     "r AS (SELECT a.k AS successor, b.k AS predecessor, a.k % 10 = b.k % 10 + 1 AS named, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS need, coalesce(round(len(list_intersect(a.c, b.c)) / nullif(len(list_distinct(list_concat(a.c, b.c))), 0), 6), 0) AS shared, len(a.c) - len(b.c) AS gain FROM v a JOIN v b ON a.firm = b.firm AND a.label = b.label WHERE a.k % 2 = 1 AND b.k % 2 = 0), "
-    "s AS (SELECT *, round(0.6 * need + 0.3 * shared + 0.1 * named::INT, 6) AS score FROM r), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY successor ORDER BY score DESC, predecessor) <= 2) "
+    "s AS (SELECT *, round(need + shared + named::INT, 6) AS score FROM r), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY successor ORDER BY score DESC, predecessor) <= 2) "
 )
 
 
@@ -135,7 +136,7 @@ def _candidates(t):
     before = v.where("k % 2 = 0").withColumnsRenamed({"k": "predecessor", "e": "e0", "c": "c0"})
     need, shared = F.round(M.cosine(F.col("e1"), F.col("e0")), 6), F.round(M.overlap(F.col("c1"), F.col("c0")), 6)
     named = F.col("successor") % 10 == F.col("predecessor") % 10 + 1
-    score = F.round(0.6 * need + 0.3 * shared + 0.1 * named.cast("int"), 6)
+    score = F.round(need + shared + named.cast("int"), 6)
     best = L.predecessors(now, before, ["firm", "label"], "successor", [F.col("predecessor")], score, 2)
     return best.select("firm", "label", "successor", "predecessor", need.alias("need"), shared.alias("shared"), named.alias("named"), (F.size("c1") - F.size("c0")).alias("gain"), "score")
 
@@ -229,3 +230,20 @@ def suite_membership(t):
     suite = F.when(k == 0, "regression").when(k == 1, "development").otherwise("holdout")
     return t("events").groupBy(suite.alias("suite"), "user_id").agg(F.max_by("event_type", "event_id").alias("last_event"), F.count("*").alias("n"))
 
+
+
+@query(
+    "SELECT 'prohibited_field' AS validator, count(*) AS n FROM events WHERE json_exists(props, '$.k') AND event_type = 'click' UNION ALL SELECT 'roadmap_only', count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'N')) "
+    "UNION ALL SELECT 'raw_changed', count(*) FROM documents WHERE doc_id % 17 = 0 AND lang <> 'es' UNION ALL SELECT 'raw_gone', count(*) FROM documents WHERE lang = 'es' UNION ALL SELECT 'outcome_present', count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000"
+)
+def deterministic_validators(t):
+    count = lambda d, name: d.agg(F.lit(name).alias("validator"), F.count("*").alias("n"))
+    keys = V.prohibited_keys(t("events").where("event_type = 'click'").select("props"), "props", ["k", "ticker"])
+    parts = V.roadmap_only(t("part").select(F.col("p_partkey").alias("l_partkey")), t("lineitem"), "l_partkey", "l_returnflag", ["N"])
+    d = t("documents").select("doc_id", "text", "lang")
+    now = d.where("lang <> 'es'").select("doc_id", F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
+    moved = V.changed_raw(d, now, "doc_id", "text")
+    o = t("orders").select("o_orderkey", F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000), F.col("o_totalprice")).alias("revenue_next_year"))
+    out = count(keys.where(F.size("prohibited") > 0), "prohibited_field").unionByName(count(parts, "roadmap_only"))
+    out = out.unionByName(count(moved.where("what = 'changed'"), "raw_changed")).unionByName(count(moved.where("what = 'gone'"), "raw_gone"))
+    return out.unionByName(count(o.where(F.size(V.outcomes_in(o, ["revenue_next_year", "return_12m"])) > 0), "outcome_present"))

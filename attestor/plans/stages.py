@@ -87,3 +87,14 @@ def run_stage(stages: list[dict], stage_id: str | int, *, execute: bool = False,
         return Outcome(command, False, "full_run_disabled")
     done = subprocess.run(command, cwd=cwd, capture_output=True, text=True, timeout=timeout, check=False)
     return Outcome(command, True, None, done.returncode, done.stdout + done.stderr)
+
+
+def environment(spark: SparkSession, project: dict, cwd: str | None = None) -> DataFrame:
+    """(name, value): what a run's report needs to know of where it ran."""
+    try:
+        revision = subprocess.run(["git", "rev-parse", "--short", "HEAD"], cwd=cwd, capture_output=True, text=True, timeout=15, check=True).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        revision = "unknown"
+    found = {"python": sys.version.split()[0], "executable": sys.executable, "platform": sys.platform, "spark": spark.version, "master": spark.sparkContext.master, "git_commit": revision}
+    found |= {k: project.get(k) for k in ("project_name", "schema_version", "observation_window")} | {"full_run_enabled": bool(project.get("full_run_enabled", False))}
+    return spark.createDataFrame([(k, None if v is None else str(v)) for k, v in found.items()], "name string, value string")
