@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from itertools import chain, islice, repeat
+from itertools import chain
 
 import numpy as np
 
 #: ASCII that is neither letter, digit nor white space.
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Of each byte: 0 for white space, 1 for an ASCII letter or digit, 2 for an ASCII sign, 3 for any other.
-_KIND = np.array([0 if b in b" \t\n\x0b\x0c\r" else 1 if chr(b).isalnum() and b < 128 else 2 if b in _SIGNS else 3 for b in range(256)], np.uint8)
+KIND = np.array([0 if b in b" \t\n\x0b\x0c\r" else 1 if chr(b).isalnum() and b < 128 else 2 if b in _SIGNS else 3 for b in range(256)], np.uint8)
 #: The longest chunk whose bytes and length make two integers.
 SHORT = 15
 _LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)], np.uint64)
@@ -29,7 +29,7 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT)
 
 
-def _pairs(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs_of(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two integers that hold the bytes (at most SHORT) at starts, and their number."""
     words = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
     return words[starts] & _LOW[length], words[starts + 8] & _HIGH[length] | (length << 56).astype(np.uint64)
@@ -45,11 +45,14 @@ class ShortTable:
     """Pairs of integers -> index, by open addressing over arrays, so that many are looked up at once."""
 
     def __init__(self, entries: int):
-        self.bits = max(10, (2 * entries).bit_length())
+        self.least = max(10, (2 * entries).bit_length() - 1)
         self.clear()
 
     def clear(self) -> None:
-        n = 1 << self.bits
+        self._make(self.least)
+
+    def _make(self, bits: int) -> None:
+        self.bits, self.count, n = bits, 0, 1 << bits
         self.low, self.high, self.index = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
 
     def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -71,6 +74,12 @@ class ShortTable:
 
     def add(self, low: np.ndarray, high: np.ndarray, index: np.ndarray) -> None:
         """Distinct pairs that aren't in the table yet, with distinct indexes."""
+        if (self.count + len(low)) * 4 > 3 << self.bits:
+            had = self.index >= 0
+            old = self.low[had], self.high[had], self.index[had]
+            self._make(max(self.bits + 1, (2 * (self.count + len(low))).bit_length()))
+            self.add(*old)
+        self.count += len(low)
         slot, todo = self._slots(low, high), np.arange(len(low))
         while len(todo):
             free = self.index[slot] < 0
@@ -91,23 +100,40 @@ class ChunkEncoder:
     Only DEFAULT has these rules; with another file every text is encoded whole.
     """
 
-    def __init__(self, path: str | None = None, entries: int = 1_000_000, pool: int = 8_000_000):
+    def __init__(self, path: str | None = None, entries: int = 500_000, pool: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.by_chunk = path is None or os.path.basename(path) == DEFAULT
         self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.entries, self.pool_limit = entries, pool
-        self.short = ShortTable(entries + (1 << 18))
+        self.short = ShortTable(2 * entries)
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.long: dict[bytes, int] = {}
         self.pool = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i]..ends[i + 1] is chunk i
         self.used = self.count = 0
         self.short.clear()
 
+    def forget(self) -> None:
+        """Drop the cache, and what it holds."""
+        self._clear()
+
+    def _find(self, joined: bytes, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The index of each chunk of joined (which ends in SHORT + 1 more bytes), or -1."""
+        raw = np.frombuffer(joined, np.uint8)
+        out = np.empty(len(starts), np.int64)
+        brief, long = np.flatnonzero(length <= SHORT), np.flatnonzero(length > SHORT)
+        out[brief] = self.short.find(*pairs_of(raw, starts[brief], length[brief]))
+        out[long] = np.fromiter((self.long.get(joined[a : a + n], -1) for a, n in zip(starts[long].tolist(), length[long].tolist())), np.int64, len(long))
+        return out
+
+    def _indexes(self, names: list[bytes]) -> np.ndarray:
+        length = np.fromiter(map(len, names), np.int64, len(names))
+        return self._find(b"".join([*names, b" " * (SHORT + 1)]), np.cumsum(length) - length, length)
+
     def _add(self, chunks: list[bytes]) -> None:
         """Index new chunks: those that end in signs from their two parts, the others by the tokenizer."""
         whole, parted = {}, []
@@ -117,8 +143,10 @@ class ChunkEncoder:
                 whole[c] = None
             else:
                 parted.append((c, base, c[len(base) :]))
-        whole.update((x, None) for _, *both in parted for x in both)
-        fresh = [c for c in whole if c not in self.index]
+        both = [x for _, *two in parted for x in two]
+        whole.update(dict.fromkeys(both))
+        names = list(whole)
+        fresh = [names[i] for i in np.flatnonzero(self._indexes(names) < 0).tolist()]
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
             found = [self._plain(c) for c in part]
@@ -127,8 +155,7 @@ class ChunkEncoder:
                 found[i] = e.ids
             self._keep(part, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(part)))
         if parted:
-            at = np.fromiter((self.index[x] for _, *both in parted for x in both), np.int64, 2 * len(parted))
-            ids, lengths = self._gather(at)
+            ids, lengths = self._gather(self._indexes(both))
             self._keep([c for c, *_ in parted], ids, lengths.reshape(-1, 2).sum(axis=1))
 
     def _parts(self, chunk: bytes, base: bytes) -> bool:
@@ -150,7 +177,11 @@ class ChunkEncoder:
         self.ends[at + 1 : at + n + 1] = self.used + np.cumsum(lengths)
         self.used += len(ids)
         self.count += n
-        self.index.update(zip(chunks, range(at, at + n)))
+        size = np.fromiter(map(len, chunks), np.int64, n)
+        brief = np.flatnonzero(size <= SHORT)
+        raw = np.frombuffer(b"".join([*chunks, b" " * (SHORT + 1)]), np.uint8)
+        self.short.add(*pairs_of(raw, (np.cumsum(size) - size)[brief], size[brief]), (at + brief).astype(np.int32))
+        self.long.update((chunks[i], at + i) for i in np.flatnonzero(size > SHORT).tolist())
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the indexed chunks in order, and how many each has."""
@@ -175,7 +206,7 @@ class ChunkEncoder:
         sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
         joined = b" ".join([b"", *(t or b"" for t in texts), b" " * (SHORT + 1)]).lower()
         raw = np.frombuffer(joined, np.uint8)
-        kind = _KIND[raw]
+        kind = KIND[raw]
         edges = np.flatnonzero((kind[1:] != 0) != (kind[:-1] != 0)) + 1
         starts, stops = edges[::2], edges[1::2]
         sign = stops.copy()  # where the signs at a chunk's end begin, if there are a few of them
@@ -188,43 +219,32 @@ class ChunkEncoder:
             starts, stops = _spread(at, more, starts, sign[cut]), _spread(at, more, np.where(cut, sign, stops), stops[cut])
         per_text = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes + 1) + 1])))
         length = stops - starts
-        brief = np.flatnonzero(length <= SHORT)
-        low, high = _pairs(raw, starts[brief], length[brief])
-        out = np.empty(len(starts), np.int64)
-        out[brief] = self.short.find(low, high)
-        long = np.flatnonzero(length > SHORT)
-        names = [joined[a:z] for a, z in zip(starts[long].tolist(), stops[long].tolist())]
-        out[long] = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(long))
+        out = self._find(joined, starts, length)
         if len(missing := np.flatnonzero(out < 0)):
-            names = [joined[a:z] for a, z in zip(starts[missing].tolist(), stops[missing].tolist())]
-            fresh = sorted(set(names))
-            before = self.count
-            self._add(fresh)
-            self._index_short(before)
-            out[missing] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+            self._add(sorted({joined[a:z] for a, z in zip(starts[missing].tolist(), stops[missing].tolist())}))
+            out[missing] = self._find(joined, starts[missing], length[missing])
         return out, per_text
 
-    def _index_short(self, before: int) -> None:
-        """Move the brief ones of the chunks from number `before` on to the table of integers."""
-        names = list(islice(reversed(self.index), self.count - before))[::-1]
-        length = np.fromiter(map(len, names), np.int64, len(names))
-        raw = np.frombuffer(b"".join(names) + b" " * (SHORT + 1), np.uint8)
-        brief = np.flatnonzero(length <= SHORT)
-        low, high = _pairs(raw, (np.cumsum(length) - length)[brief], length[brief])
-        self.short.add(low, high, (before + brief).astype(np.int32))
-
     def _whole(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """As _split, for texts that may hold special tokens (A-Z could turn into their letters) or another file's rules."""
         chunks = [[] if not t else t.split() if self.by_chunk else [t] for t in texts]
-        flat = list(chain.from_iterable(chunks))
-        if fresh := sorted(set(flat).difference(self.index)):
-            before = self.count
-            self._add(fresh)
-            self._index_short(before)
-        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, chunks), np.int64, len(chunks))
-
-    def encode(self, texts: list[bytes | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the offsets of each text (one more than texts); end is appended to each text."""
+        names = sorted(set(chain.from_iterable(chunks)))
+        self._add([names[i] for i in np.flatnonzero(self._indexes(names) < 0).tolist()])
+        index = dict(zip(names, self._indexes(names).tolist()))
+        at = [index[c] for c in chain.from_iterable(chunks)]
+        return np.array(at, np.int64), np.fromiter(map(len, chunks), np.int64, len(chunks))
+
+    def encode(self, texts: list[bytes | None], end: int | None = None, some: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the offsets of each text (one more than texts); end is appended to each text. Texts go `some`
+        at a time, as what is held beside them is many times their size."""
+        parts = [self._encode(texts[k : k + some], end) for k in range(0, len(texts), some)]
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+        bounds = [np.zeros(1, np.int64), *(b[1:] + n for (_, b), n in zip(parts, before))]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate(bounds)
+
+    def _encode(self, texts: list[bytes | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         if self.count > self.entries or self.used > self.pool_limit:
             self._clear()
         plain = self.by_chunk and not any(s in t for t in texts if t for s in self.special)
