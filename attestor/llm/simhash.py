@@ -394,12 +394,13 @@ def _cells(entries: DataFrame) -> DataFrame:
     return entries.join(crowded, "key", "left").withColumn("cell", F.explode(cells)).drop("b")
 
 
-def similar(docs: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: int = 5, level: float = 0.8) -> DataFrame:
-    """(a, b): candidates whose sets of shingles have an exact Jaccard similarity of `level` or more."""
+def similar(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, shingle: int = 5, level: float = 0.8) -> DataFrame:
+    """(a, b): candidates whose sets of shingles have an exact Jaccard similarity of `level` or more. nodes: each node with one
+    row (r) that has it, so copies don't meet here."""
     candidates = materialize(candidates, "candidates")
     ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
-    one = materialize(one.select("node", F.col("r.doc_id").alias("d"), F.col("r.text_hash").alias("h")), "ends")
+    one = nodes.join(ends, "node").select("node", F.col("r.doc_id").alias("d"), F.col("r.text_hash").alias("h"))
+    one = materialize(one, "ends")
     texts = _keyed(docs)
     found = texts.join(one, texts.doc_id.eqNullSafe(one.d) & (F.col("text_hash") == F.col("h"))).select("node", "t").dropDuplicates(["node"])
     found = materialize(found, "texts")
@@ -421,10 +422,11 @@ def similar(docs: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: in
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows' sketches, and (node, least, root) of each node, linked by fingerprints (as in clusters) or by similarity;
-    least is the node's smallest doc_id. The root is the component's own."""
+    """The rows' sketches, and (node, least, r, root) of each node, linked by fingerprints (as in clusters) or by similarity;
+    least is the node's smallest doc_id, r its first row. The root is the component's own."""
     rows = sketches(docs)
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("whole").alias("whole")), "nodes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(row).alias("r"), F.any_value("fp").alias("fp"), F.any_value("whole").alias("whole")), "nodes")
     once = [F.any_value(c).alias(c) for c in ("n", "bits", "bands")]
     sets = materialize(rows.where("n > 0").groupBy("whole").agg(F.min("node").alias("node"), *once), "sets")
     equal = nodes.join(sets.select("whole", F.col("node").alias("b")), "whole").select(F.col("node").alias("a"), "b").where("a <> b")
@@ -433,14 +435,14 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = by_fp.select("fp", "first")
     bits = links(by_fp.select("fp")).join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a")
     bits = bits.join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = same.unionByName(bits).unionByName(equal).unionByName(similar(docs, rows, likely(sets)))
-    placed = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    edges = same.unionByName(bits).unionByName(equal).unionByName(similar(docs, nodes, likely(sets)))
+    placed = nodes.select("node", "least", "r").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed, "placed")
-    rest = similar(docs, rows, pairs(docs, sets.join(placed.select("node", "root"), "node")))
+    rest = similar(docs, nodes, pairs(docs, sets.join(placed.select("node", "root"), "node")))
     a, b = (placed.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     rest = rest.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     last = components(rest).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    placed = placed.join(last, "root", "left").select("node", "least", F.coalesce("last", "root").alias("root"))
+    placed = placed.join(last, "root", "left").select("node", "least", "r", F.coalesce("last", "root").alias("root"))
     return rows, placed
 
 
@@ -456,9 +458,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, with its own columns, whatever these are called: the one with the smallest doc_id, then
     text hash; a null doc_id comes last. Each node's copies are reduced to one before any join, so copies never meet in a
     task; documents move once, by a key of their id and text."""
-    rows, placed = grouped(docs.select("doc_id", "text"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = rows.groupBy("node").agg(F.min(order).alias("r")).join(placed.select("node", "root"), "node").groupBy("root").agg(F.min("r").alias("r"))
+    _rows, placed = grouped(docs.select("doc_id", "text"))
+    first = placed.groupBy("root").agg(F.min("r").alias("r"))
     i, h = fresh_names(docs.columns, "id_key", "text_key")
     text_key = lambda t, d: F.xxhash64(t, d.isNull())
     keep = first.select(F.coalesce("r.doc_id", F.lit(0)).alias(i), text_key(F.col("r.text_hash"), F.col("r.doc_id")).alias(h))
