@@ -20,7 +20,7 @@ from __future__ import annotations
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -196,18 +196,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: i
     return keyed.join(whole.select(row, F.struct("n_words", "spans", "items").alias(name)), row).drop(row)
 
 
-def _scanner(shared, window: int):
-    """A pandas function text -> n_words, starts, ends, items of the shared block. A worker keeps the last block's automaton."""
+def _automaton(shared, window: int):
+    """A function that gives the shared block's automaton. A worker keeps the last block's."""
     token = uuid.uuid4().hex
 
-    def scan(texts: pd.Series) -> pd.DataFrame:
+    def get() -> Automaton:
         if token not in _built:
             _built.clear()
             _built[token] = Automaton([(i, item_words(t)) for i, t in shared.value], window)
+        return _built[token]
+
+    return get
+
+
+def _scanner(shared, window: int):
+    """A pandas function text -> n_words, starts, ends, items of the shared block."""
+    automaton = _automaton(shared, window)
+
+    def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             words = item_words(t)
-            spans, found = _built[token].scan(words)
+            spans, found = automaton().scan(words)
             rows.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(found)))
         return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
@@ -241,30 +251,46 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
     return found.withColumn(name, F.col(name).withField("contaminated", (n_hit > 0) & (n_hit * share >= F.col(f"{name}.n_words"))))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, longest: int = 0, share: int = 20, drop: bool = False, **args) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, longest: int = 0, share: int = 20, drop: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs whose text lacks the hit spans of over `longest` words. A document over the coverage limit (one word of `share`)
     loses all its spans or, with `drop`, goes. Words of a removed span go together with what parts them. Where docs has a
-    column n_chars, it is the new text's length in code points."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series, every: pd.Series) -> pd.Series:
-        out = []
-        for t, s, a in zip(texts, spans, every):
-            gone = [(x["start"], x["end"]) for x in s if a or x["end"] - x["start"] > longest]
-            out.append(without(t, gone) if gone else t)
-        return pd.Series(out, dtype=object)
-
-    name, whole = fresh_names(docs.columns, "hits", "whole")
-    found = judged(docs, benchmark, window, share, name, **args)
+    column n_chars, it is the new text's length in code points. With one block of items a text is scanned and cut in one
+    go, so that a task needs one Python worker."""
+    spark = ready(docs.sparkSession)
+    name, after = fresh_names(docs.columns, "hits", "after")
+
+    def cut(text: str | None, spans: list[tuple[int, int]], n_words: int) -> tuple[bool, str | None]:
+        """Whether the document is over the limit, and its new text; None if it doesn't change."""
+        n_hit = sum(e - s for s, e in spans)
+        over = n_hit > 0 and n_hit * share >= n_words
+        gone = [(s, e) for s, e in spans if over or e - s > longest]
+        return over, without(text, gone) if gone and not (drop and over) else None
+
+    blocks = list(islice(item_blocks(benchmark, block_bytes), 2))
+    if len(blocks) == 1:
+        automaton = _automaton(spark.sparkContext.broadcast(blocks[0]), window)
+
+        def scan_and_cut(texts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for t in texts:
+                words = item_words(t.encode() if t else None)
+                rows.append(cut(t, automaton().scan(words)[0], len(words)))
+            return pd.DataFrame(rows, columns=["over", "text"])
+
+        found = docs.withColumn(after, F.pandas_udf(scan_and_cut, "over boolean, text string")(F.col("text")))
+    else:
+        scanned = judged(docs, benchmark, window, share, name, block_bytes=block_bytes)
+
+        def cut_all(texts: pd.Series, spans: pd.Series, n_words: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([cut(t, [(x["start"], x["end"]) for x in s], n) for t, s, n in zip(texts, spans, n_words)], columns=["over", "text"])
+
+        found = scanned.withColumn(after, F.pandas_udf(cut_all, "over boolean, text string")("text", f"{name}.spans", f"{name}.n_words"))
     if drop:
-        found = found.where(~F.col(f"{name}.contaminated"))
-    worth = F.exists(f"{name}.spans", lambda s: (s["end"] - s["start"] > longest) | F.col(f"{name}.contaminated"))
-    # Texts without a span to cut don't go through Python again.
-    shown = F.when(worth, F.col("text"))
-    found = found.withColumns({whole: F.col("text"), "text": cut(shown, F.when(worth, F.col(f"{name}.spans")).otherwise(F.array().cast("array<struct<start:long,end:long>>")), f"{name}.contaminated")})
+        found = found.where(~F.col(f"{after}.over"))
+    new = F.col(f"{after}.text")
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(worth, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.when(worth, F.col("text")).otherwise(F.col(whole))).select(*docs.columns)
+        found = found.withColumn("n_chars", F.coalesce(F.length(new).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return found.withColumn("text", F.coalesce(new, F.col("text"))).select(*docs.columns)
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> str:
