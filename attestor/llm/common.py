@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 PACKAGE = Path(__file__).resolve().parents[1]
+BATCH_ROWS, _BATCH = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _state: dict = {}
 
 
@@ -27,8 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ready(spark: SparkSession) -> SparkSession:
     """The package on every worker's path. Workers that inherit a PYTHONPATH with this repository need no copy; others get
-    a zip. No session setting is touched."""
+    a zip. Arrow batches of more than BATCH_ROWS rows are too large for a worker where texts are long, so a session that
+    allows them is lowered to that; every operator needs the same value, and no other setting is touched."""
     sc = spark.sparkContext
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     inherited = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) not in inherited and _state.get("shipped") != sc.applicationId:
         made = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{PACKAGE.name}.zip")
@@ -89,11 +94,20 @@ def remainder(key: str, m: int) -> Column:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.RecordBatch, dict]]:
-    """Batches of at most `rows` rows, as Arrow and with their columns as Python lists."""
+    """Batches of at most `rows` rows, as Arrow and with their columns as Python lists. When all are read the worker, which
+    stays for later tasks, gives its free memory back."""
     for whole in batches:
         for k in range(0, whole.num_rows, rows):
             b = whole.slice(k, rows)
             yield b, {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def fresh_names(columns: list[str], *wanted: str) -> list[str]:

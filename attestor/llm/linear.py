@@ -17,7 +17,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 0.0, ste
     n, d = x.shape
     if n == 0:
         return np.zeros(d), 0.0
-    x1 = np.hstack([x.astype(np.float64), np.ones((n, 1))])
+    x1 = np.ones((n, d + 1))
+    x1[:, :d] = x
     v = np.ones(d + 1)
     for _ in range(12):  # the largest eigenvalue bounds the curvature
         v = x1.T @ (x1 @ v)

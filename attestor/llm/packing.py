@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, ready, rows_of, table
+from .common import give_back, materialize, ready, rows_of, table
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
 
 
-def pieces(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None) -> DataFrame:
-    """PIECES of every document, written to the shared folder; nth counts a chunk's pieces of one length."""
+def pieces(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None, forget: bool = False) -> DataFrame:
+    """PIECES of every document, written to the shared folder; nth counts a chunk's pieces of one length. forget: a worker
+    drops its cache of encoded chunks after each task, where other stages need its memory."""
     ready(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +48,9 @@ def pieces(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None
                 [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 5))],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"],
             )
+        if forget:
+            encoder(path).forget()
+            give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
     return materialize(source.mapInArrow(cut, PIECES), "pieces")
@@ -143,10 +147,10 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None, forget: bool = False) -> DataFrame:
     """PIECES but for chunk and nth, with sequence_id and offset (place in the sequence, gapless from 0)."""
     spark = docs.sparkSession
-    cut = pieces(docs, capacity, end, path)
+    cut = pieces(docs, capacity, end, path, forget)
     counts = cut.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     counts = materialize(counts, "chunk-lengths")
     histogram = np.zeros(capacity + 1, np.int64)
@@ -181,4 +185,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces with their places in the packed sequences."""
-    return pack(docs.select("doc_id", "text"))
+    return pack(docs.select("doc_id", "text"), forget=True)

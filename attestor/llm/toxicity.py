@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_names, ready, table
+from .common import fresh_names, give_back, ready, table
 from .linear import logistic, sigmoid
 
 SPACE_BITS = 20
@@ -138,21 +138,23 @@ def fit(sample: Sample, columns: tuple, features: int, folds: int, threshold: fl
         kind[bad] = clusters(x[bad][:, x[bad].mean(axis=0) > x[~bad].mean(axis=0)], kinds)
     targets = np.column_stack([*((kind == j).astype(float) for j in range(kinds)), y])
     fold = np.arange(n) % folds
-    inside = [(fold == f, sample.matrix(sample.choose(fold != f, features))) for f in range(folds) if 0 < y[fold != f, -1].sum() < (fold != f).sum()]
+    able = [f for f in range(folds) if (fold == f).any() and 0 < y[fold != f, -1].sum() < (fold != f).sum()]
     weights, bias, links = [], [], []
-    earlier = np.zeros((n, 0))
+    earlier = np.zeros((n, 0), np.float32)
     for t in targets.T:
         w, b = logistic(np.hstack([x, earlier]), t, l2=1e-4, steps=120)
         weights.append(w[: len(chosen)])
         links.append(w[len(chosen) :])
         bias.append(b)
-        out = np.full(n, t.mean())  # where a fold's training rows are of one class
-        for held, xf in inside:
-            if held.any():
-                xs = np.hstack([xf, earlier])
-                wf, bf = logistic(xs[~held], t[~held], l2=1e-4, steps=120)
-                out[held] = sigmoid(xs[held] @ wf + bf)
+        out = np.full(n, t.mean(), np.float32)  # where a fold's training rows are of one class
+        for f in able:  # one matrix at a time, as the driver's memory is small
+            held = fold == f
+            xs = np.hstack([sample.matrix(sample.choose(~held, features)), earlier])
+            wf, bf = logistic(xs[~held], t[~held], l2=1e-4, steps=120)
+            out[held] = sigmoid(xs[held] @ wf + bf)
+            del xs
         earlier = np.column_stack([earlier, out])
+    give_back()
     return Chain(names, {int(h): i for i, h in enumerate(chosen)}, np.array(weights).T.reshape(len(chosen), len(names)), np.array(bias), links, threshold)
 
 
@@ -169,7 +171,7 @@ def scorer(chain: Chain) -> Callable:
                 found = known.get(w)
                 if found is None:
                     found = tuple(chain.ids[h] for h in _hashes(w) if h in chain.ids)
-                    if len(known) < 300_000:
+                    if len(known) < 100_000:
                         known[w] = found
                 if found:
                     hit.update(found)
@@ -178,6 +180,7 @@ def scorer(chain: Chain) -> Callable:
         p = np.zeros((len(texts), size))
         for k in range(size):
             p[:, k] = sigmoid(z[:, k] + p[:, :k] @ chain.links[k])
+        give_back()
         return pd.DataFrame({f"p_{c}": p[:, k] for k, c in enumerate(chain.names)})
 
     return F.pandas_udf(score, T.StructType([T.StructField(f"p_{c}", T.DoubleType()) for c in chain.names]))

@@ -71,17 +71,77 @@ def test_base_scores_and_held_out_gain(spark, sf, documents):
 def test_model_is_a_probability():
     """Over all classes and words, seen or not, the parts sum to one."""
     words = {b"a": 0, b"b": 1, b"c": 2}
-    voc = lm_scoring.Vocabulary(words, np.array([5, 4, 3]), np.concatenate([[0, 1, 40], np.arange(31, 64)]))
+    voc = lm_scoring.Vocabulary(words, np.array([5, 4, 3]), np.concatenate([[0, 1, lm_scoring.END_CLASS + 5], np.arange(lm_scoring.END_CLASS, lm_scoring.CLASSES)]))
     ids, bounds, rest = voc.encode([b"A b zz", None])
     assert rest == [[b"zz"], []] and bounds.tolist() == [0, 4, 5]
     rows, before = lm_scoring.contexts(ids, bounds, voc.class_of)
     w = np.random.default_rng(1).normal(size=(lm_scoring.TABLE_ROWS, lm_scoring.CLASSES)).astype(np.float32)
-    assert np.allclose(np.exp(lm_scoring.log_classes(w, rows)).sum(axis=1), 1, atol=1e-4)
+    every = [lm_scoring.log_classes(w, rows, np.full(len(rows), c)) for c in range(lm_scoring.CLASSES)]
+    assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-4)
     assert before.tolist() == [lm_scoring.START, 0, 1, voc.class_of[ids[2]], lm_scoring.START]
-    inside = lm_scoring.within_classes(np.ones((65, 3)), np.array([0, 0, 1]), np.array([5, 4, 3]))
+    inside = lm_scoring.within_classes(np.ones((lm_scoring.CLASSES + 1, 3)), np.array([0, 0, 1]), np.array([5, 4, 3]))
     assert np.allclose(np.exp(inside[:, :2]).sum(axis=1), 1)
 
 
+def test_score_does_not_depend_on_partitions(spark, sf, documents):
+    """The same model from 1, 5 and 40 partitions, well above the unigrams on held-out texts and near an interpolated bigram."""
+    docs = spark.createDataFrame(documents[["doc_id", "text"]], "doc_id long, text string")
+    got = [lm_scoring.score(docs.repartition(n)).toPandas().sort_values("doc_id").reset_index(drop=True) for n in (1, 5, 40)]
+    for g in got[1:]:
+        assert np.allclose(g.score, got[0].score, rtol=1e-5)
+    held = got[0][got[0].held_out]
+    words = {d: [*SPACE.findall(lower(t)), ""] for d, t in zip(documents.doc_id, documents.text)}
+    train = [w for d, w in words.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    count, pair, follow = {}, {}, {}
+    for w in train:
+        for a, b in zip(["", *w], w):
+            count[b] = count.get(b, 0) + 1
+            if (a, b) not in pair:
+                follow[a] = follow.get(a, 0) + 1
+            pair[a, b] = pair.get((a, b), 0) + 1
+    n, v = sum(count.values()), len(count)
+    bigram = 0.0
+    for d in held.doc_id:
+        for a, b in zip(["", *words[d]], words[d]):
+            c, t = count.get(a, 0), follow.get(a, 0)
+            bigram += np.log10(pair.get((a, b), 0) / max(c + t, 1) + (t / (c + t) if c else 1) * (count.get(b, 0) + 1) / (n + v + 1))
+    assert held.score.sum() > held.base_score.sum() + 0.8 * (bigram - held.base_score.sum())
+
+
+def test_score_by_hand(spark):
+    """Two texts, no frequent words: the score is the class softmax, the class's share of the word and the pair's share, put together."""
+    rows = [(0, "aa bb aa cc"), (3, "aa bb dd"), (4, "aa bb zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.score(docs, frequent=0, rounds=0).toPandas().set_index("doc_id")
+    train = [t.split() + [""] for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    flat = [w for t in train for w in t]
+    count = {w: flat.count(w) for w in flat}
+    pairs = [p for t in train for p in zip(["", *t], t)]
+    group = {w: lm_scoring.suffix_class(w.encode()) for w in {*flat, "zz", "dd", "cc"} - {""}}
+    parts = {g: sum(count[w] for w in count if w and group[w] == g) + sum(1 for w in count if w and group[w] == g) + 1.0 for g in range(lm_scoring.CLUSTERS + 1, lm_scoring.CLASSES)}
+    total = sum(parts.values()) + lm_scoring.CLUSTERS * 1e-6 + count[""] + 1
+    for d, t in rows:
+        want, last = 0.0, ""
+        for w in [*t.split(), ""]:
+            p = (count[""] + 1) / total if not w else (count.get(w, 0) + 1) / total
+            context = count[last] if last in count else 0
+            kept = {b: max(pairs.count((last, b)) - lm_scoring.DISCOUNT, 0) / context for b in count if (last, b) in pairs} if context else {}
+            want += np.log10(kept.get(w, 0) + (1 - sum(kept.values())) * p)
+            last = w
+        assert np.isclose(got.loc[d].score, want, rtol=1e-4), d
+
+
+def test_pairs_pack_and_unpack():
+    key = np.unique(np.random.default_rng(5).integers(0, 300_000**2, 2000))
+    n = np.random.default_rng(6).integers(1, 400, len(key)) ** 3
+    a, b = lm_scoring.unpack_pairs(lm_scoring.pack_pairs(key, n, 300_000), 300_000)
+    assert (a == key).all() and (b == n).all()
+    assert len(lm_scoring.unpack_pairs(lm_scoring.pack_pairs(key[:0], n[:0], 7), 7)[0]) == 0
+    table = lm_scoring.PairTable(key, np.log(n).astype(np.float32))
+    at, value = table.find(np.concatenate([key[::3], key[::3] + 1]))
+    assert set(range(len(key[::3]))) <= set(at.tolist()) and np.allclose(value[at < len(key[::3])][np.argsort(at[at < len(key[::3])])], np.log(n[::3]), rtol=1e-5)
+
+
 def test_lm_odd(odd, empty):
     got = lm_scoring.score(odd).toPandas()
     assert len(got) == 11 and np.isfinite(got[["base_score", "score"]]).all().all()
@@ -173,12 +233,14 @@ def test_a_range_reads_only_its_blocks(monkeypatch):
     assert (s.ids(20000, 20010) == ids[20000:20010]).all() and sum(read) <= 2 * repair.STEP
 
 
-def test_no_session_setting_changes(spark, odd):
+def test_operators_agree_on_the_session(spark, odd):
+    """The one setting they lower is the same for all, and a smaller one stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    repair.read_files(repair.write_files(odd)).count()
-    weighted_sampling.fingerprint_edits(odd).count()
-    assert spark.conf.get(key) == before
+    for given, want in (("10000", "512"), ("100", "100"), ("0", "512")):
+        spark.conf.set(key, given)
+        repair.read_files(repair.write_files(odd)).count()
+        weighted_sampling.fingerprint_edits(odd).count()
+        assert spark.conf.get(key) == want
 
 
 def test_decontamination_brute_force(spark, sf, documents):
@@ -366,3 +428,13 @@ def test_fingerprints_odd(spark, odd, empty):
     assert weighted_sampling.fingerprint_edits(empty).count() == 0
     one = weighted_sampling.fingerprint_edits(odd.where("doc_id = 1")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_within_classes_settles_on_extreme_counts():
+    """Words that are rare but for one class before: the fit stays near the counts' shares and never far below them."""
+    counts = np.array([100_000, 50, 40, 3])
+    follows = np.zeros((lm_scoring.CLASSES + 1, 4))
+    follows[0], follows[1] = [90_000, 0, 0, 0], [0, 900, 1, 0]
+    got = np.exp(lm_scoring.within_classes(follows, np.zeros(4, int), counts))
+    assert np.allclose(got.sum(axis=1), 1) and got[0, 0] > 0.99 and got[1, 1] > 0.97 and got[1, 0] < 0.05
+    assert np.allclose(got[5], (counts + 1) / (counts + 1).sum())
