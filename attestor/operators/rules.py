@@ -53,6 +53,9 @@ FLAGS = (
     ("shell_company", "SHELL_OR_PRECOMBINATION_SPAC"),
     ("blank_check_precombination", "SHELL_OR_PRECOMBINATION_SPAC"),
 )
+# Details that a trace must hold.
+NO_PRODUCT_FOUND = "Classification found no customer-facing digital product."
+NO_RULE_MATCHED = "No tier rule matched the stored axes; routing to review."
 TRACE = "array<struct<rule_id:string,result:string,detail:string>>"
 
 _SOME = lambda c: F.size(c) > 0
@@ -218,8 +221,8 @@ def derive_tier(df: DataFrame, exclusion_codes: str | None = None, rules: Rules
     review_a = [_entry(f"tier_a_core.manual_review_if.{n}", passed(t, "not_applicable")) for n, t in a_review]
     trace_b = F.array(_entry("tier_b_extension.candidate_match", passed(F.col("_b"), "fail"), F.concat(kinds, F.lit(" "), _plain("structure", "firm_structure"), F.lit(" "), _plain("centrality", "software_centrality"))))
     trace_c = F.array(*(_entry(f"tier_c_boundary.{n}", passed(t, "not_applicable")) for n, t in c_checks))
-    no_product = F.when(is_false(product), F.array(_entry("excluded.no_customer_facing_digital_product", "pass", F.lit("Classification found no customer-facing digital product.")))).otherwise(F.array().cast(TRACE))
-    fallback = F.array(_entry("uncertain.contradictory_axis_classification", "pass", F.lit("No tier rule matched the stored axes; routing to review.")))
+    no_product = F.when(is_false(product), F.array(_entry("excluded.no_customer_facing_digital_product", "pass", F.lit(NO_PRODUCT_FOUND)))).otherwise(F.array().cast(TRACE))
+    fallback = F.array(_entry("uncertain.contradictory_axis_classification", "pass", F.lit(NO_RULE_MATCHED)))
     flagged = (REVIEW_TESTS["boundary_flag_present"](), "boundary_flag_present")
     mapping = [(_IS("firm_structure", "MIXED_SEPARABLE"), "outcome_analysis_requires_segment_mapping")] if b.get("outcome_analysis_requires_segment_mapping") else []
     tier = (

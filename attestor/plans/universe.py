@@ -25,6 +25,8 @@ NEEDED_SECTIONS = ["ITEM1_OVERVIEW", "PRODUCTS_SERVICES"]
 PROVENANCES = ["deterministic", "screen_derived", "economic_classification"]
 SCREEN_STATUSES = ["LIKELY_ELIGIBLE", "LIKELY_INELIGIBLE", "BOUNDARY_OR_UNCERTAIN"]
 INCLUDED = ["TIER_A_CORE", "TIER_B_EXTENSION", "TIER_C_BOUNDARY"]
+NO_PASSAGES_DETAIL = "No baseline passages supplied for this candidate."
+QUESTION = "Confirm or override the rule-derived tier %s for %s; triggers: %s."
 NO_FORM = "NO_ELIGIBLE_ANNUAL_OPERATING_FILING"
 
 _EVIDENCE = "array<struct<claim:string,source_id:string,passage_id:string,quote:string>>"
@@ -96,7 +98,7 @@ def packets(firms: DataFrame, passages: DataFrame, cutoff: Column) -> DataFrame:
     named = lambda ps, text: F.array_join(F.transform(ps, text), "; ")
     status = F.when(F.size("passages") == 0, "NO_PASSAGES").when(F.size("_broken") > 0, "INVALID_PASSAGE").when(F.size("_late") > 0, "TEMPORAL_LEAKAGE").otherwise("PACKET")
     detail = (
-        F.when(F.size("passages") == 0, "No baseline passages supplied for this candidate.")
+        F.when(F.size("passages") == 0, NO_PASSAGES_DETAIL)
         .when(F.size("_broken") > 0, named(F.col("_broken"), lambda p: F.concat(F.lit("Passage "), F.coalesce(p["passage_id"], F.lit("?")), F.lit(" lacks a field or has an unknown section."))))
         .when(F.size("_late") > 0, named(F.col("_late"), lambda p: F.concat(F.lit("Passage "), p["passage_id"], F.lit(" dated "), p["publication_date"].cast("string"), F.lit(" is after baseline cutoff "), cutoff.cast("string"), F.lit("."))))
     )
@@ -177,7 +179,7 @@ def review_cases(spine: DataFrame) -> DataFrame:
     return spine.where(F.size("triggers") > 0).select(
         "case_id", "cik", "company_id", "derived_tier", "triggers", F.when(F.col("is_classified"), summary).alias("classifier_summary"), F.col("evidence").alias("conflicting_evidence"), F.array_sort(F.array_distinct("evidence.passage_id")).alias("passage_ids"),
         F.when(F.col("review_status") == "unreviewed", "open").otherwise("resolved").alias("state"),
-        F.format_string("Confirm or override the rule-derived tier %s for %s; triggers: %s.", "derived_tier", "company_id", F.array_join("triggers", ", ")).alias("question"),
+        F.format_string(QUESTION, "derived_tier", "company_id", F.array_join("triggers", ", ")).alias("question"),
     )
 
 
