@@ -100,14 +100,14 @@ class ChunkEncoder:
     Only DEFAULT has these rules; with another file every text is encoded whole.
     """
 
-    def __init__(self, path: str | None = None, entries: int = 500_000, pool: int = 8_000_000):
+    def __init__(self, path: str | None = None, entries: int = 1_000_000, pool: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.by_chunk = path is None or os.path.basename(path) == DEFAULT
         self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.entries, self.pool_limit = entries, pool
-        self.short = ShortTable(2 * entries)
+        self.short = ShortTable(entries)
         self._clear()
 
     def _clear(self) -> None:
