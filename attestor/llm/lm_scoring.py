@@ -8,9 +8,11 @@ words. Groups and their order follow from the rows alone, not from partitions; t
 Within a class of frequent words a softmax with the previous class as its feature is fitted by gradient steps to
 corpus-wide counts; in the other classes a word has (c + 1) / (tokens + types + 1) of its class, and all words never seen share one such part.
 
-Pairs of neighbouring words are counted over the whole training corpus. Those of at least a frequency, the lowest one that at most `most_pairs`
-pairs pass, take max(n - DISCOUNT, 0) / c(previous word) of the probability; what they leave of it goes by the model above. So evidence
-about word pairs grows with the corpus, up to the bound on what is broadcast.
+Pairs of neighbouring words are counted over the whole training corpus, and every one of them, however rare it or its words are, takes
+(n - DISCOUNT) / c(previous word) of the probability; what they leave of it goes by the model above. So evidence about word pairs grows with
+the corpus. At most `most_pairs` of the most frequent pairs are broadcast; tokens of other pairs are sent, with the model's probability, to
+the block of the pair table that holds theirs, and the sums for their texts come back. So `most_pairs` and `head` bound memory and change no share
+of a pair. Words outside the head go by 63-bit hashes there, and pairs with them by a hash of both.
 
 Counts cover every training document. The counts of the words above a frequency threshold (at most `head`
 words) are broadcast; the rest of the words are joined with the count table, and as each of them comes less often
@@ -29,11 +31,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ready, remainder, rows_of, split_words, sum_vectors, table
+from .common import give_back, materialize, ready, remainder, rows_of, split_words, sum_vectors, table
 from .tokens import KIND, SHORT, ShortTable, pairs_of
 
 HEAD, FREQUENT, BESIDE = 1 << 18, 2048, 128
@@ -45,8 +48,11 @@ ROWS = 4096
 SKIPS = (2, 4)
 TABLE_ROWS = 2 * ROWS + len(SKIPS) * (CLASSES + 1) + 1
 BLOCK = 128
-#: Training words of a group, pairs of words that the model keeps, and what each of them leaves to the rest.
+#: Training words of a group, pairs of words that are broadcast, and what each pair leaves to the rest.
 GROUP_TOKENS, PAIRS, DISCOUNT = 4_000_000, 2_000_000, 0.75
+#: Tokens of a block of the pair table, and tokens and texts that a task scores before it sends what it asks of the table.
+BLOCK_TOKENS, SENT_TOKENS, SENT_TEXTS = 2_000_000, 2_000_000, 1 << 15
+TABLE, ASK, TEXTS, SUMS = range(4)
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -107,6 +113,25 @@ class Vocabulary:
         return out, bounds, [names[a:z] for a, z in zip(cut, cut[1:])]
 
 
+def word_ids(ids: np.ndarray, rest: list[list[bytes]], end: int) -> np.ndarray:
+    """ids with a word's own, negative id in place of the class of each word outside the head; rare_id gives the same."""
+    out, names = ids.copy(), [w for r in rest for w in r]
+    out[ids > end] = (np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names)) | np.uint64(1 << 63)).view(np.int64)
+    return out
+
+
+def rare_id(word: str) -> Column:
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def before_of(ids: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
+    """The id before each token; the end token stands before a text."""
+    last = np.empty(len(ids), np.int64)
+    last[1:] = ids[:-1]
+    last[bounds[:-1]] = end
+    return last
+
+
 def contexts(ids: np.ndarray, bounds: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each token's feature rows in the weight table (its last row is the bias), and the class before it."""
     n = len(ids)
@@ -235,17 +260,22 @@ def _summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def pair_counts(training: DataFrame, vocabulary: Vocabulary, tokens: int, fan: int = 64) -> DataFrame:
+def pair_block(key: np.ndarray, width: int, blocks: int) -> np.ndarray:
+    """The block of each pair of ids: by the previous id, where that one is frequent by the second too, so that no block is crowded."""
+    before, after = key // width, key % width
+    return (before + np.where((before < FREQUENT) | (before >= width - 1 - SUFFIXES), after, 0)) % blocks
+
+
+def pair_counts(training: DataFrame, vocabulary: Vocabulary, blocks: int, fan: int = 64) -> DataFrame:
     """(block, blob): the counts of all neighbouring ids of the training texts (the end token also stands before a text), by
-    blocks of previous ids. Ids are bounded, so a block is too; a task gets at most `fan` parts of one."""
+    pair_block. Ids are bounded, so a block is too; a task gets at most `fan` parts of one."""
     spark = training.sparkSession
     shared, width = spark.sparkContext.broadcast(vocabulary), vocabulary.width
-    blocks = int(min(max(tokens // 2_000_000, 16), 1 << 16))
     schema = "part long, block int, blob binary"
 
     def dealt(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
         key, n = _summed(np.concatenate(held))
-        block = (key // width) % blocks
+        block = pair_block(key, width, blocks)
         order = np.argsort(block, kind="stable")
         key, n, cut = key[order], n[order], np.searchsorted(block[order], np.arange(blocks + 1))
         there = np.flatnonzero(np.diff(cut))
@@ -256,10 +286,7 @@ def pair_counts(training: DataFrame, vocabulary: Vocabulary, tokens: int, fan: i
         voc, part, held, size = shared.value, TaskContext.get().partitionId(), [], 0
         for _, c in rows_of(batches, 128):
             ids, bounds, _rest = voc.encode(c["t"])
-            before = np.empty(len(ids), np.int64)
-            before[1:] = ids[:-1]
-            before[bounds[:-1]] = len(voc.words)
-            held.append(before * width + ids)
+            held.append(before_of(ids, bounds, len(voc.words)) * width + ids)
             size += len(ids)
             if size > 8_000_000:
                 yield dealt(part, held)
@@ -294,28 +321,176 @@ def over_pairs(pairs: DataFrame, width: int, cells) -> pa.Table:
     return pairs.select("blob").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
 
 
-def kept_pairs(pairs: DataFrame, width: int, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending keys and counts of the pairs whose second id is a head word or the end, from the lowest frequency on that at
-    most `most` of them have."""
-    seen = over_pairs(pairs, width, lambda key, n: (np.minimum(n[key % width <= words], 4096), np.ones(int((key % width <= words).sum()), np.int64)))
+def inside_head(key: np.ndarray, width: int, words: int) -> np.ndarray:
+    """Which pairs have head words or the end token only."""
+    return (key % width <= words) & (key // width <= words)
+
+
+def kept_pairs(pairs: DataFrame, width: int, words: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Ascending keys and counts of the pairs to broadcast: those inside the head from the lowest frequency on that at most `most`
+    of them have; and whether these are all. The others are looked up in the blocks of the pair table."""
+
+    def spread(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.minimum(n[inside_head(key, width, words)], 4096)
+        return n, np.ones(len(n), np.int64)
+
+    seen = over_pairs(pairs, width, spread)
     total, least = 0, None
     for n, k in sorted(zip(seen["at"].to_pylist(), seen["n"].to_pylist()), reverse=True):
         if (total := total + k) > most:
             break
         least = n
     if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), not len(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c in rows_of(batches, 8):
             for blob in c["blob"]:
                 key, n = unpack_pairs(blob, width)
-                keep = (n >= least) & (key % width <= words)
+                keep = (n >= least) & inside_head(key, width, words)
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(n[keep])], ["key", "n"])
 
     got = pairs.select("blob").mapInArrow(run, "key long, n long").toArrow()  # at most `most` rows
     order = np.argsort(got["key"].to_numpy())
-    return got["key"].to_numpy()[order], got["n"].to_numpy()[order]
+    return got["key"].to_numpy()[order], got["n"].to_numpy()[order], total <= most
+
+
+def rare_pairs(training: DataFrame, vocabulary: Vocabulary, blocks: int) -> DataFrame:
+    """(a, b, n, follow): pairs of neighbours with a word outside the head, by word_ids, how often each comes and, if a is outside
+    the head, how many different words follow a. Such words come less often than the head's threshold, so none is a hot key."""
+    shared = training.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        end = len(voc.words)
+        for _, c in rows_of(batches, 128):
+            ids, bounds, rest = voc.encode(c["t"])
+            b = word_ids(ids, rest, end)
+            a = before_of(b, bounds, end)
+            mine = (a < 0) | (b < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a[mine]), pa.array(b[mine])], ["a", "b"])
+
+    dealt = training.mapInArrow(find, "a long, b long").withColumn("p", F.when(F.col("a") < 0, F.col("a")).otherwise(F.xxhash64("a", "b")))
+    found = dealt.repartition(blocks, "p").groupBy("p", "a", "b").agg(F.count("*").alias("n"))
+    return materialize(found.select("a", "b", "n", F.count("*").over(Window.partitionBy("p")).alias("follow")), "rare")
+
+
+def rare_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One negative key for each pair with a word outside the head."""
+    x = a.view(np.uint64) * _A
+    x = ((x ^ (x >> np.uint64(32))) + b.view(np.uint64)) * _B
+    x = (x ^ (x >> np.uint64(29))) * _A
+    return ((x ^ (x >> np.uint64(32))) | np.uint64(1 << 63)).view(np.int64)
+
+
+def rare_block(key: np.ndarray, blocks: int) -> np.ndarray:
+    return ((key.view(np.uint64) >> np.uint64(8) & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
+
+
+def rare_table(rare: DataFrame, words: DataFrame, context: np.ndarray, first: int, blocks: int) -> DataFrame:
+    """Rows of the pair table (blocks from `first` on) for pairs with words outside the head: keys, and the log of each pair's share as
+    against what else its token has by its words outside the head: c + 1, and what the word before leaves. words: w, c, b (its id)."""
+    counted = words.groupBy("b").agg(F.max("c").alias("c"))
+    rows = rare.where("b >= 0").select("a", "b", "n", "follow", F.lit(0).cast("long").alias("c"))
+    rows = rows.unionByName(rare.where("b < 0").join(counted, "b").select("a", "b", "n", "follow", "c"))
+
+    def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b, n, follow, c = (x.to_numpy() for x in pa.Table.from_batches(held).columns)
+        value = np.log(n - DISCOUNT) - np.log(np.where(a < 0, DISCOUNT * follow, context[np.maximum(a, 0)])) - np.log(c + 1.0)
+        key = rare_key(a, b)
+        block = rare_block(key, blocks)
+        order = np.argsort(block, kind="stable")
+        cut = np.searchsorted(block[order], np.arange(blocks + 1))
+        there = np.flatnonzero(np.diff(cut))
+        key, value = key[order], value[order].astype(np.float32)
+        return sent(there + first, TABLE, 0, [key[cut[j] : cut[j + 1]].tobytes() + value[cut[j] : cut[j + 1]].tobytes() for j in there])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size > 1_000_000:
+                yield dealt(held)
+                held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    return rows.mapInArrow(pack, SENT)
+
+
+SENT = "block int, kind int, part long, data binary"
+
+
+def sent(blocks: np.ndarray, kind: int, part: int, data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(blocks.astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int64)), pa.array(data, pa.binary())], ["block", "kind", "part", "data"]
+    )
+
+
+def asked(part: int, key: np.ndarray, log_p: np.ndarray, text: np.ndarray, width: int, blocks: int, rare_blocks: int) -> pa.RecordBatch:
+    """Tokens whose pairs aren't broadcast, for the blocks of the pair table that hold them."""
+    block = np.where(key < 0, rare_block(key, rare_blocks) + blocks, pair_block(key, width, blocks))
+    order = np.argsort(block, kind="stable")
+    cut = np.searchsorted(block[order], np.arange(blocks + rare_blocks + 1))
+    there = np.flatnonzero(np.diff(cut))
+    key, log_p, text = key[order], log_p[order].astype("<f4"), text[order].astype("<u2")
+    return sent(there, ASK, part, [b"".join(x[cut[j] : cut[j + 1]].tobytes() for x in (key, log_p, text)) for j in there])
+
+
+def answers(context: np.ndarray, width: int, blocks: int):
+    """Over rows of SENT by block and kind: for each ASK what the shares of its pairs add to the log probabilities of its texts, as SUMS."""
+
+    def opened(block: int, tables: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if block < blocks:
+            both = [unpack_pairs(t, width) for t in tables]
+            both = [(key, (np.log(n - DISCOUNT) - np.log(context[key // width])).astype(np.float32)) for key, n in both]
+        else:
+            both = [(np.frombuffer(t, np.int64, len(t) // 12), np.frombuffer(t, np.float32, len(t) // 12, len(t) // 12 * 8)) for t in tables]
+        key, value = (np.concatenate(x) for x in zip(*both)) if both else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        order = np.argsort(key)
+        return key[order], value[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables, found = None, [], None
+        for whole in batches:
+            for block, kind, part, data in zip(*(whole.column(i) for i in range(4))):
+                block, kind, part = block.as_py(), kind.as_py(), part.as_py()
+                if block != now:
+                    now, tables, found = block, [], None
+                if kind == TABLE:
+                    tables.append(data.as_py())
+                elif kind == TEXTS:
+                    yield sent(np.array([block]), TEXTS, part, [data.as_py()])
+                else:
+                    key, value = found = found or opened(block, tables)
+                    tables, data = [], data.as_py()
+                    n = len(data) // 14
+                    want, log_p, text = np.frombuffer(data, np.int64, n), np.frombuffer(data, "<f4", n, 8 * n), np.frombuffer(data, "<u2", n, 12 * n)
+                    at = np.searchsorted(key, want)
+                    hit = np.flatnonzero(at < len(key))
+                    hit = hit[key[at[hit]] == want[hit]]
+                    if len(hit):
+                        more = np.bincount(text[hit], np.logaddexp(0, value[at[hit]].astype(np.float64) - log_p[hit]))
+                        there = np.flatnonzero(more)
+                        yield sent(np.array([block]), SUMS, part, [there.astype("<u2").tobytes() + more[there].astype("<f4").tobytes()])
+        give_back()
+
+    return run
+
+
+def put_together(key, rows):
+    """The texts of one part, with what the pair table adds to their scores."""
+    texts, more = None, np.zeros(1 << 16)
+    for kind, data in zip(rows["kind"].to_pylist(), rows["data"].to_pylist()):
+        if kind == TEXTS:
+            texts = pa.ipc.open_stream(data).read_all()
+        else:
+            n = len(data) // 6
+            more[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, "<f4", n, 2 * n)
+    at = texts.schema.get_field_index("score")
+    return texts.set_column(at, "score", pa.array(texts["score"].to_numpy() + more[: len(texts)]))
 
 
 class PairTable:
@@ -462,7 +637,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
     frequent = min(frequent, len(words))
     size = np.array([c for _, c in found], np.int64)
     plain = Vocabulary(words, size, np.zeros(len(words) + 1 + SUFFIXES, np.int64))
-    pairs = pair_counts(training.select("t"), plain, n_train)
+    blocks = int(min(max(n_train // BLOCK_TOKENS, 16), 1 << 16))
+    rare_blocks = blocks // 4
+    pairs = pair_counts(training.select("t"), plain, blocks)
     own = cluster(pairs, plain.width, frequent)
     group_of = np.array([suffix_class(w) for w in words], np.int64)
     class_of = np.concatenate([own, group_of[frequent:], np.arange(END_CLASS, CLASSES)]).astype(np.int64)
@@ -483,22 +660,43 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
     text_hash = F.xxhash64("doc_id", "t")
     weights = train_classes(training.select("t", text_hash.alias("h"), F.pmod(F.xxhash64(text_hash), F.lit(groups)).cast("int").alias("group")), vocabulary, np.log(in_class / in_class.sum()), groups, rounds)
     follows = follow_counts(pairs, vocabulary, frequent)
-    key, times = kept_pairs(pairs, plain.width, len(words), most_pairs)
-    context = np.concatenate([size, [end_count], tokens_of[CLUSTERS + 1 :] - np.bincount(group_of[frequent:] - CLUSTERS - 1, size[frequent:], SUFFIXES)])
-    share = np.maximum(times - DISCOUNT, 0) / np.maximum(context, 1)[key // plain.width]
-    left = np.log(np.maximum(1 - np.bincount(key // plain.width, share, len(context)), 1e-9))
+    rare = rare_pairs(training.select("t"), plain, blocks)
+    key, times, whole = kept_pairs(pairs, plain.width, len(words), most_pairs)
+    context = np.maximum(np.concatenate([size, [end_count], np.zeros(SUFFIXES, np.int64)]), 1).astype(np.float64)
+    share = (times - DISCOUNT) / context[key // plain.width]
+    # Every pair leaves DISCOUNT; words outside the head get what they leave by a join below.
+    different = np.zeros(plain.width)
+
+    def followers(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = key[inside_head(key, plain.width, len(words))] // plain.width
+        return before, np.ones(len(before), np.int64)
+
+    for got in (over_pairs(pairs, plain.width, followers), rare.where("a >= 0").groupBy(F.col("a").alias("at")).agg(F.count("*").alias("n")).toArrow()):
+        different[got["at"].to_numpy()] += got["n"].to_numpy()  # at most a row for each head word
+    left = np.log(np.where(different > 0, DISCOUNT * different / context, 1.0))
     # What a token adds besides its class and, for words that aren't in the head, log(c + 1).
     adds = np.concatenate([np.log(size + 1.0) - np.log(part_of[group_of]), [0.0], -np.log(part_of[END_CLASS + 1 :])])
     known = np.concatenate([np.ones(len(words), np.int64), [int(end_count > 0)], np.zeros(SUFFIXES, np.int64)])
     base = np.concatenate([np.log(size + 1.0), [np.log(end_count + 1.0)], np.zeros(SUFFIXES)])
     inside = within_classes(follows, own, size[:frequent]) if frequent else np.zeros((CLASSES + 1, 0))
     adds[:frequent] = 0.0
-    model = spark.sparkContext.broadcast((vocabulary, weights, adds, known, base, inside, frequent, (key, np.log(np.maximum(share, 1e-30)).astype(np.float32)), left))
+    model = spark.sparkContext.broadcast((vocabulary, weights, adds, known, base, inside, frequent, (key, np.log(share).astype(np.float32)), left))
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<w: binary, n: long>>"
+    width, some_rare = plain.width, types > len(words) + int(end_count > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, w, plus, is_known, log_c, log_in, top, found_pairs, log_left = model.value
-        kept = PairTable(*found_pairs)
-        rid = TaskContext.get().partitionId() << 40
+        kept, end = PairTable(*found_pairs), len(voc.words)
+        part, texts, asks, n_texts, n_tokens = TaskContext.get().partitionId() << 24, [], [], 0, 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(texts)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield sent(np.array([(part + (part >> 24)) % (blocks + rare_blocks)]), TEXTS, part, [sink.getvalue().to_pybytes()])
+            yield asked(part, *(np.concatenate(x) for x in zip(*asks)), width, blocks, rare_blocks)
+
         for b, c in rows_of(batches, 128):
             ids, bounds, rest = voc.encode(c["t"])
             total = plus[ids]
@@ -514,41 +712,64 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
                     mine = own_ids < top
                     got[mine] += log_in[before[k : k + 1024][mine], own_ids[mine]]
                     total[a + k : a + k + len(own_ids)] += got
-            last = np.empty(len(ids), np.int64)
-            last[1:] = ids[:-1]
-            last[bounds[:-1]] = len(voc.words)
+            last = before_of(ids, bounds, end)
             total += log_left[last]
-            at, log_share = kept.find(last * voc.width + ids)
+            at, log_share = kept.find(last * width + ids)
             total[at] = np.logaddexp(total[at], log_share)
+            pair = last * width + ids
+            some = inside_head(pair, width, end)
+            elsewhere = ~some & some_rare
+            if not whole:
+                elsewhere |= some
+                elsewhere[at] = False
+            where = np.flatnonzero(elsewhere)
+            pair = pair[where]
+            if some_rare:
+                own = word_ids(ids, rest, end)
+                outside = ~some[where]
+                pair[outside] = rare_key(before_of(own, bounds, end)[where[outside]], own[where[outside]])
+            text_of = np.repeat(np.arange(n_texts, n_texts + b.num_rows), np.diff(bounds))
+            asks.append((pair, total[where].astype(np.float32), text_of[where].astype(np.uint16)))
             starts = bounds[:-1]
             others = [Counter(o) for o in rest]
             flat = pa.StructArray.from_arrays(
                 [pa.array([w_ for o in others for w_ in o], pa.binary()), pa.array([n for o in others for n in o.values()], pa.int64())], ["w", "n"]
             )
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
+            rid = (part << 16) + n_texts
+            texts.append(pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(rid, rid + b.num_rows)), b.column(0), b.column(2), pa.array(np.diff(bounds)),
                     pa.array(np.add.reduceat(is_known[ids], starts)), pa.array(np.add.reduceat(log_c[ids], starts)),
                     pa.array(np.add.reduceat(total, starts)), pa.ListArray.from_arrays(offsets, flat),
                 ],
                 ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"],
-            )
-            rid += b.num_rows
-
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<w: binary, n: long>>"
-    scored = materialize(source.mapInArrow(run, schema), "scored")
-    rare = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.w", "r.n")
-    more = rare.join(counts, "w").groupBy("rid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("rare_log"))
-    whole = scored.drop("rest").join(more, "rid", "left")
+            ))
+            n_texts, n_tokens = n_texts + b.num_rows, n_tokens + len(ids)
+            if n_tokens > SENT_TOKENS or n_texts > SENT_TEXTS:
+                yield from send()
+                part, texts, asks, n_texts, n_tokens = part + 1, [], [], 0, 0
+        if texts:
+            yield from send()
+
+    numbered = counts.where(F.length("w") > 0).select("w", "c", rare_id("w").alias("b"))
+    tables = pairs.select("block", F.lit(TABLE).alias("kind"), F.lit(0).cast("long").alias("part"), F.col("blob").alias("data"))
+    tables = tables.unionByName(rare_table(rare, numbered, context, blocks, rare_blocks))
+    met = source.mapInArrow(run, SENT).unionByName(tables).repartitionById(blocks + rare_blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    scored = materialize(met.mapInArrow(answers(context, width, blocks), SENT).groupBy("part").applyInArrow(put_together, schema), "scored")
+    followed = rare.where("a < 0").groupBy(F.col("a").alias("b")).agg(F.max("follow").alias("follow"))
+    counted = numbered.join(followed, "b").select("w", F.log(F.col("c") + 1.0).alias("log_c"), F.log(DISCOUNT * F.col("follow") / F.col("c")).alias("log_left"))
+    others = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.w", "r.n").join(counted, "w")
+    more = others.groupBy("rid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.col("log_c")).alias("rare_log"), F.sum(F.col("n") * F.col("log_left")).alias("rare_left"))
+    whole_rows = scored.drop("rest").join(more, "rid", "left")
     ten, shared = float(np.log(10)), float(np.log(n_train + types + 1))
     rare_log = F.coalesce("rare_log", F.lit(0.0))
-    return whole.select(
+    return whole_rows.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         ((F.col("base") + rare_log - F.col("n_tokens") * shared) / ten).alias("base_score"),
-        ((F.col("score") + rare_log) / ten).alias("score"),
+        ((F.col("score") + rare_log + F.coalesce("rare_left", F.lit(0.0))) / ten).alias("score"),
     )
 
 

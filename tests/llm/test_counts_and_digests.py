@@ -131,6 +131,35 @@ def test_score_by_hand(spark):
         assert np.isclose(got.loc[d].score, want, rtol=1e-4), d
 
 
+@pytest.mark.parametrize("head, most_pairs", [(1 << 18, 1 << 18), (1 << 18, 0), (1 << 18, 5), (4, 1 << 18), (4, 2), (0, 0)])
+def test_no_pair_is_dropped(spark, head, most_pairs):
+    """Neither a bound on broadcast pairs nor one on head words takes a pair's share away: scores equal those of all pairs."""
+    rng = np.random.default_rng(7)
+    words = [*"abcdefghij", "Éé", "a-word-of-more-than-sixteen-letters", "x" * 70]
+    rows = [(d, " ".join(rng.choice(words, rng.integers(0, 12), p=np.arange(13, 0, -1) / 91))) for d in range(60)] + [(60, "new a b new new"), (61, None)]
+    rows += [(d, "unseen a unseen b c j") for d in range(62, 300) if zlib.crc32(str(d).encode()) % 7 == 2]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), frequent=0, rounds=0, head=head, most_pairs=most_pairs).toPandas().set_index("doc_id")
+    train = [[*SPACE.findall(lower(t)), ""] for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    flat = [w for t in train for w in t]
+    count, pair = {w: flat.count(w) for w in flat}, {}
+    for t in train:
+        for p in zip(["", *t], t):
+            pair[p] = pair.get(p, 0) + 1
+    classes = {lm_scoring.suffix_class(w.encode()) for w in {*words, "new", "unseen"}}
+    per_class = sum(count[w] + 1.0 for w in count if w) + lm_scoring.SUFFIXES
+    total = per_class + lm_scoring.CLUSTERS * 1e-6 + count[""] + 1
+    assert len(classes) > 1 and len(got) == len(rows)
+    for d, t in rows:
+        want, last = 0.0, ""
+        for w in [*SPACE.findall(lower(t)), ""]:
+            follow = [n for (a, _), n in pair.items() if a == last]
+            left = lm_scoring.DISCOUNT * len(follow) / count[last] if follow else 1
+            own = (pair[last, w] - lm_scoring.DISCOUNT) / count[last] if (last, w) in pair else 0
+            want += np.log10(own + left * (count.get(w, 0) + 1) / total)
+            last = w
+        assert np.isclose(got.loc[d].score, want, rtol=1e-5), d
+
+
 def test_pairs_pack_and_unpack():
     key = np.unique(np.random.default_rng(5).integers(0, 300_000**2, 2000))
     n = np.random.default_rng(6).integers(1, 400, len(key)) ** 3
