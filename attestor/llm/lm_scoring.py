@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, materialize, ready, remainder, rows_of, split_words, sum_vectors, table
@@ -52,7 +52,7 @@ BLOCK = 128
 GROUP_TOKENS, PAIRS, DISCOUNT = 4_000_000, 2_000_000, 0.75
 #: Tokens of a block of the pair table, and tokens and texts that a task scores before it sends what it asks of the table.
 BLOCK_TOKENS, SENT_TOKENS, SENT_TEXTS = 2_000_000, 2_000_000, 1 << 15
-TABLE, ASK, TEXTS, SUMS = range(4)
+TABLE, FOLLOWED, ASK, TEXTS, SUMS = range(5)
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,16 +114,12 @@ class Vocabulary:
 
 
 def word_ids(ids: np.ndarray, rest: list[list[bytes]], end: int) -> np.ndarray:
-    """ids with a word's own, negative id in place of the class of each word outside the head; rare_id gives the same."""
+    """ids with a word's own, negative id in place of the class of each word outside the head."""
     out, names = ids.copy(), [w for r in rest for w in r]
     out[ids > end] = (np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names)) | np.uint64(1 << 63)).view(np.int64)
     return out
 
 
-def rare_id(word: str) -> Column:
-    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
-
-
 def before_of(ids: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
     """The id before each token; the end token stands before a text."""
     last = np.empty(len(ids), np.int64)
@@ -151,13 +147,21 @@ def contexts(ids: np.ndarray, bounds: np.ndarray, class_of: np.ndarray) -> tuple
     return np.stack(f, axis=1), back(cls, 1, START)
 
 
+def largest(z: np.ndarray) -> np.ndarray:
+    """z.max(axis=1, keepdims=True), by halves, as rows are short."""
+    while z.shape[1] > 1 and z.shape[1] % 2 == 0:
+        half = z.shape[1] // 2
+        z = np.maximum(z[:, :half], z[:, half:])
+    return z.max(axis=1, keepdims=True) if z.shape[1] > 1 else z
+
+
 def log_classes(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """log P(class) of each token's class."""
     z = np.take(weights, rows[:, 0], axis=0)
     z += weights[-1]
     for k in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, k], axis=0)
-    z -= z.max(axis=1, keepdims=True)
+    z -= largest(z)
     own = z[np.arange(len(cls)), cls]
     return own - np.log(np.exp(z, out=z).sum(axis=1))
 
@@ -170,7 +174,7 @@ def steps(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.n
         g += weights[-1]
         for k in range(1, r.shape[1]):
             g += np.take(weights, r[:, k], axis=0)
-        g -= g.max(axis=1, keepdims=True)
+        g -= largest(g)
         np.exp(g, out=g)
         g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(c)), c] -= 1
@@ -178,7 +182,11 @@ def steps(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.n
         order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort
         ranked = flat[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        total = np.add.reduceat(np.take(g, order % len(c), axis=0), first, axis=0)
+        times = np.diff(np.append(first, len(flat)))
+        total = np.take(g, order[first] % len(c), axis=0)
+        if (several := np.flatnonzero(times > 1)).size:  # a sum of one row costs as much as one of many
+            many = times[several]
+            total[several] = np.add.reduceat(np.take(g, order[np.repeat(times > 1, times)] % len(c), axis=0), np.cumsum(many) - many, axis=0)
         at = np.concatenate([ranked[first], [len(weights) - 1]])
         total = np.concatenate([total, g.sum(axis=0, keepdims=True)])
         s = np.take(squares, at, axis=0)
@@ -189,7 +197,7 @@ def steps(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.n
         total /= s
         total *= np.float32(rate)
         weights[at] -= total
-        used[at] += np.concatenate([np.diff(np.concatenate([first, [len(flat)]])), [len(c)]])
+        used[at] += np.append(times, len(c))
 
 
 def word_counts(training: DataFrame, flush: int = 200_000) -> DataFrame:
@@ -260,44 +268,129 @@ def _summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
+def rare_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One negative key for each pair with a word outside the head."""
+    x = a.view(np.uint64) * _A
+    x = ((x ^ (x >> np.uint64(32))) + b.view(np.uint64)) * _B
+    x = (x ^ (x >> np.uint64(29))) * _A
+    return ((x ^ (x >> np.uint64(32))) | np.uint64(1 << 63)).view(np.int64)
+
+
+def leaves_key(a: np.ndarray) -> np.ndarray:
+    """The key by which a word outside the head has what it leaves, instead of a pair's share."""
+    return rare_key(a, np.full(len(a), np.iinfo(np.int64).max))
+
+
+def rare_block(a: np.ndarray, b: np.ndarray, first: int, blocks: int) -> np.ndarray:
+    """The block of each pair with a word outside the head: by its second word if that one is outside, otherwise by the first. Such words
+    come less often than the head's threshold, so no block is crowded."""
+    return first + np.where(b < 0, _dealt(b, blocks) + blocks, _dealt(a, blocks))
+
+
+def _dealt(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return ((ids.view(np.uint64) >> np.uint64(8) & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
+
+
+def sum_rare(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of its n."""
+    if not len(a):
+        return a, b, n
+    key = rare_key(a, b)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return a[order[first]], b[order[first]], np.add.reduceat(n[order], first)
+
+
+def sums_by(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the sum of n over all rows of its id."""
+    if not len(ids):
+        return n
+    order = np.argsort(ids)
+    ranked = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.empty(len(ids), n.dtype)
+    out[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(ids))))
+    return out
+
+
+def pack_rare(a: np.ndarray, b: np.ndarray, *numbers: np.ndarray) -> bytes:
+    parts = [struct.pack("<I", len(a)), a.tobytes(), b.tobytes()]
+    for n in numbers:
+        over = np.flatnonzero(n > 254)
+        parts += [struct.pack("<I", len(over)), np.minimum(n, 255).astype("u1").tobytes(), over.astype("<u4").tobytes(), n[over].astype("<i8").tobytes()]
+    return b"".join(parts)
+
+
+def unpack_rare(blob: bytes, numbers: int = 1) -> list[np.ndarray]:
+    (k,) = struct.unpack_from("<I", blob)
+    out, at = [np.frombuffer(blob, "<i8", k, 4).copy(), np.frombuffer(blob, "<i8", k, 4 + 8 * k).copy()], 4 + 16 * k
+    for _ in range(numbers):
+        (o,) = struct.unpack_from("<I", blob, at)
+        n = np.frombuffer(blob, "u1", k, at + 4).astype(np.int64)
+        n[np.frombuffer(blob, "<u4", o, at + 4 + k)] = np.frombuffer(blob, "<i8", o, at + 4 + k + 4 * o)
+        out.append(n)
+        at += 4 + k + 12 * o
+    return out
+
+
+def by_block(block: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The rows of each block that has any."""
+    order = np.argsort(block.astype(np.uint16 if block.max(initial=0) < 1 << 16 else np.uint32), kind="stable")
+    ranked, columns = block[order], [x[order] for x in columns]
+    first = np.flatnonzero(np.diff(ranked, prepend=-1))
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(ranked)]):
+        yield int(ranked[a]), [x[a:z] for x in columns]
+
+
 def pair_block(key: np.ndarray, width: int, blocks: int) -> np.ndarray:
     """The block of each pair of ids: by the previous id, where that one is frequent by the second too, so that no block is crowded."""
     before, after = key // width, key % width
     return (before + np.where((before < FREQUENT) | (before >= width - 1 - SUFFIXES), after, 0)) % blocks
 
 
-def pair_counts(training: DataFrame, vocabulary: Vocabulary, blocks: int, fan: int = 64) -> DataFrame:
+def pair_counts(training: DataFrame, vocabulary: Vocabulary, blocks: int, rare_blocks: int, fan: int = 64) -> DataFrame:
     """(block, blob): the counts of all neighbouring ids of the training texts (the end token also stands before a text), by
-    pair_block. Ids are bounded, so a block is too; a task gets at most `fan` parts of one."""
+    pair_block. Ids are bounded, so a block is too; a task gets at most `fan` parts of one. Further blocks hold those pairs of words of
+    which one is outside the head: `rare_blocks` blocks by the first word where it is outside, and as many more, by the second, for the others."""
     spark = training.sparkSession
     shared, width = spark.sparkContext.broadcast(vocabulary), vocabulary.width
     schema = "part long, block int, blob binary"
 
-    def dealt(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
+    def dealt(part: int, held: list[np.ndarray], rare: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         key, n = _summed(np.concatenate(held))
-        block = pair_block(key, width, blocks)
-        order = np.argsort(block, kind="stable")
-        key, n, cut = key[order], n[order], np.searchsorted(block[order], np.arange(blocks + 1))
-        there = np.flatnonzero(np.diff(cut))
-        blobs = [pack_pairs(key[cut[j] : cut[j + 1]], n[cut[j] : cut[j + 1]], width) for j in there]
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(there), pa.int64()), pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["part", "block", "blob"])
+        out = [(j, pack_pairs(*x, width)) for j, x in by_block(pair_block(key, width, blocks), key, n)]
+        a, b = (np.concatenate(x) for x in zip(*rare))
+        a, b, n = sum_rare(a, b, np.ones(len(a), np.int64))
+        out += [(j, pack_rare(*x)) for j, x in by_block(blocks + np.where(a < 0, _dealt(a, rare_blocks), rare_blocks + _dealt(b, rare_blocks)), a, b, n)]
+        there, blobs = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["part", "block", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, part, held, size = shared.value, TaskContext.get().partitionId(), [], 0
+        voc, part, held, rare, size = shared.value, TaskContext.get().partitionId(), [], [], 0
+        end = len(voc.words)
         for _, c in rows_of(batches, 128):
-            ids, bounds, _rest = voc.encode(c["t"])
-            held.append(before_of(ids, bounds, len(voc.words)) * width + ids)
-            size += len(ids)
+            ids, bounds, rest = voc.encode(c["t"])
+            held.append(before_of(ids, bounds, end) * width + ids)
+            b = word_ids(ids, rest, end)
+            a = before_of(b, bounds, end)
+            mine = np.flatnonzero((a < 0) | (b < 0))
+            rare.append((a[mine], b[mine]))
+            size += len(ids) + 2 * len(mine)
             if size > 8_000_000:
-                yield dealt(part, held)
-                held, size = [], 0
+                yield dealt(part, held, rare)
+                held, rare, size = [], [], 0
         if held:
-            yield dealt(part, held)
+            yield dealt(part, held, rare)
 
     def merge(key, rows):
-        both = [unpack_pairs(x.as_py(), width) for x in rows["blob"]]
-        blob = pack_pairs(*_summed(*(np.concatenate(x) for x in zip(*both))), width)
-        return pa.table({"part": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+        block = key[0].as_py()
+        if block < blocks:
+            both = [unpack_pairs(x.as_py(), width) for x in rows["blob"]]
+            blob = pack_pairs(*_summed(*(np.concatenate(x) for x in zip(*both))), width)
+        else:
+            blob = pack_rare(*sum_rare(*(np.concatenate(x) for x in zip(*(unpack_rare(x.as_py()) for x in rows["blob"])))))
+        return pa.table({"part": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([block], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     out, parts = training.mapInArrow(count, schema), training.rdd.getNumPartitions()
     while True:
@@ -307,13 +400,13 @@ def pair_counts(training: DataFrame, vocabulary: Vocabulary, blocks: int, fan: i
             return materialize(out.select("block", "blob"), "pairs")
 
 
-def over_pairs(pairs: DataFrame, width: int, cells) -> pa.Table:
+def over_pairs(pairs: DataFrame, width: int, cells, unpack=None) -> pa.Table:
     """Sums of n by `at`, where cells(key, count) gives arrays of at and n of one block: the caller bounds how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c in rows_of(batches, 8):
             for blob in c["blob"]:
-                at, n = cells(*unpack_pairs(blob, width))
+                at, n = cells(*(unpack(blob) if unpack else unpack_pairs(blob, width)))
                 if len(at):
                     at, n = _summed(at, n)
                     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
@@ -355,70 +448,6 @@ def kept_pairs(pairs: DataFrame, width: int, words: int, most: int) -> tuple[np.
     return got["key"].to_numpy()[order], got["n"].to_numpy()[order], total <= most
 
 
-def rare_pairs(training: DataFrame, vocabulary: Vocabulary, blocks: int) -> DataFrame:
-    """(a, b, n, follow): pairs of neighbours with a word outside the head, by word_ids, how often each comes and, if a is outside
-    the head, how many different words follow a. Such words come less often than the head's threshold, so none is a hot key."""
-    shared = training.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = shared.value
-        end = len(voc.words)
-        for _, c in rows_of(batches, 128):
-            ids, bounds, rest = voc.encode(c["t"])
-            b = word_ids(ids, rest, end)
-            a = before_of(b, bounds, end)
-            mine = (a < 0) | (b < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(a[mine]), pa.array(b[mine])], ["a", "b"])
-
-    dealt = training.mapInArrow(find, "a long, b long").withColumn("p", F.when(F.col("a") < 0, F.col("a")).otherwise(F.xxhash64("a", "b")))
-    found = dealt.repartition(blocks, "p").groupBy("p", "a", "b").agg(F.count("*").alias("n"))
-    return materialize(found.select("a", "b", "n", F.count("*").over(Window.partitionBy("p")).alias("follow")), "rare")
-
-
-def rare_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One negative key for each pair with a word outside the head."""
-    x = a.view(np.uint64) * _A
-    x = ((x ^ (x >> np.uint64(32))) + b.view(np.uint64)) * _B
-    x = (x ^ (x >> np.uint64(29))) * _A
-    return ((x ^ (x >> np.uint64(32))) | np.uint64(1 << 63)).view(np.int64)
-
-
-def rare_block(key: np.ndarray, blocks: int) -> np.ndarray:
-    return ((key.view(np.uint64) >> np.uint64(8) & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
-
-
-def rare_table(rare: DataFrame, words: DataFrame, context: np.ndarray, first: int, blocks: int) -> DataFrame:
-    """Rows of the pair table (blocks from `first` on) for pairs with words outside the head: keys, and the log of each pair's share as
-    against what else its token has by its words outside the head: c + 1, and what the word before leaves. words: w, c, b (its id)."""
-    counted = words.groupBy("b").agg(F.max("c").alias("c"))
-    rows = rare.where("b >= 0").select("a", "b", "n", "follow", F.lit(0).cast("long").alias("c"))
-    rows = rows.unionByName(rare.where("b < 0").join(counted, "b").select("a", "b", "n", "follow", "c"))
-
-    def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        a, b, n, follow, c = (x.to_numpy() for x in pa.Table.from_batches(held).columns)
-        value = np.log(n - DISCOUNT) - np.log(np.where(a < 0, DISCOUNT * follow, context[np.maximum(a, 0)])) - np.log(c + 1.0)
-        key = rare_key(a, b)
-        block = rare_block(key, blocks)
-        order = np.argsort(block, kind="stable")
-        cut = np.searchsorted(block[order], np.arange(blocks + 1))
-        there = np.flatnonzero(np.diff(cut))
-        key, value = key[order], value[order].astype(np.float32)
-        return sent(there + first, TABLE, 0, [key[cut[j] : cut[j + 1]].tobytes() + value[cut[j] : cut[j + 1]].tobytes() for j in there])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size > 1_000_000:
-                yield dealt(held)
-                held, size = [], 0
-        if size:
-            yield dealt(held)
-
-    return rows.mapInArrow(pack, SENT)
-
-
 SENT = "block int, kind int, part long, data binary"
 
 
@@ -429,28 +458,58 @@ def sent(blocks: np.ndarray, kind: int, part: int, data: list[bytes]) -> pa.Reco
     )
 
 
-def asked(part: int, key: np.ndarray, log_p: np.ndarray, text: np.ndarray, width: int, blocks: int, rare_blocks: int) -> pa.RecordBatch:
-    """Tokens whose pairs aren't broadcast, for the blocks of the pair table that hold them."""
-    block = np.where(key < 0, rare_block(key, rare_blocks) + blocks, pair_block(key, width, blocks))
-    order = np.argsort(block, kind="stable")
-    cut = np.searchsorted(block[order], np.arange(blocks + rare_blocks + 1))
-    there = np.flatnonzero(np.diff(cut))
-    key, log_p, text = key[order], log_p[order].astype("<f4"), text[order].astype("<u2")
-    return sent(there, ASK, part, [b"".join(x[cut[j] : cut[j + 1]].tobytes() for x in (key, log_p, text)) for j in there])
+def followed(pairs: DataFrame, blocks: int, rare_blocks: int) -> DataFrame:
+    """Pairs of two words outside the head, from the blocks of the first to those of the second, with how many words follow the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c in rows_of(batches, 8):
+            for blob in c["blob"]:
+                a, b, n = unpack_rare(blob)
+                follow = sums_by(a, np.ones(len(a), np.int64))
+                mine = np.flatnonzero(b < 0)
+                a, b, n, follow = a[mine], b[mine], n[mine], follow[mine]
+                out = [(j, pack_rare(*x)) for j, x in by_block(rare_block(a, b, blocks, rare_blocks), a, b, n, follow)]
+                if out:
+                    there, data = zip(*out)
+                    yield sent(np.array(there), FOLLOWED, 0, list(data))
+
+    return pairs.where(F.col("block").between(blocks, blocks + rare_blocks - 1)).select("blob").mapInArrow(run, SENT)
+
+
+def asked(part: int, block: np.ndarray, key: np.ndarray, log_p: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+    """Tokens whose pairs aren't broadcast, by ascending keys, for the blocks of the pair table that hold them. An infinite log_p asks for
+    what a word leaves. Keys go by their halves, as those compress better."""
+    order = np.argsort(key)
+    block, key, log_p, text = block[order], key[order], log_p[order], text[order]
+    low, high = key.astype("<u4"), (key >> 32).astype("<i4")
+    out = [(j, b"".join(v.tobytes() for v in x)) for j, x in by_block(block, high, low, log_p.astype("<f4"), text.astype("<u2"))]
+    return sent(np.array([j for j, _ in out], np.int64), ASK, part, [x for _, x in out])
 
 
-def answers(context: np.ndarray, width: int, blocks: int):
+def answers(context: np.ndarray, width: int, blocks: int, rare_blocks: int):
     """Over rows of SENT by block and kind: for each ASK what the shares of its pairs add to the log probabilities of its texts, as SUMS."""
 
-    def opened(block: int, tables: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def opened(block: int, tables: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and the log of each pair's share, as against what else its token has by its words outside the head: c + 1, and what the
+        word before leaves."""
+        if not tables:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
         if block < blocks:
-            both = [unpack_pairs(t, width) for t in tables]
-            both = [(key, (np.log(n - DISCOUNT) - np.log(context[key // width])).astype(np.float32)) for key, n in both]
+            key, n = (np.concatenate(x) for x in zip(*(unpack_pairs(t, width) for _, t in tables)))
+            value = np.log(n - DISCOUNT) - np.log(context[key // width])
+        elif block < blocks + rare_blocks:
+            a, b, n = (np.concatenate(x) for x in zip(*(unpack_rare(t) for _, t in tables)))
+            leaves = DISCOUNT * sums_by(a, np.ones(len(a), np.int64))
+            _, first = np.unique(a, return_index=True)
+            key = np.concatenate([rare_key(a, b)[b >= 0], leaves_key(a[first])])
+            value = np.concatenate([(np.log(n - DISCOUNT) - np.log(leaves))[b >= 0], np.log(leaves[first] / sums_by(a, n)[first])])
         else:
-            both = [(np.frombuffer(t, np.int64, len(t) // 12), np.frombuffer(t, np.float32, len(t) // 12, len(t) // 12 * 8)) for t in tables]
-        key, value = (np.concatenate(x) for x in zip(*both)) if both else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+            both = [unpack_rare(t, 1 + (kind == FOLLOWED)) for kind, t in tables]
+            a, b, n = (np.concatenate(x) for x in zip(*(x[:3] for x in both)))
+            over = np.concatenate([DISCOUNT * x[3] if len(x) > 3 else context[x[0]] for x in both])
+            key, value = rare_key(a, b), np.log(n - DISCOUNT) - np.log(over) - np.log(sums_by(b, n) + 1.0)
         order = np.argsort(key)
-        return key[order], value[order]
+        return key[order], value[order].astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tables, found = None, [], None
@@ -459,20 +518,22 @@ def answers(context: np.ndarray, width: int, blocks: int):
                 block, kind, part = block.as_py(), kind.as_py(), part.as_py()
                 if block != now:
                     now, tables, found = block, [], None
-                if kind == TABLE:
-                    tables.append(data.as_py())
+                if kind in (TABLE, FOLLOWED):
+                    tables.append((kind, data.as_py()))
                 elif kind == TEXTS:
                     yield sent(np.array([block]), TEXTS, part, [data.as_py()])
                 else:
                     key, value = found = found or opened(block, tables)
                     tables, data = [], data.as_py()
                     n = len(data) // 14
-                    want, log_p, text = np.frombuffer(data, np.int64, n), np.frombuffer(data, "<f4", n, 8 * n), np.frombuffer(data, "<u2", n, 12 * n)
+                    want = np.frombuffer(data, "<i4", n).astype(np.int64) << 32 | np.frombuffer(data, "<u4", n, 4 * n)
+                    log_p, text = np.frombuffer(data, "<f4", n, 8 * n), np.frombuffer(data, "<u2", n, 12 * n)
                     at = np.searchsorted(key, want)
                     hit = np.flatnonzero(at < len(key))
                     hit = hit[key[at[hit]] == want[hit]]
                     if len(hit):
-                        more = np.bincount(text[hit], np.logaddexp(0, value[at[hit]].astype(np.float64) - log_p[hit]))
+                        log_p, gain = log_p[hit].astype(np.float64), value[at[hit]].astype(np.float64)
+                        more = np.bincount(text[hit], np.where(np.isinf(log_p), gain, np.logaddexp(0, gain - log_p)))
                         there = np.flatnonzero(more)
                         yield sent(np.array([block]), SUMS, part, [there.astype("<u2").tobytes() + more[there].astype("<f4").tobytes()])
         give_back()
@@ -623,6 +684,11 @@ def within_classes(follows: np.ndarray, class_of: np.ndarray, counts: np.ndarray
     return out
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark removes files of shuffles that nothing will read again when its driver collects garbage; large tables wait for that on disk."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, frequent: int = FREQUENT, rounds: int = 1, most_pairs: int = PAIRS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = ready(docs.sparkSession)
@@ -639,7 +705,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
     plain = Vocabulary(words, size, np.zeros(len(words) + 1 + SUFFIXES, np.int64))
     blocks = int(min(max(n_train // BLOCK_TOKENS, 16), 1 << 16))
     rare_blocks = blocks // 4
-    pairs = pair_counts(training.select("t"), plain, blocks)
+    table_rows = pair_counts(training.select("t"), plain, blocks, rare_blocks)
+    pairs = table_rows.where(F.col("block") < blocks)
     own = cluster(pairs, plain.width, frequent)
     group_of = np.array([suffix_class(w) for w in words], np.int64)
     class_of = np.concatenate([own, group_of[frequent:], np.arange(END_CLASS, CLASSES)]).astype(np.int64)
@@ -660,19 +727,15 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
     text_hash = F.xxhash64("doc_id", "t")
     weights = train_classes(training.select("t", text_hash.alias("h"), F.pmod(F.xxhash64(text_hash), F.lit(groups)).cast("int").alias("group")), vocabulary, np.log(in_class / in_class.sum()), groups, rounds)
     follows = follow_counts(pairs, vocabulary, frequent)
-    rare = rare_pairs(training.select("t"), plain, blocks)
     key, times, whole = kept_pairs(pairs, plain.width, len(words), most_pairs)
     context = np.maximum(np.concatenate([size, [end_count], np.zeros(SUFFIXES, np.int64)]), 1).astype(np.float64)
     share = (times - DISCOUNT) / context[key // plain.width]
-    # Every pair leaves DISCOUNT; words outside the head get what they leave by a join below.
+    # Every pair leaves DISCOUNT; what words outside the head leave is asked of the pair table.
+    inner = over_pairs(pairs, plain.width, lambda key, n: ((x := key[inside_head(key, plain.width, len(words))] // plain.width), np.ones(len(x), np.int64)))
+    outer = over_pairs(table_rows.where(F.col("block") >= blocks + rare_blocks), plain.width, lambda a, n: (a, np.ones(len(a), np.int64)), lambda blob: unpack_rare(blob)[::2])
     different = np.zeros(plain.width)
-
-    def followers(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before = key[inside_head(key, plain.width, len(words))] // plain.width
-        return before, np.ones(len(before), np.int64)
-
-    for got in (over_pairs(pairs, plain.width, followers), rare.where("a >= 0").groupBy(F.col("a").alias("at")).agg(F.count("*").alias("n")).toArrow()):
-        different[got["at"].to_numpy()] += got["n"].to_numpy()  # at most a row for each head word
+    for got in (inner, outer):  # at most a row for each head word
+        different[got["at"].to_numpy()] += got["n"].to_numpy()
     left = np.log(np.where(different > 0, DISCOUNT * different / context, 1.0))
     # What a token adds besides its class and, for words that aren't in the head, log(c + 1).
     adds = np.concatenate([np.log(size + 1.0) - np.log(part_of[group_of]), [0.0], -np.log(part_of[END_CLASS + 1 :])])
@@ -682,20 +745,22 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
     adds[:frequent] = 0.0
     model = spark.sparkContext.broadcast((vocabulary, weights, adds, known, base, inside, frequent, (key, np.log(share).astype(np.float32)), left))
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<w: binary, n: long>>"
-    width, some_rare = plain.width, types > len(words) + int(end_count > 0)
+    width, all_blocks, some_rare = plain.width, blocks + 2 * rare_blocks, types > len(words) + int(end_count > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, w, plus, is_known, log_c, log_in, top, found_pairs, log_left = model.value
         kept, end = PairTable(*found_pairs), len(voc.words)
-        part, texts, asks, n_texts, n_tokens = TaskContext.get().partitionId() << 24, [], [], 0, 0
+        part, texts, asks, leaves, n_texts, n_tokens = TaskContext.get().partitionId() << 24, [], [], [], 0, 0
 
         def send() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(texts)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            yield sent(np.array([(part + (part >> 24)) % (blocks + rare_blocks)]), TEXTS, part, [sink.getvalue().to_pybytes()])
-            yield asked(part, *(np.concatenate(x) for x in zip(*asks)), width, blocks, rare_blocks)
+            yield sent(np.array([(part + (part >> 24)) % all_blocks]), TEXTS, part, [sink.getvalue().to_pybytes()])
+            for of_kind in (asks, leaves):
+                if of_kind:
+                    yield asked(part, *(np.concatenate(x) for x in zip(*of_kind)))
 
         for b, c in rows_of(batches, 128):
             ids, bounds, rest = voc.encode(c["t"])
@@ -714,22 +779,24 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
                     total[a + k : a + k + len(own_ids)] += got
             last = before_of(ids, bounds, end)
             total += log_left[last]
-            at, log_share = kept.find(last * width + ids)
-            total[at] = np.logaddexp(total[at], log_share)
             pair = last * width + ids
-            some = inside_head(pair, width, end)
-            elsewhere = ~some & some_rare
+            at, log_share = kept.find(pair)
+            total[at] = np.logaddexp(total[at], log_share)
+            text = np.repeat(np.arange(n_texts, n_texts + b.num_rows), np.diff(bounds)).astype(np.uint16)
             if not whole:
-                elsewhere |= some
+                elsewhere = inside_head(pair, width, end)
                 elsewhere[at] = False
-            where = np.flatnonzero(elsewhere)
-            pair = pair[where]
+                where = np.flatnonzero(elsewhere)
+                asks.append((pair_block(pair[where], width, blocks), pair[where], total[where].astype(np.float32), text[where]))
             if some_rare:
                 own = word_ids(ids, rest, end)
-                outside = ~some[where]
-                pair[outside] = rare_key(before_of(own, bounds, end)[where[outside]], own[where[outside]])
-            text_of = np.repeat(np.arange(n_texts, n_texts + b.num_rows), np.diff(bounds))
-            asks.append((pair, total[where].astype(np.float32), text_of[where].astype(np.uint16)))
+                last = before_of(own, bounds, end)
+                where = np.flatnonzero((last < 0) | (own < 0))
+                one, two = last[where], own[where]
+                asks.append((rare_block(one, two, blocks, rare_blocks), rare_key(one, two), total[where].astype(np.float32), text[where]))
+                where = where[one < 0]
+                one = one[one < 0]
+                leaves.append((blocks + _dealt(one, rare_blocks), leaves_key(one), np.full(len(one), np.inf, np.float32), text[where]))
             starts = bounds[:-1]
             others = [Counter(o) for o in rest]
             flat = pa.StructArray.from_arrays(
@@ -748,19 +815,18 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
             n_texts, n_tokens = n_texts + b.num_rows, n_tokens + len(ids)
             if n_tokens > SENT_TOKENS or n_texts > SENT_TEXTS:
                 yield from send()
-                part, texts, asks, n_texts, n_tokens = part + 1, [], [], 0, 0
+                part, texts, asks, leaves, n_texts, n_tokens = part + 1, [], [], [], 0, 0
         if texts:
             yield from send()
 
-    numbered = counts.where(F.length("w") > 0).select("w", "c", rare_id("w").alias("b"))
-    tables = pairs.select("block", F.lit(TABLE).alias("kind"), F.lit(0).cast("long").alias("part"), F.col("blob").alias("data"))
-    tables = tables.unionByName(rare_table(rare, numbered, context, blocks, rare_blocks))
-    met = source.mapInArrow(run, SENT).unionByName(tables).repartitionById(blocks + rare_blocks, F.col("block")).sortWithinPartitions("block", "kind")
-    scored = materialize(met.mapInArrow(answers(context, width, blocks), SENT).groupBy("part").applyInArrow(put_together, schema), "scored")
-    followed = rare.where("a < 0").groupBy(F.col("a").alias("b")).agg(F.max("follow").alias("follow"))
-    counted = numbered.join(followed, "b").select("w", F.log(F.col("c") + 1.0).alias("log_c"), F.log(DISCOUNT * F.col("follow") / F.col("c")).alias("log_left"))
-    others = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.w", "r.n").join(counted, "w")
-    more = others.groupBy("rid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.col("log_c")).alias("rare_log"), F.sum(F.col("n") * F.col("log_left")).alias("rare_left"))
+    tables = table_rows.select("block", F.lit(TABLE).alias("kind"), F.lit(0).cast("long").alias("part"), F.col("blob").alias("data"))
+    met = source.mapInArrow(run, SENT).unionByName(tables).unionByName(followed(table_rows, blocks, rare_blocks))
+    drop_shuffles(spark)
+    met = met.repartitionById(all_blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    scored = materialize(met.mapInArrow(answers(context, width, blocks, rare_blocks), SENT).groupBy("part").applyInArrow(put_together, schema), "scored")
+    drop_shuffles(spark)
+    rare = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.w", "r.n")
+    more = rare.join(counts, "w").groupBy("rid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("rare_log"))
     whole_rows = scored.drop("rest").join(more, "rid", "left")
     ten, shared = float(np.log(10)), float(np.log(n_train + types + 1))
     rare_log = F.coalesce("rare_log", F.lit(0.0))
@@ -769,7 +835,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         ((F.col("base") + rare_log - F.col("n_tokens") * shared) / ten).alias("base_score"),
-        ((F.col("score") + rare_log + F.coalesce("rare_left", F.lit(0.0))) / ten).alias("score"),
+        ((F.col("score") + rare_log) / ten).alias("score"),
     )
 
 
