@@ -52,6 +52,8 @@ BLOCK = 128
 GROUP_TOKENS, PAIRS, DISCOUNT = 4_000_000, 2_000_000, 0.75
 #: Tokens of a block of the pair table, and tokens and texts that a task scores before it sends what it asks of the table.
 BLOCK_TOKENS, SENT_TOKENS, SENT_TEXTS = 2_000_000, 2_000_000, 1 << 15
+#: Bytes of an Arrow batch of packed rows, and the fewest bytes of which those of each place are packed apart.
+BATCH_BYTES, APART = 1 << 20, 1 << 14
 TABLE, FOLLOWED, ASK, TEXTS, SUMS = range(5)
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -238,6 +240,35 @@ def head_words(counts: DataFrame, most: int, most_bytes: int = 1 << 26) -> list[
     return sorted(zip(got["w"].to_pylist(), got["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
+def press(*arrays: np.ndarray) -> bytes:
+    """The arrays' bytes, by zstd where that is shorter: many numbers by the place of a byte in each, as the upper ones repeat; few at once."""
+    places = [p for x in arrays for p in np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T]
+    pieces = [p.tobytes() for p in places]
+    if sum(map(len, pieces)) < APART:
+        pieces = [b"".join(pieces)]
+    out = [min(p, pa.compress(p, "zstd", asbytes=True), key=len) if p else p for p in pieces]
+    return np.array([len(x) for x in out], "<u4").tobytes() + b"".join(out)
+
+
+def unpress(blob: bytes, at: int, *kinds: tuple[str, int]) -> tuple[list[np.ndarray], int]:
+    """The arrays of these types and lengths that press() packed, from `at` on, and where they end."""
+    sizes = [n for kind, n in kinds for _ in range(np.dtype(kind).itemsize)]
+    if sum(sizes) < APART:
+        sizes = [sum(sizes)]
+    lengths = np.frombuffer(blob, "<u4", len(sizes), at).tolist()
+    at, pieces = at + 4 * len(sizes), []
+    for length, size in zip(lengths, sizes):
+        piece = blob[at : at + length]
+        pieces.append(piece if length == size else pa.decompress(piece, size, "zstd", asbytes=True))
+        at += length
+    whole, k, out = np.frombuffer(b"".join(pieces), np.uint8), 0, []
+    for kind, n in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(whole[k : k + n * width].reshape(width, n).T).view(kind).ravel())
+        k += n * width
+    return out, at
+
+
 def pack_pairs(key: np.ndarray, n: np.ndarray, width: int) -> bytes:
     """Ascending keys (previous id * width + id) and their counts: each previous id with how many follow it, then these."""
     before, after = key // width, key % width
@@ -245,23 +276,22 @@ def pack_pairs(key: np.ndarray, n: np.ndarray, width: int) -> bytes:
     over = np.flatnonzero(n > 254)
     parts = [before[first].astype("<u4"), np.diff(np.append(first, len(key))).astype("<u4"), (after & 0xFFFF).astype("<u2"), (after >> 16).astype("u1")]
     parts += [np.minimum(n, 255).astype("u1"), over.astype("<u4"), n[over].astype("<i8")]
-    return struct.pack("<III", len(first), len(key), len(over)) + b"".join(x.tobytes() for x in parts)
+    return struct.pack("<III", len(first), len(key), len(over)) + press(*parts)
 
 
 def unpack_pairs(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     f, k, o = struct.unpack_from("<III", blob)
-    at, out = 12, []
-    for kind, n in (("<u4", f), ("<u4", f), ("<u2", k), ("u1", k), ("u1", k), ("<u4", o), ("<i8", o)):
-        out.append(np.frombuffer(blob, kind, n, at).astype(np.int64))
-        at += n * np.dtype(kind).itemsize
-    before, follow, low, high, times, over, exact = out
+    out, _ = unpress(blob, 12, ("<u4", f), ("<u4", f), ("<u2", k), ("u1", k), ("u1", k), ("<u4", o), ("<i8", o))
+    before, follow, low, high, times, over, exact = (x.astype(np.int64) for x in out)
     times[over] = exact
     return np.repeat(before, follow) * width + (low | high << 16), times
 
 
 def _summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key) if n is not None else slice(None)
-    key = key[order] if n is not None else np.sort(key)
+    key = key[order]
+    if n is None:
+        key.sort()  # in place: the caller's array is no longer its own
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     if n is None:
         return key[first], np.diff(np.append(first, len(key)))
@@ -315,22 +345,20 @@ def sums_by(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def pack_rare(a: np.ndarray, b: np.ndarray, *numbers: np.ndarray) -> bytes:
-    parts = [struct.pack("<I", len(a)), a.tobytes(), b.tobytes()]
-    for n in numbers:
-        over = np.flatnonzero(n > 254)
-        parts += [struct.pack("<I", len(over)), np.minimum(n, 255).astype("u1").tobytes(), over.astype("<u4").tobytes(), n[over].astype("<i8").tobytes()]
-    return b"".join(parts)
+    over = [np.flatnonzero(n > 254) for n in numbers]
+    parts = [x for n, o in zip(numbers, over) for x in (np.minimum(n, 255).astype("u1"), o.astype("<u4"), n[o].astype("<i8"))]
+    return struct.pack(f"<{1 + len(over)}I", len(a), *map(len, over)) + press(a, b, *parts)
 
 
 def unpack_rare(blob: bytes, numbers: int = 1) -> list[np.ndarray]:
-    (k,) = struct.unpack_from("<I", blob)
-    out, at = [np.frombuffer(blob, "<i8", k, 4).copy(), np.frombuffer(blob, "<i8", k, 4 + 8 * k).copy()], 4 + 16 * k
-    for _ in range(numbers):
-        (o,) = struct.unpack_from("<I", blob, at)
-        n = np.frombuffer(blob, "u1", k, at + 4).astype(np.int64)
-        n[np.frombuffer(blob, "<u4", o, at + 4 + k)] = np.frombuffer(blob, "<i8", o, at + 4 + k + 4 * o)
+    k, *over = struct.unpack_from(f"<{1 + numbers}I", blob)
+    kinds = [x for o in over for x in (("u1", k), ("<u4", o), ("<i8", o))]
+    (a, b, *rest), _ = unpress(blob, 4 + 4 * numbers, ("<i8", k), ("<i8", k), *kinds)
+    out = [a, b]
+    for times, at, exact in zip(rest[::3], rest[1::3], rest[2::3]):
+        n = times.astype(np.int64)
+        n[at] = exact
         out.append(n)
-        at += 4 + k + 12 * o
     return out
 
 
@@ -343,10 +371,26 @@ def by_block(block: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, lis
         yield int(ranked[a]), [x[a:z] for x in columns]
 
 
+def in_batches(blobs: Iterable[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Blocks and their bytes, of about BATCH_BYTES at a time: Spark holds a whole Arrow batch outside its heap."""
+    there, data, size = [], [], 0
+    for j, x in blobs:
+        there.append(j), data.append(x)
+        if (size := size + len(x)) > BATCH_BYTES:
+            yield there, data
+            there, data, size = [], [], 0
+    if there:
+        yield there, data
+
+
 def pair_block(key: np.ndarray, width: int, blocks: int) -> np.ndarray:
     """The block of each pair of ids: by the previous id, where that one is frequent by the second too, so that no block is crowded."""
-    before, after = key // width, key % width
-    return (before + np.where((before < FREQUENT) | (before >= width - 1 - SUFFIXES), after, 0)) % blocks
+    before = (key // width).astype(np.int32)
+    after = (key - before.astype(np.int64) * width).astype(np.int32)
+    after[(before >= FREQUENT) & (before < width - 1 - SUFFIXES)] = 0
+    after += before
+    after %= blocks
+    return after
 
 
 def pair_counts(training: DataFrame, vocabulary: Vocabulary, blocks: int, rare_blocks: int, fan: int = 64) -> DataFrame:
@@ -357,14 +401,23 @@ def pair_counts(training: DataFrame, vocabulary: Vocabulary, blocks: int, rare_b
     shared, width = spark.sparkContext.broadcast(vocabulary), vocabulary.width
     schema = "part long, block int, blob binary"
 
-    def dealt(part: int, held: list[np.ndarray], rare: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, n = _summed(np.concatenate(held))
-        out = [(j, pack_pairs(*x, width)) for j, x in by_block(pair_block(key, width, blocks), key, n)]
+    def blobs(held: list[np.ndarray], rare: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+        """Takes what the lists hold, so that it is not in memory twice."""
+        key = np.concatenate(held)
+        held.clear()
+        key, n = _summed(key)
+        for j, x in by_block(pair_block(key, width, blocks), key, n):
+            yield j, pack_pairs(*x, width)
+        del key, n
         a, b = (np.concatenate(x) for x in zip(*rare))
+        rare.clear()
         a, b, n = sum_rare(a, b, np.ones(len(a), np.int64))
-        out += [(j, pack_rare(*x)) for j, x in by_block(blocks + np.where(a < 0, _dealt(a, rare_blocks), rare_blocks + _dealt(b, rare_blocks)), a, b, n)]
-        there, blobs = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["part", "block", "blob"])
+        for j, x in by_block(blocks + np.where(a < 0, _dealt(a, rare_blocks), rare_blocks + _dealt(b, rare_blocks)), a, b, n):
+            yield j, pack_rare(*x)
+
+    def dealt(part: int, held: list[np.ndarray], rare: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for there, data in in_batches(blobs(held, rare)):
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(there), pa.int64()), pa.array(there, pa.int32()), pa.array(data, pa.binary())], ["part", "block", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, part, held, rare, size = shared.value, TaskContext.get().partitionId(), [], [], 0
@@ -378,10 +431,10 @@ def pair_counts(training: DataFrame, vocabulary: Vocabulary, blocks: int, rare_b
             rare.append((a[mine], b[mine]))
             size += len(ids) + 2 * len(mine)
             if size > 8_000_000:
-                yield dealt(part, held, rare)
+                yield from dealt(part, held, rare)
                 held, rare, size = [], [], 0
         if held:
-            yield dealt(part, held, rare)
+            yield from dealt(part, held, rare)
 
     def merge(key, rows):
         block = key[0].as_py()
@@ -468,22 +521,40 @@ def followed(pairs: DataFrame, blocks: int, rare_blocks: int) -> DataFrame:
                 follow = sums_by(a, np.ones(len(a), np.int64))
                 mine = np.flatnonzero(b < 0)
                 a, b, n, follow = a[mine], b[mine], n[mine], follow[mine]
-                out = [(j, pack_rare(*x)) for j, x in by_block(rare_block(a, b, blocks, rare_blocks), a, b, n, follow)]
-                if out:
-                    there, data = zip(*out)
-                    yield sent(np.array(there), FOLLOWED, 0, list(data))
+                for there, data in in_batches((j, pack_rare(*x)) for j, x in by_block(rare_block(a, b, blocks, rare_blocks), a, b, n, follow)):
+                    yield sent(np.array(there), FOLLOWED, 0, data)
 
     return pairs.where(F.col("block").between(blocks, blocks + rare_blocks - 1)).select("blob").mapInArrow(run, SENT)
 
 
-def asked(part: int, block: np.ndarray, key: np.ndarray, log_p: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
-    """Tokens whose pairs aren't broadcast, by ascending keys, for the blocks of the pair table that hold them. An infinite log_p asks for
-    what a word leaves. Keys go by their halves, as those compress better."""
+def asked(part: int, tokens: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Tokens (block, key, log_p, text) whose pairs aren't broadcast, by ascending keys, for the blocks of the pair table that hold them. An
+    infinite log_p asks for what a word leaves. Takes what the list holds; columns are put in order one at a time."""
+    block, key, log_p, text = (list(x) for x in zip(*tokens))
+    tokens.clear()
+    key = np.concatenate(key)
     order = np.argsort(key)
-    block, key, log_p, text = block[order], key[order], log_p[order], text[order]
-    low, high = key.astype("<u4"), (key >> 32).astype("<i4")
-    out = [(j, b"".join(v.tobytes() for v in x)) for j, x in by_block(block, high, low, log_p.astype("<f4"), text.astype("<u2"))]
-    return sent(np.array([j for j, _ in out], np.int64), ASK, part, [x for _, x in out])
+    block = np.concatenate(block)[order]
+    by = np.argsort(block.astype(np.uint16 if block.max(initial=0) < 1 << 16 else np.uint32), kind="stable")
+    order, block = order[by], block[by]
+    del by
+    key, log_p, text = key[order], np.concatenate(log_p)[order].astype("<f4"), np.concatenate(text)[order].astype("<u2")
+    del order
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+
+    def packed() -> Iterator[tuple[int, bytes]]:
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
+            yield int(block[a]), struct.pack("<I", z - a) + press(np.diff(key[a:z], prepend=0).astype("<i8"), log_p[a:z], text[a:z])
+
+    for there, data in in_batches(packed()):
+        yield sent(np.array(there), ASK, part, data)
+
+
+def unpack_asked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, log_p and texts."""
+    (n,) = struct.unpack_from("<I", data)
+    (steps_up, log_p, text), _ = unpress(data, 4, ("<i8", n), ("<f4", n), ("<u2", n))
+    return np.cumsum(steps_up), log_p, text
 
 
 def answers(context: np.ndarray, width: int, blocks: int, rare_blocks: int):
@@ -524,10 +595,8 @@ def answers(context: np.ndarray, width: int, blocks: int, rare_blocks: int):
                     yield sent(np.array([block]), TEXTS, part, [data.as_py()])
                 else:
                     key, value = found = found or opened(block, tables)
-                    tables, data = [], data.as_py()
-                    n = len(data) // 14
-                    want = np.frombuffer(data, "<i4", n).astype(np.int64) << 32 | np.frombuffer(data, "<u4", n, 4 * n)
-                    log_p, text = np.frombuffer(data, "<f4", n, 8 * n), np.frombuffer(data, "<u2", n, 12 * n)
+                    tables = []
+                    want, log_p, text = unpack_asked(data.as_py())
                     at = np.searchsorted(key, want)
                     hit = np.flatnonzero(at < len(key))
                     hit = hit[key[at[hit]] == want[hit]]
@@ -555,11 +624,15 @@ def put_together(key, rows):
 
 
 class PairTable:
-    """key -> log of its share, by open addressing."""
+    """key -> log of its share, by open addressing. Keys are put in some at a time, so that little besides the table is in memory."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
         self.bits = max(8, (2 * len(key)).bit_length())
         self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        for a in range(0, len(key), 1 << 16):
+            self._add(key[a : a + (1 << 16)], value[a : a + (1 << 16)])
+
+    def _add(self, key: np.ndarray, value: np.ndarray) -> None:
         slot, todo = self._slot(key), np.arange(len(key))
         while len(todo):
             free = self.key[slot] < 0
@@ -685,7 +758,10 @@ def within_classes(follows: np.ndarray, class_of: np.ndarray, counts: np.ndarray
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Spark removes files of shuffles that nothing will read again when its driver collects garbage; large tables wait for that on disk."""
+    """Spark removes files of shuffles that nothing will read again when its driver collects garbage; large tables wait for that on disk.
+    Spark's listeners hold the last query, and so its shuffles, until another one ends: here a query of one row."""
+    spark._jsparkSession.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -743,24 +819,24 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD, fr
     base = np.concatenate([np.log(size + 1.0), [np.log(end_count + 1.0)], np.zeros(SUFFIXES)])
     inside = within_classes(follows, own, size[:frequent]) if frequent else np.zeros((CLASSES + 1, 0))
     adds[:frequent] = 0.0
-    model = spark.sparkContext.broadcast((vocabulary, weights, adds, known, base, inside, frequent, (key, np.log(share).astype(np.float32)), left))
+    model = spark.sparkContext.broadcast((vocabulary, weights, adds, known, base, inside, frequent, PairTable(key, np.log(share).astype(np.float32)), left))
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<w: binary, n: long>>"
     width, all_blocks, some_rare = plain.width, blocks + 2 * rare_blocks, types > len(words) + int(end_count > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, w, plus, is_known, log_c, log_in, top, found_pairs, log_left = model.value
-        kept, end = PairTable(*found_pairs), len(voc.words)
+        voc, w, plus, is_known, log_c, log_in, top, kept, log_left = model.value
+        end = len(voc.words)
         part, texts, asks, leaves, n_texts, n_tokens = TaskContext.get().partitionId() << 24, [], [], [], 0, 0
 
         def send() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(texts)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
             yield sent(np.array([(part + (part >> 24)) % all_blocks]), TEXTS, part, [sink.getvalue().to_pybytes()])
             for of_kind in (asks, leaves):
                 if of_kind:
-                    yield asked(part, *(np.concatenate(x) for x in zip(*of_kind)))
+                    yield from asked(part, of_kind)
 
         for b, c in rows_of(batches, 128):
             ids, bounds, rest = voc.encode(c["t"])

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 import xxhash
 
 from attestor.llm import decontaminate, lm_scoring, packing, repair, simhash, weighted_sampling
+from attestor.llm.common import materialize
 from attestor.llm.tokens import ChunkEncoder, default_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -171,6 +174,75 @@ def test_pairs_pack_and_unpack():
     assert set(range(len(key[::3]))) <= set(at.tolist()) and np.allclose(value[at < len(key[::3])][np.argsort(at[at < len(key[::3])])], np.log(n[::3]), rtol=1e-5)
 
 
+def test_tokens_sent_to_the_pair_table_in_little_memory():
+    """They come back whole from batches that are small, take fewer than 14 bytes each, and need little beside what is held of them."""
+    rng, n = np.random.default_rng(8), 600_000
+    key = np.concatenate([rng.integers(0, 1 << 36, n - 5000), -rng.integers(1, 1 << 62, 5000)])
+    block, log_p, text = np.where(key < 0, 50 + key % 9, key % 50), -rng.gamma(2, 4, n).astype(np.float32), rng.integers(0, 4000, n).astype(np.uint16)
+    log_p[::1000] = np.inf
+    want = sorted(zip(block.tolist(), key.tolist(), log_p.tolist(), text.tolist()))
+    tracemalloc.start()
+    try:
+        tokens = [tuple(x[a : a + 50_000].copy() for x in (block, key, log_p, text)) for a in range(0, n, 50_000)]
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        batches = 0
+        got = []
+        for b in lm_scoring.asked(3, tokens):
+            batches += 1
+            assert b.nbytes < 2 * lm_scoring.BATCH_BYTES and set(b["part"].to_pylist()) == {3}
+            got.append((b["block"].to_pylist(), b["data"].to_pylist()))
+        assert tracemalloc.get_traced_memory()[1] < 3 * held
+    finally:
+        tracemalloc.stop()
+    assert batches > 1 and not tokens
+    rows = [(j, x) for there, data in got for j, x in zip(there, data)]
+    assert sum(len(x) for _, x in rows) < 9 * n
+    back = [(j, *t) for j, x in rows for t in zip(*(v.tolist() for v in lm_scoring.unpack_asked(x)))]
+    assert sorted(back) == want
+    assert list(lm_scoring.asked(0, [(block[:0], key[:0], log_p[:0], text[:0])])) == []
+
+
+def test_pair_table_is_made_in_little_memory():
+    key = np.unique(np.random.default_rng(9).integers(0, 1 << 36, 1_000_000))
+    number = np.arange(len(key), dtype=np.float32)
+    tracemalloc.start()
+    try:
+        table = lm_scoring.PairTable(key, number)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.25 * (table.key.nbytes + table.value.nbytes)
+    at, value = table.find(key)
+    assert (np.sort(at) == np.arange(len(key))).all() and (value == number[at]).all()
+
+
+def test_shuffles_of_the_last_query_are_dropped(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {x.rsplit("/", 1)[-1] for x in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x and x.endswith(".data")}
+
+    before = shuffles()
+    materialize(spark.range(50_000).repartition(4, "id").sortWithinPartitions("id"), "shuffled")
+    mine = shuffles() - before
+    lm_scoring.drop_shuffles(spark)
+    for _ in range(50):
+        if mine.isdisjoint(shuffles()):
+            break
+        time.sleep(0.1)
+    assert mine and mine.isdisjoint(shuffles())
+
+
+@pytest.mark.parametrize("n", [0, 1, 900, 40_000])
+def test_press(n):
+    rng = np.random.default_rng(n)
+    want = [rng.integers(-(1 << 62), 1 << 62, n), rng.integers(0, 3, n).astype("u1"), rng.normal(size=n).astype("<f4"), np.arange(n, dtype="<u4"), np.zeros(n // 3, "<i8")]
+    blob = b"xyz" + lm_scoring.press(*want) + b"z"
+    got, end = lm_scoring.unpress(blob, 3, *((x.dtype.str, len(x)) for x in want))
+    assert end == len(blob) - 1 and all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want))
+
+
 def test_lm_odd(odd, empty):
     got = lm_scoring.score(odd).toPandas()
     assert len(got) == 11 and np.isfinite(got[["base_score", "score"]]).all().all()
